@@ -1,7 +1,7 @@
 """Quality rules: base rules, and a log-likelihood ratio of hashed n-grams, in DataFrame operations.
 
-Two multinomials over hashed n-grams (the last three characters of each word, and of each two words
-in a row) are counted: one over labelled trusted documents, one over all documents. A document's
+Two multinomials over hashed n-grams (the last three characters of each word and of the word before
+it) are counted: one over labelled trusted documents, one over all documents. A document's
 score is the mean over its n-grams of the log ratio of the two, with SMOOTH expected counts on either
 side. It is kept if it passes the base rules and scores at least THRESHOLD: the same decision for the
 same document at any size of table.
@@ -32,16 +32,14 @@ WINDOW = 8
 
 
 def with_ngrams(rows: DataFrame) -> DataFrame:
-    """Adds grams, the buckets of a document's n-grams, from w.
+    """Adds grams, the bucket of each word with the word before it, from w.
 
-    The word ends are a column of their own: inside a lambda they would be made anew for each word.
+    No lambda refers to w: where the optimizer inlines it, it would be split anew for each word.
     """
-    rows = rows.withColumn("ends", F.transform("w", lambda x: F.substring(x, -3, 3)))
-    most = F.greatest(F.size("ends") - 1, F.lit(0))
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
-    one = F.transform("ends", lambda x: bucket(x))
-    two = F.zip_with(F.slice("ends", F.lit(1), most), F.slice("ends", F.lit(2), most), lambda x, y: bucket(x, y))
-    return rows.withColumn("grams", F.concat(one, two)).drop("ends")
+    end = lambda x: F.substring(x, -3, 3)
+    before = F.slice(F.concat(F.array(F.lit("")), F.col("w")), F.lit(1), F.size("w"))
+    bucket = F.zip_with(before, F.col("w"), lambda x, y: F.pmod(F.xxhash64(end(x), end(y)), F.lit(BUCKETS)).cast("int"))
+    return rows.withColumn("grams", bucket)
 
 
 def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:

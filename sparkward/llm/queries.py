@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ngram_join, packing, quality, substring_dedup, token_counts, url_filter
+from . import bpe, exact_dedup, ngram_join, packing, pii, quality, substring_dedup, token_counts, url_filter
 from .common import table
 
 
+#: Whoever runs the pipeline sets a key of their own.
+PII_KEY = "sparkward"
+
+
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -19,6 +23,10 @@ def op2_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_harmonic_packing,
         op2_tree_bpe,
+        op4_pii_surrogates,
         op5_substring_dedup,
         op6_ngram_join,
         op7_token_counts,

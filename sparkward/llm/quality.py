@@ -85,11 +85,12 @@ def repeated_words(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda x, y: x + y)).drop("keys", "sorted", "starts")
 
 
-def judged(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: doc_id, the base figures, base_failed, score, kept, and the columns in keep."""
+def judged(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
+    """One row a document: doc_id, the base figures, base_failed, score, kept; with carry its row as _row."""
     text = F.coalesce("text", F.lit(""))
     weights = constant_array(ratios(docs, labels), "double")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text.alias("_text"), words(F.col("text")).alias("w"))
+    row = [F.struct("*").alias("_row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row, text.alias("_text"), words(F.col("text")).alias("w"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.length(without(x, SPACES)) > 0)
     rows = repeated_words(
         rows.withColumns(
@@ -115,5 +116,5 @@ def judged(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> Da
         failed.alias("base_failed"),
         score.alias("score"),
         (~failed & (score >= THRESHOLD)).alias("kept"),
-        *[c for c in keep if c != "doc_id"],
+        *(["_row"] if carry else []),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ngram_join, packing, pii, quality, substring_dedup, token_counts, url_filter
+from . import bpe, exact_dedup, html_extract, ngram_join, packing, pii, quality, substring_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_harmonic_packing,
         op2_tree_bpe,
+        op3_html_crf,
         op4_pii_surrogates,
         op5_substring_dedup,
         op6_ngram_join,

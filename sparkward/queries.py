@@ -1,0 +1,7 @@
+"""Registered queries over the engine's operators, with the SQL that DuckDB is held against."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+FLAGSHIP = "router_end_to_end"

@@ -1,27 +1,15 @@
-"""Rolling hashes of word sequences, vectorised over a batch of texts inside a task."""
+"""Hashes of words and of word sequences, vectorised over a batch of texts inside a task."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-MEMO = 400_000
-
-
-class WordHashes:
-    """64-bit hashes of words; what a worker remembers is bounded."""
-
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
+INVERSE = pow(BASE, -1, 1 << 64)
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Texts are hashed together up to about so many bytes.
+AT_ONCE = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,23 +18,64 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+class Powers:
+    """Powers of the base and of its inverse, as many as were ever asked for."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            first = np.ones(n, np.uint64)
+            first[1:] = BASE
+            cls.up = np.multiply.accumulate(first)
+            first[1:] = INVERSE
+            cls.down = np.multiply.accumulate(first)
+        return cls.up[:n], cls.down[:n]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where in them each text starts (one more at the end)."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = SPACE[data]
+    before = np.empty_like(space)
+    before[0], before[1:] = True, space[:-1]
+    start, stop = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+    up, down = Powers.of(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+    hashes = (total[stop] - total[start]) * down[start]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return mix(hashes ^ (stop - start).astype(np.uint64) << np.uint64(56)), np.r_[0, np.searchsorted(start, ends)]
+
+
+def in_batches(rows: list[tuple[int, str | None]]):
+    """(ids, texts as bytes) of rows, about AT_ONCE bytes at a time."""
+    ids, texts, size = [], [], 0
+    for own, text in rows:
+        data = (text or "").encode()
+        ids.append(own)
+        texts.append(data)
+        size += len(data)
+        if size >= AT_ONCE:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of h[i : i + k] for each i, mixed. Built from powers of two, so k is of no weight."""
+    """Hash of h[i : i + k] for each i, mixed. Put together from powers of two."""
     if len(h) < k:
         return np.empty(0, np.uint64)
     n, done, out, power, width, step = len(h) - k + 1, 0, None, h, 1, BASE
-    with np.errstate(over="ignore"):
-        while k:
-            if k & 1:
-                part = power[done : done + n]
-                out = part.copy() if out is None else out * pow_of(width) + part
-                done += width
-            k >>= 1
-            if k:
-                power = power[: len(power) - width] * step + power[width:]
-                step, width = step * step, 2 * width
-        return mix(out)
-
-
-def pow_of(n: int) -> np.uint64:
-    return np.uint64(pow(int(BASE), n, 1 << 64))
+    while k:
+        if k & 1:
+            part = power[done : done + n]
+            out = part.copy() if out is None else out * np.uint64(pow(BASE, width, 1 << 64)) + part
+            done += width
+        k >>= 1
+        if k:
+            power = power[: len(power) - width] * np.uint64(step) + power[width:]
+            step, width = step * step % (1 << 64), 2 * width
+    return mix(out)

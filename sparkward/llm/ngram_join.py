@@ -25,41 +25,44 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import constant_array, saved
 from .components import components
-from .hashing import WordHashes, rolling
+from .hashing import in_batches, rolling, word_hashes
 
 GRAM, PERCENT = 5, 80
 #: Buckets of the counting sketch, whatever the size of the table; and by how many standard
 #: deviations a bucket must exceed the mean for its grams to count as frequent.
 SKETCH_BITS, DEVIATIONS = 17, 6
-#: Candidates in one prefix tree; a set with more of them walks several.
-TREE = 500
+#: Grams of candidates in one prefix tree, about; a set with more of them walks several.
+TREE = 250_000
 #: Bits of the filter that spares texts of documents without candidates the shuffle.
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 21
 
 
-def grams(text: str | None, known: WordHashes) -> np.ndarray:
-    """Distinct n-grams of a text as 64-bit hashes, sorted by hash."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space alone
-    if not words:
-        return np.empty(0, np.uint64)
-    n = min(GRAM, len(words))
-    found = np.unique(rolling(known.of(words), n))
-    return found if n == GRAM else found ^ np.uint64(n)  # a short text's gram is no other's
+def gram_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The distinct n-grams of each text as 64-bit hashes, sorted by hash."""
+    hashes, starts = word_hashes([t.lower() for t in texts])  # bytes: A-Z and ASCII white space alone
+    full, out = rolling(hashes, GRAM), []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if b - a >= GRAM:
+            out.append(np.unique(full[a : b - GRAM + 1]))
+        else:
+            out.append(rolling(hashes[a:b], b - a) ^ np.uint64(b - a) if b > a else hashes[:0])  # a short text's gram is no other's
+    return out
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """How far each bucket's count lies above what chance gives; 0 for most. Counted over all documents."""
-    size = 1 << SKETCH_BITS
+    """How often grams of each bucket occur, where chance doesn't give that; else 0. Counted over all documents."""
+    size, shift = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = WordHashes(), np.zeros(size, np.int64)
+        counts = np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts += 0 if text is None else np.bincount((grams(text, known) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+            for _, texts in in_batches((0, t) for t in batch.column(0).to_pylist()):
+                counts += np.bincount((np.concatenate(gram_sets(texts)) >> shift).astype(np.int64), minlength=size)
         at = np.flatnonzero(counts)
         for k in range(0, len(at), 8192):
             part = at[k : k + 8192]
@@ -73,10 +76,11 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return np.where(counts > mean + DEVIATIONS * np.sqrt(mean) + DEVIATIONS, counts, 0)
 
 
-def ordered(found: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """A set in the common order: frequent grams last."""
+def ordered(found: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set in the common order, frequent grams last; and how many aren't frequent."""
     level = heavy[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return found[np.argsort(level, kind="stable")] if level.any() else found
+    light = len(found) - int(np.count_nonzero(level))
+    return (found[np.argsort(level, kind="stable")] if light < len(found) else found), light
 
 
 def needed(n: int) -> int:
@@ -85,24 +89,26 @@ def needed(n: int) -> int:
 
 
 def posts(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n, the set's two keys, and the grams that it posts, of each document."""
-    out = "doc_id long, n int, key1 long, key2 long, post array<long>"
+    """doc_id, n, the set's two keys, how many of its posts are not frequent, and its posts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            for piece in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(piece, 256), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = grams(text, known)
+            for ids, texts in in_batches(zip(*(c.to_pylist() for c in batch.columns))):
+                rows = []
+                for doc, found in zip(ids, gram_sets(texts)):
                     n = len(found)
-                    with np.errstate(over="ignore"):
-                        k1 = int(np.bitwise_xor.reduce(found).view(np.int64)) if n else 0
-                        k2 = int((found * (found >> np.uint64(32) | np.uint64(1))).sum().view(np.int64)) if n else 0
-                    rows.append((doc, n, k1, k2, ordered(found, heavy)[: n - needed(n) + 1].view(np.int64) if n else np.empty(0, np.int64)))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n", "key1", "key2", "post"])
-
+                    if not n:
+                        rows.append((doc, 0, 0, 0, 0, found.view(np.int64)))
+                        continue
+                    k1 = int(np.bitwise_xor.reduce(found).view(np.int64))
+                    k2 = int((found * (found >> np.uint64(32) | np.uint64(1))).sum().view(np.int64))
+                    own, light = ordered(found, heavy)
+                    post = own[: n - needed(n) + 1]
+                    rows.append((doc, n, k1, k2, min(light, len(post)), post.view(np.int64)))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n", "key1", "key2", "light", "post"])
+
+    out = "doc_id long, n int, key1 long, key2 long, light int, post array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, out)
 
 
@@ -154,86 +160,84 @@ class Tree:
 
 
 def held(docs: DataFrame, pairs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """Of candidate pairs (a, b) those that link."""
+    """Of candidate pairs (a, b, n: size of b's set) those that link."""
     pairs = saved(pairs, "candidates")
-    count = pairs.groupBy("a").agg(F.count("*").alias("many"))
-    blocks = F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / TREE)).cast("int")
-    pairs = pairs.join(count, "a").select("a", blocks.alias("block"), "b", F.ceil(F.col("many") / TREE).cast("int").alias("blocks"))
-    ids = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "candidate-ids")
+    blocks = pairs.groupBy("a").agg(F.ceil(F.sum("n") / TREE).cast("int").alias("blocks"))
+    pairs = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
+    probes = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    wanted = saved(
+        pairs.select(F.col("b").alias("doc_id"), "a", "block", F.lit(False).alias("probe")).unionByName(
+            probes.select(F.col("a").alias("doc_id"), "a", "block", F.lit(True).alias("probe"))
+        ),
+        "wanted",
+    )
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     word, bit = (place / 64).cast("int"), (place % 64).cast("int")
     set_bits = F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
     words = dict.fromkeys(range(FILTER_BITS // 64), 0)
-    words |= {r.word: r.bits for r in ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(set_bits).collect()}  # FILTER_BITS / 64 rows
+    words |= {r.word: r.bits for r in wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(set_bits).collect()}  # FILTER_BITS / 64 rows
     some = F.getbit(F.element_at(constant_array(list(words.values()), "bigint"), word + 1), bit) == 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(some).join(ids, "doc_id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            for piece in range(0, batch.num_rows, 256):
-                part = batch.slice(piece, 256)
-                found = [ordered(grams(t, known), heavy).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "grams"])
-
-    own = saved(rows.mapInArrow(sets, "doc_id long, grams binary"), "sets")
-    probes = pairs.select("a", "blocks").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    sides = (
-        pairs.join(own, pairs.b == own.doc_id).select("a", "block", "b", "grams").unionByName(
-            probes.join(own, probes.a == own.doc_id).select("a", "block", F.lit(None).cast("long").alias("b"), "grams")
-        )
-    )
+    sides = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(some).join(wanted, "doc_id")
 
     def walk(group: pa.Table) -> pa.Table:
-        b = group["b"].to_pylist()
-        sets = [np.frombuffer(x, np.int64).tolist() for x in group["grams"].to_pylist()]
-        me = b.index(None)
-        others = [k for k in range(len(b)) if k != me]
-        links = [others[k] for k, _ in Tree([sets[k] for k in others]).overlaps(set(sets[me]))]
+        ids, probe = group["doc_id"].to_pylist(), group["probe"].to_pylist()
+        found = [ordered(s, heavy)[0].tolist() for s in gram_sets([(t or "").encode() for t in group["text"].to_pylist()])]
+        me = probe.index(True)
+        others = [k for k in range(len(ids)) if k != me]
+        links = [others[k] for k, _ in Tree([found[k] for k in others]).overlaps(set(found[me]))]
         a = group["a"][0].as_py()
-        return pa.table({"a": pa.array([a] * len(links), pa.int64()), "b": pa.array([b[k] for k in links], pa.int64())})
+        return pa.table({"a": pa.array([a] * len(links), pa.int64()), "b": pa.array([ids[k] for k in links], pa.int64())})
 
     return sides.groupBy("a", "block").applyInArrow(walk, "a long, b long")
 
 
+def shared_posts(made: DataFrame) -> DataFrame:
+    """gram, first, id, n, pos: posts of grams that several classes post; first is the smallest id of a gram."""
+    one = F.min(F.struct("doc_id", "light", "post")).alias("one")
+    classes = made.where("n > 0").groupBy("n", "key1", "key2").agg(one)
+    rows = classes.select(F.col("one.doc_id").alias("id"), "n", "one.light", F.posexplode("one.post").alias("pos", "gram"))
+    rows = rows.select("gram", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("size_pos"), (F.col("pos") >= F.col("light")).alias("frequent"))
+    # No gram outside the sketch's frequent ones has more than about 2 ** -SKETCH_BITS of all posts.
+    own = W.partitionBy("gram")
+    light = rows.where("not frequent").withColumns({"first": F.min("id").over(own), "many": F.count("*").over(own)}).where("many > 1")
+    often = rows.where("frequent")
+    groups = often.groupBy("gram").agg(F.min("id").alias("first"), F.count("*").alias("many")).where("many > 1")
+    both = light.select("gram", "first", "id", "size_pos").unionByName(often.join(groups, "gram").select("gram", "first", "id", "size_pos"))
+    n, pos = F.shiftright("size_pos", 32).cast("int"), F.col("size_pos").bitwiseAND(4294967295).cast("int")
+    return both.select("gram", "first", "id", n.alias("n"), pos.alias("pos"))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest linked id; its own without links)."""
     heavy = sketch(docs)
-    made = posts(docs, heavy)
-    members = saved(made.select("doc_id", "n", "key1", "key2"), "sets-of-documents")
-    one = F.min(F.struct("doc_id", "post")).alias("one")
-    classes = made.where("n > 0").groupBy("n", "key1", "key2").agg(one)
-    rows = classes.select(F.col("one.doc_id").alias("id"), "n", F.posexplode("one.post").alias("pos", "gram"))
-    rows = rows.select("gram", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("size_pos"))
-    groups = rows.groupBy("gram").agg(F.min("id").alias("first"), F.count("*").alias("many")).where("many > 1")
-    shared = saved(rows.join(groups, "gram").select("gram", "first", "id", F.shiftright("size_pos", 32).cast("int").alias("n"), F.expr("cast(size_pos & 4294967295 as int)").alias("pos")), "shared-posts")
+    made = saved(posts(docs, heavy), "posts")
+    shared = saved(shared_posts(made), "shared-posts")
     nearest = (
         shared.where("id <> first")
-        .groupBy("id", "first")
+        .groupBy("id", "first", "n")
         .agg(F.count("*").alias("times"))
-        .groupBy("id")
+        .groupBy("id", "n")
         .agg(F.max(F.struct("times", (-F.col("first")).alias("lowest"))).alias("best"))
     )
-    star = saved(held(docs, nearest.select((-F.col("best.lowest")).alias("a"), F.col("id").alias("b")), heavy), "links")
+    star = saved(held(docs, nearest.select((-F.col("best.lowest")).alias("a"), F.col("id").alias("b"), "n"), heavy), "links")
     found = components(star)
     # Pairs that share a post in different components, with the bound that their posts set.
-    labelled = saved(shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled-posts")
+    labelled = shared.join(found, "id", "left").select("gram", "id", "n", "pos", F.coalesce("component", "id").alias("component"))
     split = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
     open_posts = saved(labelled.join(split, "gram"), "open-posts")
-    x, y = open_posts.alias("x"), open_posts.alias("y")
-    c = F.col
+    x, y, c = open_posts.alias("x"), open_posts.alias("y"), F.col
     close = (100 * F.least(c("x.n"), c("y.n")) >= PERCENT * F.greatest(c("x.n"), c("y.n"))) & (c("x.id") < c("y.id"))
     pairs = x.join(y, (c("x.gram") == c("y.gram")) & close & (c("x.component") != c("y.component")))
-    bounds = pairs.groupBy(c("x.id").alias("a"), c("y.id").alias("b")).agg(
-        F.count("*").alias("same"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"), F.first("x.n").alias("na"), F.first("y.n").alias("nb")
+    bounds = pairs.groupBy(c("x.id").alias("a"), c("y.id").alias("b"), c("x.n").alias("na"), c("y.n").alias("n")).agg(
+        F.count("*").alias("same"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j")
     )
-    most = c("same") + F.least(c("na") - c("i"), c("nb") - c("j")) - 1
-    more = bounds.where((100 + PERCENT) * most >= PERCENT * (c("na") + c("nb"))).select("a", "b")
-    links = star.unionByName(held(docs, more, heavy))
-    reached = components(links)
+    most = c("same") + F.least(c("na") - c("i"), c("n") - c("j")) - 1
+    more = bounds.where((100 + PERCENT) * most >= PERCENT * (c("na") + c("n"))).select("a", "b", "n")
+    reached = components(star.unionByName(held(docs, more, heavy)))
     # Back from classes to documents.
-    firsts = members.where("n > 0").groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("id"))
+    firsts = made.where("n > 0").groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("id"))
     label = firsts.join(reached, "id", "left").select("n", "key1", "key2", F.coalesce("component", "id").alias("component_id"))
+    members = made.select("doc_id", "n", "key1", "key2")
     return members.join(label, ["n", "key1", "key2"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .hashing import WordHashes, mix, rolling
+from .hashing import in_batches, mix, rolling, word_hashes
 
 WINDOW, SEED = 20, 8
 #: place: the first window that picks the seed, times 16, plus how many windows do (13 at most).
@@ -45,38 +45,37 @@ def picks(seeds: np.ndarray, span: int) -> np.ndarray:
     return np.where(seeds[b] <= seeds[a], b, a)
 
 
-def anchors_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, passage, start, stop): each anchor with the windows that pick it and their words' hash."""
-    seeds = rolling(hashes, SEED)
-    at = picks(seeds, WINDOW - SEED + 1)
-    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    stop = np.r_[start[1:], len(at)]
-    windows = rolling(hashes, WINDOW)
-    # The passage is its first window, its last, and how they lie: with the words between them
-    # covered by the two windows, as they start less than WINDOW words apart.
-    with np.errstate(over="ignore"):
-        passage = mix(windows[start] * np.uint64(3) + windows[stop - 1] * np.uint64(0x9E3779B1) + (stop - start).astype(np.uint64) * np.uint64(1 << 40) + (at[start] - start).astype(np.uint64))
-    return seeds[at[start]], passage, start, stop
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # bytes split at ASCII white space alone
 
 
+def anchors_of(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, passage, text, place) of the anchors of several texts, whose words start at `starts`."""
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    if len(hashes) < WINDOW:
+        return (np.empty(0, np.uint64),) * 4
+    seeds, windows = rolling(hashes, SEED), rolling(hashes, WINDOW)
+    own = np.flatnonzero(text[: len(windows)] == text[WINDOW - 1 :])  # windows within one text
+    at = picks(seeds, WINDOW - SEED + 1)[own]
+    new = np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1] + 1)] if len(own) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    start, many = own[first], np.diff(np.r_[first, len(own)])
+    # A passage is its first window, its last, and how they lie: between them they have all its words.
+    shape = (many.astype(np.uint64) << np.uint64(40)) + (at[first] - start).astype(np.uint64)
+    passage = mix(windows[start] * np.uint64(3) + windows[start + many - 1] * np.uint64(0x9E3779B1) + shape)
+    return seeds[at[first]], passage, text[start], (start - starts[text[start]]) * 16 + many
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            for piece in range(0, batch.num_rows, 512):
-                part, cols = batch.slice(piece, 512), [[], [], [], []]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = words_of(text)
-                    if len(own) >= WINDOW:
-                        seed, passage, start, stop = anchors_of(known.of(own))
-                        for c, x in zip(cols, (seed.view(np.int64), passage.view(np.int64), np.full(len(seed), doc), start * 16 + stop - start)):
-                            c.append(x)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["seed", "passage", "doc_id", "place"])
+            for ids, texts in in_batches(zip(*(c.to_pylist() for c in batch.columns))):
+                seed, passage, text, place = anchors_of(*word_hashes(texts))
+                if len(seed):
+                    doc = np.array(ids, np.int64)[text]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c.view(np.int64)) for c in (seed, passage, doc, place)], ["seed", "passage", "doc_id", "place"]
+                    )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ANCHORS)
 
@@ -90,7 +89,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop: word ranges [start, stop) that repeat an earlier place, not yet merged."""
     seeds = anchors(docs)
     classes = seeds.groupBy("seed", "passage").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
-    several = classes.groupBy("seed").agg(F.count("*").alias("classes"), F.sum("n").alias("rows")).where("rows > 1")
+    # With a column of first, too: the two sides of the join then are one exchange.
+    some = F.max("first.doc_id").alias("some")
+    several = classes.groupBy("seed").agg(F.count("*").alias("classes"), F.sum("n").alias("rows"), some).where("rows > 1 and some is not null").drop("some")
     known = saved(classes.join(several, "seed").select("seed", "passage", "first", "n", "classes"), "anchor-classes")
     # Later places of a class: all their windows repeat. Anchors are made anew, which is cheaper than to keep them.
     later = (
@@ -105,10 +106,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes = known.of(words_of(text))
+                hashes, _ = word_hashes([(text or "").encode()])
                 one, two = rolling(hashes, WINDOW), rolling(mix(hashes), WINDOW)
                 at = np.unique(np.concatenate([np.arange(r["start"], r["stop"]) for r in runs]))
                 yield pa.RecordBatch.from_arrays(

@@ -27,10 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+    """df as a table in the shared folder: cuts the lineage and survives lost executors.
+
+    The driver then collects its garbage, upon which Spark deletes the shuffle files that made df.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,0 +1,211 @@
+"""The numbered operators against plain code, on small tables with nulls, empty and repeated texts."""
+
+import random
+from collections import defaultdict
+from hashlib import sha256
+from zlib import crc32
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sparkward.llm import bpe, exact_dedup, html_extract, ngram_join, packing, pii, quality, substring_dedup, token_counts, url_filter
+
+BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, w string, digest string"
+
+
+def texts(seed=1, n=60):
+    draw, out = random.Random(seed), [None, "", " \n\t", "one", "one two", "a a a a a", "Ünïcode naïve 漢字 <|endoftext|> x's"]
+    word = lambda: "".join(draw.choices("abcdeé", k=draw.randint(1, 4)))
+    shared = " ".join(word() for _ in range(40))
+    for _ in range(n):
+        kind = draw.random()
+        if kind < 0.3 and len(out) > 10:
+            own = (draw.choice(out[7:]) or "x").split(" ")
+            own[draw.randrange(len(own))] = word()
+            out.append(" ".join(own))
+        elif kind < 0.4:
+            out.append(draw.choice(out))
+        else:
+            body = " ".join(word() for _ in range(draw.choice([3, 30, 200])))
+            out.append(body + ("\n" + shared + "\n" + body[:40] if draw.random() < 0.4 else ""))
+    return [*out, "z" * 50_000, " ".join(["rep eat"] * 3000)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "en", "s", len(t or ""), "x", "y") for k, t in enumerate(texts())]
+    return spark.createDataFrame(rows, SCHEMA).repartition(4)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_packing(docs, empty):
+    tok, all_ = Tokenizer.from_file(BPE), texts()
+    ids = {k: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for k, t in enumerate(all_)}
+    rows = packing.pack(docs, BPE).collect()
+    of, bins = defaultdict(list), defaultdict(list)
+    for r in rows:
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids[r.doc_id]) and crc32(np.array(own, "<u4").tobytes()) == r.ids_crc32
+        of[r.doc_id].append((r.start, r.length))
+        bins[r.sequence_id].append((r.offset, r.length))
+    for k, own in ids.items():
+        at = 0
+        for start, length in sorted(of[k]):
+            assert start == at
+            at += length
+        assert at == len(own)
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert packing.pack(empty, BPE).count() == 0
+
+
+def test_bpe(docs, empty):
+    tok = Tokenizer.from_file(BPE)
+    got = {r.doc_id: r for r in bpe.encoded(docs, BPE, leaf=200).collect()}
+    for k, t in enumerate(texts()):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want = (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == want, k
+    assert bpe.encoded(empty, BPE).count() == 0
+
+
+def test_token_counts(docs, empty):
+    model = token_counts.PieceCounts(PIECES).model
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, PIECES).collect()}
+    assert got == {k: len(model.encode(t or "")) for k, t in enumerate(texts())}
+    assert token_counts.token_counts(empty, PIECES).count() == 0
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(docs, empty, weak):
+    groups = defaultdict(list)
+    for k, t in enumerate(texts()):
+        groups["".join((t or "").encode().decode().translate({c: None for c in (32, *range(9, 14))}))].append((-len(t or ""), k))
+    want = {k: (min(g)[1], len(g), sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, k in g}
+    digest = (lambda x: F.length(x).cast("long") % 3) if weak else F.xxhash64  # different bytes under one digest
+    got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_groups(docs, digest).collect()}
+    assert got == want
+    assert exact_dedup.exact_groups(empty).count() == 0
+
+
+def test_substring_dedup(docs, empty):
+    got, seen = {r.doc_id: r for r in substring_dedup.deduplicated(docs).collect()}, set()
+    for k, t in enumerate(texts()):
+        own = (t or "").encode().split()
+        gone = [False] * len(own)
+        for i in range(len(own) - 19):
+            key = tuple(own[i : i + 20])
+            if key in seen:
+                gone[i : i + 20] = [True] * 20
+            seen.add(key)
+        keep = b" ".join(w for w, g in zip(own, gone) if not g)
+        assert (got[k].n_words, got[k].n_removed, got[k].kept_sha256) == (len(own), sum(gone), sha256(keep).hexdigest()), k
+    assert substring_dedup.deduplicated(empty).count() == 0
+
+
+def test_ngram_join(docs, empty):
+    sets = {}
+    for k, t in enumerate(texts()):
+        own = (t or "").encode().lower().split()
+        sets[k] = {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+    parent = {k: k for k in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs).collect()}
+    assert got == {k: (len(s), top(k)) for k, s in sets.items()}
+    assert ngram_join.linked(empty).count() == 0
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
+    for k, t in enumerate(texts()):
+        t = t or ""
+        own = t.encode().split()
+        gone, seen = [False] * len(own), defaultdict(list)
+        for i in range(len(own) - 7):
+            seen[tuple(own[i : i + 8])].append(i)
+        for at in seen.values():
+            for i in at if len(at) > 1 else ():
+                gone[i : i + 8] = [True] * 8
+        lines = [x for x in t.split("\n") if x.encode().split()]
+        failed = len(own) < 20 or 100 * sum(gone) > 30 * len(own)
+        r = got[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (
+            len(own), sum(len(w.decode()) for w in own), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), sum(gone), failed), k
+        assert not (r.kept and failed)
+    assert quality.judged(empty, labels).count() == 0
+    assert quality.judged(docs, labels, carry=True).select("_row.*").columns == docs.columns
+
+
+def test_pii(spark, docs, empty):
+    rows = [
+        (1, "Mail a.b@mail1.example.com or A.B@MAIL1.EXAMPLE.COM, card 4111 1111 1111 1111 and 4111111111111111."), (2, "card 4111111111111112 stays, ip 10.20.30.40! +1 (988) 555-2485"),
+        (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" a.b@mail1.example.com'), (4, "Mr. John Smith met Frau Smith. Г-н Иванов."), (5, None), (6, ""), (7, "nothing here 12 34"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r for r in pii.replaced(df, "key").collect()}
+    new = got[1].text.split()[1]
+    assert new in got[3].text and new.upper() in got[1].text and "mail1" not in got[1].text and "@mail" in new
+    plain = got[1].text.split()[-1][:-1]
+    assert " ".join(plain[k : k + 4] for k in range(0, 16, 4)) in got[1].text and plain != "4111111111111111" and plain[0] == "4"
+    assert "4111111111111112" in got[2].text and "10.20.30.40!" not in got[2].text and "555-2485" not in got[2].text
+    assert "24be" not in got[3].text and got[3].text.startswith('token = "') and len(got[3].text.split('"')[1]) == 40
+    assert got[4].text.startswith("Mr. ") and "Smith" not in got[4].text and "Г-н" in got[4].text and "Иванов" not in got[4].text
+    assert (got[5].text, got[6].text, got[7].text, got[7].n_entities) == (None, "", "nothing here 12 34", 0)
+    assert all(r.n_chars is None or r.n_chars == len(r.text) for r in got.values())
+    assert pii.replaced(df, "other").where("doc_id = 1").first().text != got[1].text
+    assert pii.replaced(empty, "key").count() == 0 and pii.replaced(docs, "key").count() == docs.count()
+
+
+def test_surrogates_differ(spark):
+    values = spark.createDataFrame([("ip", f"1.2.{k // 200}.{k % 200}") for k in range(5000)] + [("ip", f"10.0.{k}.1") for k in range(200)], "kind string, value string")
+    got = pii.distinct_surrogates(values, "key")
+    new = {r.new for r in got.collect()}
+    assert len(new) == 5200 and not new & {r.value for r in values.collect()}
+
+
+def test_html():
+    field = html_extract.trained()
+    held = html_extract.labelled_pages(60, 99)
+    assert sum(field.best(rows) == labels for rows, labels in held) >= 57
+    page = '<html><body><nav><ul><li><a href="/">home</a></li></ul></nav><article><h1>A &amp; B</h1><p>One  <b>two</b>\nthree.<p>Four.</article><div class="comments"><p>Nice one, thanks a lot.</p></div><footer>© x</footer>'
+    assert html_extract.main_text(page, field) == "A & B\nOne two three.\nFour."
+    assert html_extract.main_text(None, field) == "" == html_extract.main_text("<script>x</script>", field)
+
+
+def test_urls(spark):
+    urls = ["http://a.net/x", "HTTP://Example.NET/en/1", "https://b.example.com/de/1?q", "https://x.org/fr/", "https://x.org/fr", None, "nothing", "https://example.com/en", "http://bad.example.io/spam/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(9)], "doc_id long, quality int, toxic int")
+    got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.filtered(pages, labels).orderBy("page_id").collect()]
+    assert got == [
+        ("a.net", "/x", "net/", "block"), ("example.net", "/en/1", "example.net/en/", "allow"), ("b.example.com", "/de/1", "example.com/de/", "block"), ("x.org", "/fr/", "org/fr/", "allow"),
+        ("x.org", "/fr", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("example.com", "/en", None, "allow"), ("bad.example.io", "/spam/1", None, "allow"),
+    ]
+    many = spark.createDataFrame([(k, f"http://h{k % 50}.example.io/{'spam' if k % 4 == 0 else 'ok'}/{k}") for k in range(400)], "page_id long, url string")
+    bad = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    found = {r.page_id: r.verdict for r in url_filter.filtered(many, bad).collect()}
+    assert all(found[k] == ("block" if k % 4 == 0 else "allow") for k in range(400))

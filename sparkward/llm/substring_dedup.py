@@ -129,7 +129,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256."""
-    found = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    found = saved(repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "repeats")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

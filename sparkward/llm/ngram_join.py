@@ -35,7 +35,7 @@ from .hashing import in_batches, rolling, word_hashes
 GRAM, PERCENT = 5, 80
 #: Buckets of the counting sketch, whatever the size of the table; and by how many standard
 #: deviations a bucket must exceed the mean for its grams to count as frequent.
-SKETCH_BITS, DEVIATIONS = 17, 6
+SKETCH_BITS, DEVIATIONS = 19, 3
 #: Grams of candidates in one prefix tree, about; a set with more of them walks several.
 TREE = 250_000
 #: Bits of the filter that spares texts of documents without candidates the shuffle.
@@ -70,8 +70,8 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
     rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
-    for r in rows.collect():  # a row a bucket
-        counts[r.bucket] = r.n
+    found = rows.toPandas()  # a row a bucket
+    counts[found.bucket.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
     mean = counts.mean()
     return np.where(counts > mean + DEVIATIONS * np.sqrt(mean) + DEVIATIONS, counts, 0)
 
@@ -226,7 +226,10 @@ def linked(docs: DataFrame) -> DataFrame:
     split = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
     open_posts = saved(labelled.join(split, "gram"), "open-posts")
     x, y, c = open_posts.alias("x"), open_posts.alias("y"), F.col
-    close = (100 * F.least(c("x.n"), c("y.n")) >= PERCENT * F.greatest(c("x.n"), c("y.n"))) & (c("x.id") < c("y.id"))
+    # What comes before a shared gram and what comes after it bound the overlap, too.
+    around = F.least(c("x.pos"), c("y.pos")) + 1 + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) - 1
+    reach = (100 + PERCENT) * around >= PERCENT * (c("x.n") + c("y.n"))
+    close = reach & (100 * F.least(c("x.n"), c("y.n")) >= PERCENT * F.greatest(c("x.n"), c("y.n"))) & (c("x.id") < c("y.id"))
     pairs = x.join(y, (c("x.gram") == c("y.gram")) & close & (c("x.component") != c("y.component")))
     bounds = pairs.groupBy(c("x.id").alias("a"), c("y.id").alias("b"), c("x.n").alias("na"), c("y.n").alias("n")).agg(
         F.count("*").alias("same"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j")

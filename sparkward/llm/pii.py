@@ -12,7 +12,7 @@ gender (by honorific) and script.
 
 A null or empty text stays as it is; so does every text without entities. Rows that repeat an id or a
 text are treated alike, each for itself. All other columns are handed through, only n_chars is
-counted anew where there is one. Columns named _ents, _gaps or _map would clash and are not allowed.
+counted anew where there is one. Columns named _ents, _gaps, _map, _id or n_entities would clash and are not allowed.
 An empty table gives an empty result.
 """
 
@@ -97,58 +97,54 @@ def hashed(key: str, *parts: Column) -> Column:
     return F.array_join(blocks, "")
 
 
-def number(stream: Column, i: Column, most: int) -> Column:
+def number(stream: Column, i: Column, most: Column) -> Column:
     return F.conv(F.substring(stream, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % most
 
 
-def same_format(value: Column, stream: Column) -> Column:
+def same_format(value: Column, stream: Column, hexa: Column) -> Column:
     """Digits for digits and letters for letters, by case; hexadecimal values stay so."""
-    hexa = value.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & value.rlike("[0-9]")
-    pick = lambda chars, stream, i: F.substring(F.lit(chars), number(stream, i, len(chars)) + 1, F.lit(1))
+    pick = lambda chars, i: F.substring(F.lit(chars), number(stream, i, F.lit(len(chars))) + 1, F.lit(1))
     chars = F.transform(
         F.split(value, ""),
-        lambda c, i: F.when(hexa, pick("0123456789abcdef", stream, i))
-        .when(c.rlike("[0-9]"), pick("0123456789", stream, i))
-        .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", stream, i))
-        .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", stream, i))
+        lambda c, i: F.when(hexa, pick("0123456789abcdef", i))
+        .when(c.rlike("[0-9]"), pick("0123456789", i))
+        .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", i))
+        .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i))
         .otherwise(c),
     )
     return F.array_join(chars, "")
 
 
-def name_for(word: Column, kind: Column, stream: Column, attempt: Column) -> Column:
-    script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    out = F.lit(None).cast("string")
-    for name, text in SYLLABLES.items():
-        own = text.split()
-        parts = F.transform(
-            F.sequence(F.lit(0), F.lit(2) + F.floor(attempt / 8).cast("int")),
-            lambda i: F.element_at(F.array(*[F.lit(s) for s in own]), number(stream, i, len(own)) + 1),
-        )
-        for gender in ("male", "female"):
-            ends = ENDINGS[name, gender].split()
-            end = F.element_at(F.array(*[F.lit(e) for e in ends]), number(stream, F.lit(30), len(ends)) + 1)
-            out = F.when((script == name) & (kind == gender), F.initcap(F.concat(F.array_join(parts, ""), end))).otherwise(out)
-    return out
-
+def with_surrogates(values: DataFrame, key: str) -> DataFrame:
+    """values (kind, value, attempt) with new: digits for number types, a name for a name, else as the value looks.
 
-def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """Of a canonical value: digits for number types, a name for a name, else as the value looks."""
-    stream = hashed(key, kind, attempt, value)
-    figures = same_format(value, stream)
-    number_at = lambda i, most: number(stream, F.lit(i), most).cast("string")
-    check = F.substring(figures, F.lit(1), F.length(figures) - 1)
-    check = F.concat(F.substring(value, 1, 1), F.substring(check, 2, 40))
-    card = F.concat(check, ((10 - luhn(F.concat(check, F.lit("0")))) % 10).cast("string"))
-    code = F.substring(value, 1, 1)
-    phone = F.concat(code, F.substring(figures, 2, 40))
+    Every intermediate value is a column of its own: one expression for all of it grows beyond what can be planned.
+    """
+    kind, value, stream, figures = (F.col(c) for c in ("kind", "value", "_stream", "_figures"))
+    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    syllables, endings = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, text in SYLLABLES.items():
+        syllables = F.when(F.col("_script") == name, text).otherwise(syllables)
+    for (name, gender), text in ENDINGS.items():
+        endings = F.when((F.col("_script") == name) & (kind == gender), text).otherwise(endings)
+    syllable_numbers = F.sequence(F.lit(0), F.lit(2) + F.floor(F.col("attempt") / 8).cast("int"))
+    pick = lambda choices, i: F.element_at(choices, number(stream, i, F.size(choices)) + 1)
+    number_at = lambda i, most: number(stream, F.lit(i), F.lit(most)).cast("string")
+    shape = F.when(kind == "email", F.substring_index(value, "@", 1)).otherwise(value)
+    df = values.withColumns({"_stream": hashed(key, kind, F.col("attempt"), value), "_shape": shape, "_script": script})
+    df = df.withColumns({"_hexa": F.col("_shape").rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & F.col("_shape").rlike("[0-9]"), "_syllables": F.split(syllables, " "), "_endings": F.split(endings, " ")})
+    df = df.withColumn("_figures", same_format(F.col("_shape"), stream, F.col("_hexa")))
+    # A card's first digit stays, the last is its check digit; a telephone number's first digit stays.
+    df = df.withColumn("_body", F.concat(F.substring(value, 1, 1), F.expr("substring(_figures, 2, length(_figures) - 2)")))
+    check = ((10 - luhn(F.concat("_body", F.lit("0")))) % 10).cast("string")
     ip = F.concat(F.lit("10."), number_at(20, 256), F.lit("."), number_at(21, 256), F.lit("."), number_at(22, 256))
-    local = F.substring_index(value, "@", 1)
-    mail = F.concat(same_format(local, stream), F.lit("@mail"), number_at(31, 100), F.lit(".example.org"))
-    return (
-        F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "email", mail)
-        .when(kind.isin("male", "female"), name_for(value, kind, stream, attempt)).otherwise(figures)
+    name = F.concat(F.array_join(F.transform(syllable_numbers, lambda i: pick(F.col("_syllables"), i)), ""), pick(F.col("_endings"), F.lit(30)))
+    new = (
+        F.when(kind == "card", F.concat("_body", check)).when(kind == "phone", F.concat(F.substring(value, 1, 1), F.substring(figures, 2, 40)))
+        .when(kind == "ip", ip).when(kind == "email", F.concat(figures, F.lit("@mail"), number_at(31, 100), F.lit(".example.org")))
+        .when(kind.isin("male", "female"), F.initcap(name)).otherwise(figures)
     )
+    return df.select(*values.columns, new.alias("new"))
 
 
 def canonical(kind: Column, entity: Column) -> Column:
@@ -165,8 +161,7 @@ def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
     todo, done = values.withColumn("attempt", F.lit(0)), None
     taken = values.select("kind", F.col("value").alias("new"))
     while True:
-        tried = todo.withColumn("new", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt")))
-        tried = tried.select("kind", "value", "attempt", "new")
+        tried = with_surrogates(todo.select("kind", "value", "attempt"), key)
         every = saved(tried if done is None else done.unionByName(tried), "surrogates")
         # The first to hold a surrogate keeps it: who had it longer, then the smallest value.
         owner = every.groupBy("kind", "new").agg(F.min(F.struct("attempt", "value"))["value"].alias("owner"))
@@ -217,7 +212,8 @@ def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         .groupBy("doc_id")
         .agg(F.map_from_entries(F.collect_set(F.struct("entity", "new"))).alias("_map"))
     )
-    joined = some.join(maps, "doc_id", "left")
+    maps = maps.withColumnRenamed("doc_id", "_id")
+    joined = some.join(maps, some["doc_id"].eqNullSafe(maps["_id"]), "left")
     pieces = F.zip_with(
         "_gaps", "_ents", lambda g, e: F.concat(g, F.coalesce(F.element_at(F.coalesce("_map", F.create_map().cast("map<string,string>")), e), e, F.lit("")))
     )

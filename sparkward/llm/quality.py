@@ -106,6 +106,9 @@ def judged(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame
     total = F.aggregate("grams", F.lit(0.0), lambda x, b: x + F.element_at(weights, b + 1))
     score = F.round(total / F.greatest(F.size("grams"), F.lit(1)), 6)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    # The id changes no verdict. It keeps a filter on kept where it stands: pushed down, the filter would
+    # have every column above written into it, words in place of w for each window among them.
+    kept = ~failed & (score >= THRESHOLD) & (F.monotonically_increasing_id() >= 0)
     return rows.select(
         "doc_id",
         "n_words",
@@ -115,6 +118,6 @@ def judged(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame
         "n_repeat_words",
         failed.alias("base_failed"),
         score.alias("score"),
-        (~failed & (score >= THRESHOLD)).alias("kept"),
+        kept.alias("kept"),
         *(["_row"] if carry else []),
     )

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
@@ -106,6 +107,12 @@ class Tree:
         return pieces[0][2] if pieces else []
 
 
+@lru_cache(maxsize=2)
+def tree_for(path: str) -> Tree:
+    """One for all groups of a worker: it reads the whole vocabulary."""
+    return Tree(path)
+
+
 def row(doc: int, n: int, ids: str, decoded: str) -> tuple:
     return doc, n, sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
 
@@ -146,14 +153,14 @@ def encoded(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
                 )
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(tokenizer)
+        tree = tree_for(tokenizer)
         for batch in batches:
             found = [tree.leaf(t, a) for a, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             cols = [pa.array([[t[k] for t in x] for x in found], pa.list_(pa.int32() if k == 0 else pa.int64())) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "ids", "a", "b"])
 
     def joined(group: pa.Table) -> pa.Table:
-        tree, parts = Tree(tokenizer), group.sort_by("leaf").to_pylist()
+        tree, parts = tree_for(tokenizer), group.sort_by("leaf").to_pylist()
         found = tree.encode(
             "".join(p["text"] for p in parts),
             [(p["start"], p["start"] + len(p["text"]), list(zip(p["ids"], p["a"], p["b"]))) for p in parts],

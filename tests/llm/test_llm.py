@@ -158,6 +158,8 @@ def test_quality(spark, docs, empty):
         assert not (r.kept and failed)
     assert quality.judged(empty, labels).count() == 0
     assert quality.judged(docs, labels, carry=True).select("_row.*").columns == docs.columns
+    rows = quality.judged(docs, labels, carry=True)  # a filter on the verdict changes none, and planning ends
+    assert rows.where("kept").select("_row.*").count() == sum(r.kept for r in quality.judged(docs, labels).collect())
 
 
 def test_pii(spark, docs, empty):

@@ -42,8 +42,18 @@ PATTERNS = {
     "female": FEMALE + r"\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What any text with an entity has; spares the rest the long pattern.
-HINT = r"[0-9]{2}|@|(?i:key|token|secret|passw|pwd|credential)|" + MALE + r"\.? \p{Lu}|" + FEMALE + r"\.? \p{Lu}"
+#: type -> what any entity of it has; a text without all of these is spared the long pattern.
+HINTS = {
+    "email": "@",
+    "secret": r"(?i:key|token|secret|passw|pwd|credential)",
+    "aws": r"(?:AKIA|ASIA)[A-Z0-9]",
+    "apikey": r"(?:sk|pk|ghp|gho|ghs|glpat|xoxb|xoxp)[-_][A-Za-z0-9_-]",
+    "iban": r"[0-9]{2}", "phone": r"[0-9]{2}", "card": r"[0-9]{2}", "ssn": r"[0-9]{2}",
+    "ip": r"[0-9]\.[0-9]+\.[0-9]",
+    "male": MALE + r"\.? \p{Lu}",
+    "female": FEMALE + r"\.? \p{Lu}",
+}
+HINT = "|".join(dict.fromkeys(HINTS.values()))
 DIGITS = ("phone", "card", "ssn")
 #: Syllables and gendered endings by script; names are made of them, as long as it takes to differ.
 SYLLABLES = {

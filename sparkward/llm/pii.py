@@ -4,12 +4,17 @@ Detected are e-mail addresses, IPv4 addresses, telephone numbers, payment cards
 digit), access keys and values assigned to secret names, social security numbers, bank accounts, and
 names after an honorific. All distinct entities of the table are gathered, each gets a surrogate from
 a keyed hash, and entities whose surrogates collide with each other or with an entity of the corpus
-are given the next one, until all differ. So one entity has one surrogate everywhere, two have two,
+are given the next one, until all differ; from the fifth attempt on (the 17th for addresses) a surrogate
+is a character longer each time, so that there is always room. So one entity has one surrogate everywhere, two have two,
 and nobody without the key can tell which belongs to which. Surrogates keep type and format: digits
 stay digits and letters letters of their case, separators and prefixes stay, card numbers keep a valid
 check digit, addresses lie in a private network, mail goes to a reserved domain, and names keep
 gender (by honorific) and script.
 
+A secret's value holds a letter or digit: lines of other characters are no secret. After a colon and a space,
+unquoted, as prose has it, it must also have a mark of a key: a digit, one of _+=, a capital after a small
+letter, or 24 letters in a row. Passwords need no mark, since any word may be one.
+
 A null or empty text stays as it is; so does every text without entities. Rows that repeat an id or a
 text are treated alike, each for itself. All other columns are handed through, only n_chars is
 counted anew where there is one. Columns named _ents, _gaps, _map, _id or n_entities would clash and are not allowed.
@@ -27,10 +32,14 @@ from .common import saved
 MALE = r"(?:Mr|Sir|Herrn?|Monsieur|Señor|Sr|Г-н|Господин|Κύριος|Κος)"
 FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Госпожа|Κυρία|Κα)"
 SECRET_NAME = r"(?i:[\w-]{0,40}(?:key|token|secret|passw(?:or)?d|passwort|pwd|credential)[\w-]{0,40})"
+PASSWORD_NAME = r"(?i:[\w-]{0,40}(?:passw(?:or)?d|passwort|pwd)[\w-]{0,40})"
+VALUE = r"(?=[_+/=.-]*[A-Za-z0-9])[A-Za-z0-9_+/=.-]{8,}"
+#: What tells a value from a word of prose.
+KEY_MARK = r"(?=[A-Za-z/.-]*(?:[0-9_+=]|[a-z][A-Z]|[A-Za-z]{24}))"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]+(?:\.[\w-]+)+",
-    "secret": SECRET_NAME + r"\"?\s?[=:]\s?[\"']?[A-Za-z0-9_+/=.-]{8,}",
+    "secret": rf"{PASSWORD_NAME}\"?\s?[=:]\s?[\"']?{VALUE}|{SECRET_NAME}\"?\s?(?:=\s?[\"']?|:\s?[\"']|:(?!\s)|:\s{KEY_MARK}){VALUE}",
     "aws": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "apikey": r"(?<![A-Za-z0-9])(?:sk|pk|ghp|gho|ghs|glpat|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -143,14 +152,19 @@ def with_surrogates(values: DataFrame, key: str) -> DataFrame:
     shape = F.when(kind == "email", F.substring_index(value, "@", 1)).otherwise(value)
     df = values.withColumns({"_stream": hashed(key, kind, F.col("attempt"), value), "_shape": shape, "_script": script})
     df = df.withColumns({"_hexa": F.col("_shape").rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & F.col("_shape").rlike("[0-9]"), "_syllables": F.split(syllables, " "), "_endings": F.split(endings, " ")})
-    df = df.withColumn("_figures", same_format(F.col("_shape"), stream, F.col("_hexa")))
+    # What later attempts add: a hash's digits, as letters where the value has no digit.
+    grown = F.greatest(F.col("attempt") - F.when(kind == "ip", 15).otherwise(3), F.lit(0)).cast("int")
+    more = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("more"), kind, F.col("attempt").cast("string"), value), 512), F.lit(1), grown)
+    more = F.when(kind.isin(*DIGITS, "ip"), F.translate(more, "abcdef", "012345")).when(F.col("_hexa") | value.rlike("[0-9]"), more).otherwise(F.translate(more, "0123456789", "ghijklmnop"))
+    df = df.withColumn("_more", F.when(value.rlike("[A-Z]") & ~value.rlike("[a-z]"), F.upper(more)).otherwise(more))
+    df = df.withColumn("_figures", F.concat(same_format(F.col("_shape"), stream, F.col("_hexa")), F.when(kind == "ip", "").otherwise(F.col("_more"))))
     # A card's first digit stays, the last is its check digit; a telephone number's first digit stays.
     df = df.withColumn("_body", F.concat(F.substring(value, 1, 1), F.expr("substring(_figures, 2, length(_figures) - 2)")))
     check = ((10 - luhn(F.concat("_body", F.lit("0")))) % 10).cast("string")
-    ip = F.concat(F.lit("10."), number_at(20, 256), F.lit("."), number_at(21, 256), F.lit("."), number_at(22, 256))
+    ip = F.concat(F.lit("10."), number_at(20, 256), F.lit("."), number_at(21, 256), F.lit("."), number_at(22, 256), F.when(F.col("_more") != "", F.concat(F.lit("."), "_more")).otherwise(""))
     name = F.concat(F.array_join(F.transform(syllable_numbers, lambda i: pick(F.col("_syllables"), i)), ""), pick(F.col("_endings"), F.lit(30)))
     new = (
-        F.when(kind == "card", F.concat("_body", check)).when(kind == "phone", F.concat(F.substring(value, 1, 1), F.substring(figures, 2, 40)))
+        F.when(kind == "card", F.concat("_body", check)).when(kind == "phone", F.concat(F.substring(value, 1, 1), F.substring(figures, 2, 200)))
         .when(kind == "ip", ip).when(kind == "email", F.concat(figures, F.lit("@mail"), number_at(31, 100), F.lit(".example.org")))
         .when(kind.isin("male", "female"), F.initcap(name)).otherwise(figures)
     )
@@ -167,7 +181,10 @@ def canonical(kind: Column, entity: Column) -> Column:
 
 
 def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
-    """kind, value, new: no two values of a kind share a surrogate, and none is a value of the corpus."""
+    """kind, value, new: no two values of a kind share a surrogate, and none is a value of the corpus.
+
+    Ends for any values: each attempt hashes anew, and the space of surrogates grows with the attempts.
+    """
     todo, done = values.withColumn("attempt", F.lit(0)), None
     taken = values.select("kind", F.col("value").alias("new"))
     while True:
@@ -186,7 +203,7 @@ def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
 
 
 def refilled(entity: Column, digits: Column) -> Column:
-    """An entity with its digits replaced in order, all else as it stands."""
+    """An entity with its digits replaced in order, all else as it stands; digits beyond its own follow."""
     step = F.aggregate(
         F.split(entity, ""),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("n")),
@@ -194,7 +211,7 @@ def refilled(entity: Column, digits: Column) -> Column:
             c.rlike("[0-9]"), F.struct(F.concat(acc["out"], F.substring(digits, acc["n"] + 1, F.lit(1))).alias("out"), (acc["n"] + 1).alias("n"))
         ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["n"].alias("n"))),
     )
-    return step["out"]
+    return F.concat(step["out"], F.substring(digits, step["n"] + 1, F.length(digits)))
 
 
 def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

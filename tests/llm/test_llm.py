@@ -204,6 +204,28 @@ def test_surrogates_differ(spark):
     assert len(new) == 5200 and not new & {r.value for r in values.collect()}
 
 
+def test_surrogates_grow(spark):
+    """More values than there are surrogates of their format: they end, all different, none in the corpus."""
+    few = [("email", f"{c}@x{k}.org") for c in "ab_" for k in range(700)] + [("phone", "1234567"), ("card", "4111111111111111"), ("secret", "________a")]
+    rows = [(kind, value) for kind, value in few] + [("secret", f"________{c}") for c in "bcdefghijklmnopqrstuvwxyz"]
+    got = pii.distinct_surrogates(spark.createDataFrame(rows, "kind string, value string"), "key").collect()
+    new = {(r.kind, r.new) for r in got}
+    assert len(got) == len(new) == len(rows) and not new & set(rows)
+    later = spark.createDataFrame([("card", "4111111111111111", 9), ("ip", "8.8.8.8", 20), ("ssn", "123456789", 9)], "kind string, value string, attempt int")
+    later = {r.kind: r.new for r in pii.with_surrogates(later, "key").withColumn("ok", pii.luhn(F.col("new")) == 0).where("kind <> 'card' or ok").collect()}
+    assert (len(later["card"]), len(later["ssn"])) == (22, 15) and later["ip"].startswith("10.") and later["ip"].count(".") == 4
+    assert spark.range(1).select(pii.refilled(F.lit("12-3"), F.lit("98765"))).first()[0] == "98-765"
+
+
+def test_secret_values(spark):
+    plain = ["Password: ______________", "API Key\n=============", "Secrets: ...........", "The token: international trade", "key: state-of-the-art", "A secret: Everything."]
+    secret = ["Password: correcthorse", "token = abcdefgh", 'token: "international"', "key: abcdefg1", "secret: aBcdefgh", "API_KEY=ABCDEFGHIJ", "token: abcdefghijklmnopqrstuvwx", "password: _______a", "my-token:abcdefgh"]
+    rows = list(enumerate(plain + secret))
+    got = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    for k, t in rows:
+        assert (got[k].n_entities, got[k].text == t) == ((0, True) if t in plain else (1, False)), t
+
+
 def test_html():
     field = html_extract.trained()
     held = html_extract.labelled_pages(60, 99)

@@ -2,8 +2,9 @@
 
 A URL is a set of tokens: host suffixes by level, host label parts, path segments, query keys, scheme.
 Labelled pages with bad quality carry one more item, and FP-growth finds the combinations that go
-with it. Rules under the confidence, lift or support asked for are pruned, as is any rule of which a
-more general one is as confident. A page is matched by an inverted index: each rule stands under its
+with it. Rules under the confidence or support asked for are pruned, and those whose confidence exceeds
+the share of bad labels by less than GAIN of what remains to 1: a rule that is always right stays,
+whatever that share. So is any rule of which a more general one is as confident. A page is matched by an inverted index: each rule stands under its
 rarest token, so that common tokens join nothing, and is then held against the page's whole set.
 
 A null URL or one without :// has an empty host and path: no listed rule fits, it has no tokens, and
@@ -22,7 +23,7 @@ from .common import saved
 #: (verdict, host, path)
 LISTED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BAD = "label=bad"
-SUPPORT, ROWS, CONFIDENCE, LIFT, LONGEST = 0.001, 20, 0.6, 2.0, 4
+SUPPORT, ROWS, CONFIDENCE, GAIN, LONGEST = 0.001, 20, 0.6, 0.4, 4
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -65,10 +66,12 @@ def mined(pages: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
     items = F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
     baskets = pages.where(F.size("tokens") > 0).join(marks, "page_id").select(items.alias("items"))
-    support = max(SUPPORT, ROWS / max(baskets.count(), ROWS))  # a combination of under ROWS rows is chance
+    size = baskets.agg(F.count("*").alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
+    base = size.bad / max(size.n, 1)
+    support = max(SUPPORT, ROWS / max(size.n, ROWS))  # a combination of under ROWS rows is chance
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE).fit(baskets)
     found = saved(
-        model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= LIFT) & (F.size("antecedent") <= LONGEST))
+        model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("confidence") >= base + GAIN * (1 - base)) & (F.size("antecedent") <= LONGEST))
         .select(F.array_sort("antecedent").alias("rule"), "confidence")
         .withColumn("token", F.explode("rule")),
         "url-rules",

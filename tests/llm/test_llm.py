@@ -248,3 +248,13 @@ def test_urls(spark):
     bad = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(200)], "doc_id long, quality int, toxic int")
     found = {r.page_id: r.verdict for r in url_filter.filtered(many, bad).collect()}
     assert all(found[k] == ("block" if k % 4 == 0 else "allow") for k in range(400))
+
+
+@pytest.mark.parametrize("every", [2, 4, 10])
+def test_urls_mostly_bad(spark, every):
+    """Labels of which 1 - 1 / every are bad, by the URL or, for some, not quite."""
+    many = spark.createDataFrame([(k, f"http://h{k % 37}.example.io/{'ok' if k % every == 0 else 'spam'}/{k}") for k in range(800)], "page_id long, url string")
+    labels = lambda odd: spark.createDataFrame([(k, int((k % every == 0) != (k in odd)), 0) for k in range(600)], "doc_id long, quality int, toxic int")
+    for odd in ((), range(1, 10, every)):
+        found = {r.page_id: r.verdict for r in url_filter.filtered(many, labels(odd)).collect()}
+        assert all(found[k] == ("allow" if k % every == 0 else "block") for k in range(800)), odd

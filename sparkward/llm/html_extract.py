@@ -7,7 +7,8 @@ on labelled pages, and the best labelling of a page is found by Viterbi. The lab
 from layouts with the labels known by construction (LAYOUTS: TRAINING pages, seeded), so the model is
 the same for any table and any page is judged alone.
 
-Scripts, styles, comments of the markup, form controls and the head hold no blocks. Character
+Scripts, styles, comments of the markup, form controls and the head hold no blocks; a head without an
+end tag ends where something begins that no head may hold. Formulas are text, annotations included. Character
 references are decoded, white space in a block is one space, blocks are joined by a newline. Null and
 empty pages give an empty text, and so do pages without main text. Every row gets a row, repeated ids
 included; a line break tag is white space. An empty table gives an empty result; other columns are ignored.
@@ -32,7 +33,8 @@ BLOCK = set(
 )
 #: Tags that never close, tags whose content is no text, and tags that a following one closes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style noscript template iframe object svg math canvas head title textarea select button option".split())
+SILENT = set("script style noscript template iframe object svg canvas head title textarea select button option".split())
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title head".split())
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 WORDS = re.compile(r"[a-z]+")
 
@@ -55,7 +57,16 @@ class Blocks(HTMLParser):
             self.out.append((text, above, self.linked))
         self.text, self.linked = [], 0
 
+    def close_head(self, whole: bool = True) -> None:
+        """Ends an open head; only if nothing is open in it, unless whole."""
+        at = next((k for k, (t, _) in enumerate(self.stack) if t == "head"), len(self.stack))
+        if whole or at == len(self.stack) - 1:
+            while len(self.stack) > at:
+                self.pop()
+
     def handle_starttag(self, tag, attrs):
+        if self.silent and tag not in IN_HEAD:
+            self.close_head(whole=tag in ("body", "frameset"))
         if tag == "br":
             self.text.append(" ")
             return
@@ -98,6 +109,8 @@ class Blocks(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.silent and data.strip():
+            self.close_head(whole=False)
         if not self.silent:
             self.text.append(data)
             if self.in_link:
@@ -218,15 +231,19 @@ AFTER = (
     '<div class="footer">{text}</div>', '<div class="share"><ul>{links}</ul></div>', '<div class="notice"><p>{text}</p></div>', '<div id="footer"><p>Copyright {short}</p></div>',
 )
 INSIDE = ('<div class="ad">{text}</div>', '<aside><p>{text}</p></aside>', '<nav><ul>{links}</ul></nav>', '<div class="share"><ul>{links}</ul></div>', '<footer><p>{text}</p></footer>', '<header><h1>{keep}</h1></header>')
+#: Words of notices that main text holds as well.
+TALK = ("cookie", "subscribe", "newsletter", "sign in", "log in", "copyright", "adverts", "sponsored", "privacy", "terms of", "read more", "related")
 OWN = ("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<p><b>{}<br>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", '<p>{} <a href="/x">{}</a>.</p>', "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>")
 
 
 def labelled_pages(n: int = TRAINING, seed: int = 7) -> list[tuple[list[tuple[str, ...]], list[int]]]:
     """Feature rows and labels of pages made from the layouts; a mark in the text tells main text apart."""
-    draw, out = random.Random(seed), []
+    draw, talk, out = random.Random(seed), random.Random(f"talk {seed}"), []
 
     def prose(low, high, end=".", mark=""):
         words = ["".join(draw.choices("aeiourtnsldk", k=draw.randint(2, 8))) for _ in range(draw.randint(low, high))]
+        if mark and talk.random() < 0.15:  # an article may speak of cookies, too
+            words.insert(talk.randrange(len(words) + 1), talk.choice(TALK))
         return mark + " ".join(words).capitalize() + end
 
     def filled(part):

@@ -235,6 +235,23 @@ def test_html():
     assert html_extract.main_text(None, field) == "" == html_extract.main_text("<script>x</script>", field)
 
 
+def test_html_head_left_open():
+    field, body = html_extract.trained(), "<article><h1>A title here.</h1><p>One two three, four five six.</p></article>"
+    want = "A title here.\nOne two three, four five six."
+    for head in ("<head><title>x</title><body>", "<head><title>x</title><script>a</script><noscript><link href=x></noscript>", "<head><meta charset=x><style>p</style>\n<body class=y>", "<head><title>x</title></head><body>", "<head><noscript><body>"):
+        assert html_extract.main_text(f"<html>{head}{body}</html>", field) == want, head
+    assert "loose" in [b[0] for b in html_extract.blocks("<head><title>x</title>loose<p>y")]
+
+
+def test_html_formulas_and_notices():
+    field = html_extract.trained()
+    page = "<html><body><nav><ul><li><a href='/'>home</a></li></ul></nav>{}<footer>© x</footer>"
+    assert html_extract.main_text(page.format("<article><p>So <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds here.</p></article>"), field) == "So a=b holds here."
+    speaks = ["What a cookie holds.", "The law of privacy asks sites that set a cookie to say so, and few do.", "A newsletter may be read by whom it was not sent to.", "Those who subscribe pay."]
+    for holder in ("<article>{}</article>", "<main>{}</main>", "<div>{}</div>"):
+        assert html_extract.main_text(page.format(holder.format("".join(f"<p>{x}</p>" for x in speaks))), field) == "\n".join(speaks), holder
+
+
 def test_urls(spark):
     urls = ["http://a.net/x", "HTTP://Example.NET/en/1", "https://b.example.com/de/1?q", "https://x.org/fr/", "https://x.org/fr", None, "nothing", "https://example.com/en", "http://bad.example.io/spam/1"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, exact and near deduplication, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the
-columns of documents; the last returns the packed pieces. Null texts fail the quality rules, so no
+columns of documents; the last returns the packed pieces. Both deduplications judge rows by a key of
+their own: rows that repeat or lack an id are rows like others, and of equal rows one stays. Null texts fail the quality rules, so no
 stage after them sees one in run(); each stage by itself handles them as its operator does.
 """
 
@@ -9,9 +10,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkward.llm import exact_dedup, ngram_join, packing, pii, quality
-from sparkward.llm.common import saved, table
+from sparkward.llm.common import saved, table, with_row_key
 from sparkward.llm.queries import PII_KEY
 
 
@@ -20,14 +22,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stays = exact_dedup.exact_groups(docs).where("kept").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi")
+    docs = with_row_key(docs)
+    stays = exact_dedup.exact_groups(docs, key="_key").where("kept").select("_key")
+    return docs.join(stays, "_key", "left_semi").drop("_key")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    stays = ngram_join.linked(docs).where("component_id = doc_id").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi")
+    """Of each group of linked documents the one with the smallest id stays, any one of equal ids."""
+    docs = with_row_key(docs)
+    stays = ngram_join.linked(docs.select(F.col("_key").alias("doc_id"), "text")).where("component_id = doc_id")
+    return docs.join(stays.select(F.col("doc_id").alias("_key")), "_key", "left_semi").drop("_key")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

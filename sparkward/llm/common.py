@@ -42,6 +42,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_key(docs: DataFrame, name: str = "_key") -> DataFrame:
+    """docs with a key of its own for each row, a long that rises with doc_id; rows without an id come last.
+
+    Where all ids are there and differ, the id is the key. Else the rows are sorted, numbered and saved.
+    """
+    own = F.col("doc_id").cast("long")
+    unfit = docs.select(own.alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
+    if unfit.isEmpty():
+        return docs.withColumn(name, own)
+    rows = docs.withColumn(name, F.monotonically_increasing_id()).orderBy(own.asc_nulls_last(), name)
+    return saved(rows.withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

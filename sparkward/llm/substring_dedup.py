@@ -9,8 +9,8 @@ each class's first place, and no others, are compared one by one. The result per
 union of maximal repeats, as word ranges.
 
 Windows are judged by two independent 64-bit hashes of their words. Null and empty texts have no
-words. Rows that repeat a document id are not told apart: the table's ids are taken as unique. An
-empty table gives an empty result; other columns are ignored.
+words. Rows that repeat or lack a document id are rows of their own: they follow each other in any one
+order, rows without an id after all others. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, with_row_key
 from .hashing import in_batches, mix, rolling, word_hashes
 
 WINDOW, SEED = 20, 8
@@ -129,8 +129,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256."""
+    docs = with_row_key(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("_key").alias("doc_id"), "text")
     found = saved(repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "repeats")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left")
+    rows = docs.join(found, "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,4 +150,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256"]
             )
 
-    return rows.select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("id", "text", "runs").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -5,6 +5,7 @@ from collections import defaultdict
 from hashlib import sha256
 from zlib import crc32
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -275,3 +276,22 @@ def test_urls_mostly_bad(spark, every):
     for odd in ((), range(1, 10, every)):
         found = {r.page_id: r.verdict for r in url_filter.filtered(many, labels(odd)).collect()}
         assert all(found[k] == ("allow" if k % every == 0 else "block") for k in range(800)), odd
+
+
+def test_repeated_and_missing_ids(spark):
+    """Rows that repeat or lack an id: each is judged by itself, and one of equal rows stays."""
+    prose = lambda seed: " ".join(random.Random(seed).choices("abc bca cab dab bad cad dac".split(), k=60))
+    a, b, c, d = map(prose, range(4))
+    rows = [(1, a), (1, a), (2, a + " "), (2, b), (3, b), (3, b + " "), (None, c), (None, c), (None, a), (4, d), (5, d + " dab cab"), (5, d), (None, d), (6, prose(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted([(2, a + " "), (3, b + " "), (5, d + " dab cab"), (4, d), (6, prose(9)), (-1, c)])
+    of = lambda df: sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in df.collect())
+    for digest in (F.xxhash64, lambda x: F.length(x).cast("long") % 2):
+        got = exact_dedup.exact_groups(docs, digest).collect()
+        assert len(got) == len(rows) and sum(r.kept for r in got) == 6 == len({r.text_sha256 for r in got if r.kept})
+    kept = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert kept.columns == docs.columns and of(kept) == want
+    assert of(corpus_pipeline.drop_near_copies(spark, kept, "")) == [w for w in want if w[0] != 5]
+    assert [(i, t.strip()) for i, t in of(corpus_pipeline.drop_near_copies(spark, docs, ""))] == [(-1, c), (1, a), (2, b), (4, d), (6, prose(9))]
+    cut = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.deduplicated(docs).collect())
+    assert cut == sorted([(1, 60, 0), (1, 60, 60), (2, 60, 60), (2, 60, 0), (3, 60, 60), (3, 60, 60), (-1, 60, 0), (-1, 60, 60), (-1, 60, 60), (4, 60, 0), (5, 62, 60), (5, 60, 60), (-1, 60, 60), (6, 60, 0)])

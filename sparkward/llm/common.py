@@ -17,39 +17,60 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, where the cluster names it.
 
-    A session without that setting (tests, one machine) gets a temporary folder.
+    A session on one machine without that setting (tests) gets a temporary folder; on a cluster it has to be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sparkward-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors.
+#: Has Spark delete the shuffle files of a query once it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The driver then collects its garbage, upon which Spark deletes the shuffle files that made df.
-    """
+
+def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and survives lost executors. Its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Empties tables made by saved() that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "-" in path.rsplit("/", 1)[1] and path.split(":", 1)[-1].lstrip("/").startswith(shared_dir(df.sparkSession).split(":", 1)[-1].lstrip("/")):
+                df.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ids_are_keys(docs: DataFrame) -> bool:
+    """Whether each row has a doc_id and no two share one."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    return ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty()
+
+
 def with_row_key(docs: DataFrame, name: str = "_key") -> DataFrame:
     """docs with a key of its own for each row, a long that rises with doc_id; rows without an id come last.
 
     Where all ids are there and differ, the id is the key. Else the rows are sorted, numbered and saved.
     """
     own = F.col("doc_id").cast("long")
-    unfit = docs.select(own.alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
-    if unfit.isEmpty():
+    if ids_are_keys(docs):
         return docs.withColumn(name, own)
     rows = docs.withColumn(name, F.monotonically_increasing_id()).orderBy(own.asc_nulls_last(), name)
     return saved(rows.withColumn(name, F.monotonically_increasing_id()), "keyed")
@@ -57,7 +78,8 @@ def with_row_key(docs: DataFrame, name: str = "_key") -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
 def without(text: Column, chars: str) -> Column:
@@ -70,3 +92,20 @@ def without(text: Column, chars: str) -> Column:
 def constant_array(values: list, kind: str) -> Column:
     """A list of bounded length as one literal, folded by the optimizer: element_at() reads it in place."""
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{kind}>")
+
+
+#: Bits of the filter of marked(), whatever the size of the tables.
+FILTER_BITS = 1 << 21
+
+
+def marked(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: whether its key may be one of keys (a table of one column).
+
+    A filter of fixed size is broadcast for it; it lets more through the more keys there are, never less.
+    """
+    place = lambda k: F.pmod(F.xxhash64(F.col(k), F.lit("filter")), F.lit(FILTER_BITS))
+    word, bit = lambda k: (place(k) / 64).cast("int"), lambda k: (place(k) % 64).cast("int")
+    one = keys.columns[0]
+    marks = keys.select(word(one).alias("_word"), bit(one).alias("bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_bits"))
+    known = df.withColumn("_word", word(key)).join(F.broadcast(marks), "_word", "left")  # FILTER_BITS / 64 rows at most
+    return known.withColumn(name, F.getbit(F.coalesce("_bits", F.lit(0).cast("long")), bit(key)) == 1).drop("_word", "_bits")

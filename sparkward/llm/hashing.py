@@ -1,13 +1,22 @@
-"""Hashes of words and of word sequences, vectorised over a batch of texts inside a task."""
+"""Hashes of words and of word sequences, vectorised over a batch of texts inside a task.
+
+A word's hash is the sum of a random number for each of its bytes and that byte's place: over the choice
+of the numbers any two words, whatever they hold, share a hash with a chance of 2 ** -64. Words longer than
+LONGEST bytes are hashed by BLAKE2b instead.
+"""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
-INVERSE = pow(BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of the longest word that the table covers, and the table: a row of 256 numbers for each place.
+LONGEST = 64
+TABLE = np.random.default_rng(20_240_229).integers(0, 1 << 64, size=LONGEST * 256, dtype=np.uint64)
 #: Texts are hashed together up to about so many bytes.
 AT_ONCE = 1 << 20
 
@@ -18,35 +27,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class Powers:
-    """Powers of the base and of its inverse, as many as were ever asked for."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            first = np.ones(n, np.uint64)
-            first[1:] = BASE
-            cls.up = np.multiply.accumulate(first)
-            first[1:] = INVERSE
-            cls.down = np.multiply.accumulate(first)
-        return cls.up[:n], cls.down[:n]
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and where in them each text starts (one more at the end)."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    joined = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(joined, np.uint8)
     space = SPACE[data]
     before = np.empty_like(space)
     before[0], before[1:] = True, space[:-1]
     start, stop = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
-    up, down = Powers.of(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    hashes = (total[stop] - total[start]) * down[start]
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return mix(hashes ^ (stop - start).astype(np.uint64) << np.uint64(56)), np.r_[0, np.searchsorted(start, ends)]
+    bounds = np.r_[0, np.searchsorted(start, ends)]
+    if not len(start):
+        return np.empty(0, np.uint64), bounds
+    size = stop - start
+    at = np.flatnonzero(~space)
+    first = np.cumsum(size) - size
+    place = np.minimum(at - np.repeat(start, size), LONGEST - 1)
+    hashes = np.add.reduceat(TABLE[place << 8 | data[at]], first) + size.astype(np.uint64)
+    for k in np.flatnonzero(size > LONGEST).tolist():
+        hashes[k] = int.from_bytes(blake2b(joined[start[k] : stop[k]], digest_size=8).digest(), "little")
+    return mix(hashes), bounds
 
 
 def in_batches(rows: list[tuple[int, str | None]]):

@@ -8,7 +8,7 @@ window repeats. Only classes of which a seed has several can overlap in part; th
 each class's first place, and no others, are compared one by one. The result per document is the
 union of maximal repeats, as word ranges.
 
-Windows are judged by two independent 64-bit hashes of their words. Null and empty texts have no
+Windows are judged by two 64-bit hashes of their words' hashes. Null and empty texts have no
 words. Rows that repeat or lack a document id are rows of their own: they follow each other in any one
 order, rows without an id after all others. An empty table gives an empty result; other columns are ignored.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, with_row_key
+from .common import forget, marked, saved, with_row_key
 from .hashing import in_batches, mix, rolling, word_hashes
 
 WINDOW, SEED = 20, 8
@@ -77,7 +77,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                         [pa.array(c.view(np.int64)) for c in (seed, passage, doc, place)], ["seed", "passage", "doc_id", "place"]
                     )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ANCHORS)
+    return docs.select("doc_id", "text").mapInArrow(run, ANCHORS)
 
 
 def ends(place: Column, more: int) -> tuple[Column, Column]:
@@ -86,7 +86,7 @@ def ends(place: Column, more: int) -> tuple[Column, Column]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop: word ranges [start, stop) that repeat an earlier place, not yet merged."""
+    """doc_id, runs: the word ranges [start, stop) of a text that repeat an earlier place, not yet merged."""
     seeds = anchors(docs)
     classes = seeds.groupBy("seed", "passage").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
     # With a column of first, too: the two sides of the join then are one exchange.
@@ -101,9 +101,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
     # First places of classes that share their seed with another class: window by window.
     shared = known.where("classes > 1").select("first.doc_id", *ends(F.col("first.place"), 0))
-    by_doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        shared.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "doc_id"
-    )
+    shared = saved(shared.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "shared-anchors")
+    by_doc = marked(docs.select("doc_id", "text"), "doc_id", shared.select("doc_id"), "some").where("some").join(shared, "doc_id").select("doc_id", "text", "runs")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,14 +123,19 @@ def repeats(docs: DataFrame) -> DataFrame:
         .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
         .select("doc_id", "start", F.expr(f"start + {WINDOW}").alias("stop"))
     )
-    return later.unionByName(partly)
+    runs = later.unionByName(partly).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    found = saved(runs, "repeats")
+    forget(known, shared, each)
+    return found
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256."""
     docs = with_row_key(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("_key").alias("doc_id"), "text")
-    found = saved(repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "repeats")
-    rows = docs.join(found, "doc_id", "left")
+    found = repeats(docs)
+    docs = marked(docs, "doc_id", found.select("doc_id"), "some")  # spares the other texts the shuffle
+    whole = docs.where(~F.col("some")).withColumn("runs", F.lit(None).cast(found.schema["runs"].dataType))
+    rows = docs.where("some").join(found, "doc_id", "left").select("id", "text", "runs").unionByName(whole.select("id", "text", "runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,10 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, constant_array, saved, without
+from .common import SPACES, marked, saved, without
 
-#: Bits of the filter over repeated digests. Beyond that many digests it lets more through, never less.
-FILTER_BITS = 1 << 20
 RUN = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000"}
 
 
@@ -37,21 +35,6 @@ def rows(docs: DataFrame, digest: Callable[[Column], Column], key: list[str]) ->
     return norm.withColumn("digest", digest(F.col("norm")))
 
 
-def bits(digest: Column) -> tuple[Column, Column]:
-    place = F.pmod(F.xxhash64(digest, F.lit("filter")), F.lit(FILTER_BITS))
-    return (place / 64).cast("int"), (place % 64).cast("int")
-
-
-def through(digest: Column, repeated: DataFrame) -> Column:
-    """Whether a digest may be one of those repeated."""
-    word, bit = bits(F.col("digest"))
-    set_bits = F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
-    found = repeated.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(set_bits)
-    words = dict.fromkeys(range(FILTER_BITS // 64), 0) | {r.word: r.bits for r in found.collect()}  # FILTER_BITS / 64 rows at most
-    word, bit = bits(digest)
-    return F.getbit(F.element_at(constant_array(list(words.values()), "bigint"), word + 1), bit) == 1
-
-
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64, key: str | None = None) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256; and key, if docs has one of each row's own."""
     keys = [key] if key else []
@@ -64,7 +47,8 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash6
     )
     level = saved(runs.groupBy("digest").agg(best(), F.count("*").alias("n")), "digest-level")
     by_bytes = (
-        made.where(through(F.col("digest"), level.where("n > 1")))
+        marked(made.select("digest", "norm"), "digest", level.where("n > 1").select("digest"), "several")
+        .where("several")
         .groupBy("digest", "norm")
         .agg(F.first(F.unhex(F.sha2("norm", 256))).alias("sha"))
     )

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkward.llm import bpe, exact_dedup, html_extract, ngram_join, packing, pii, quality, substring_dedup, token_counts, url_filter
+from sparkward.llm import bpe, exact_dedup, hashing, html_extract, ngram_join, packing, pii, quality, substring_dedup, token_counts, url_filter
 
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, w string, digest string"
@@ -139,6 +139,40 @@ def test_ngram_join(docs, empty):
     assert ngram_join.linked(empty).count() == 0
 
 
+@pytest.mark.parametrize("cell", [250_000, 300])
+def test_ngram_join_large_group(spark, monkeypatch, cell):
+    """A large group of near copies, some of which only chains of others join, in one cell or in many."""
+    draw, word = random.Random(5), lambda: "".join(draw.choices("abcdef", k=5))
+    origin, passage, rows = [word() for _ in range(60)], [word() for _ in range(30)], []
+    for k in range(150):
+        own = list(origin)
+        for _ in range(draw.choice([0, 1, 1, 2, 2, 3, 4])):
+            own[draw.randrange(60)] = word()
+        rows.append(" ".join(own[draw.choice([0, 0, 3]) :]))
+    rows += [" ".join([word() for _ in range(draw.randint(4, 12))] + passage) for _ in range(60)]
+    rows += [" ".join(word() for _ in range(50)) for _ in range(20)]
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    monkeypatch.setattr(ngram_join, "CROWD", 4)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (r.split() for r in rows)]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                x, y = sorted((label[a], label[b]))
+                label = [x if v == y else v for v in label]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs).collect()}
+    assert got == {k: (len(s), label[k]) for k, s in enumerate(sets)}
+
+
+def test_hashes_of_words_that_sums_confuse():
+    """Words of which plain polynomials make one hash: a Thue-Morse word and its complement."""
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    short = [w.encode() for w in (morse, morse.translate(str.maketrans("ab", "ba")), "ab", "ba", "a" * 64, "a" * 65)]
+    found, starts = hashing.word_hashes(short)
+    assert len(set(found.tolist())) == 6 and starts.tolist() == list(range(7))
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
@@ -256,14 +290,16 @@ def test_html_formulas_and_notices():
 def test_urls(spark):
     urls = ["http://a.net/x", "HTTP://Example.NET/en/1", "https://b.example.com/de/1?q", "https://x.org/fr/", "https://x.org/fr", None, "nothing", "https://example.com/en", "http://bad.example.io/spam/1"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(9)], "doc_id long, quality int, toxic int")
-    got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.filtered(pages, labels).orderBy("page_id").collect()]
-    assert got == [
+    labels = spark.createDataFrame([(k, False) for k in range(9)], "page_id long, bad boolean")
+    want = [
         ("a.net", "/x", "net/", "block"), ("example.net", "/en/1", "example.net/en/", "allow"), ("b.example.com", "/de/1", "example.com/de/", "block"), ("x.org", "/fr/", "org/fr/", "allow"),
         ("x.org", "/fr", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("example.com", "/en", None, "allow"), ("bad.example.io", "/spam/1", None, "allow"),
     ]
+    for given in (labels, None, labels.limit(0)):
+        assert [(r.host, r.path, r.rule, r.verdict) for r in url_filter.filtered(pages, given).orderBy("page_id").collect()] == want
+    assert url_filter.filtered(pages.limit(0)).count() == 0
     many = spark.createDataFrame([(k, f"http://h{k % 50}.example.io/{'spam' if k % 4 == 0 else 'ok'}/{k}") for k in range(400)], "page_id long, url string")
-    bad = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    bad = spark.createDataFrame([(k, k % 4 == 0) for k in range(200)] * 2, "page_id long, bad boolean")
     found = {r.page_id: r.verdict for r in url_filter.filtered(many, bad).collect()}
     assert all(found[k] == ("block" if k % 4 == 0 else "allow") for k in range(400))
 
@@ -272,12 +308,48 @@ def test_urls(spark):
 def test_urls_mostly_bad(spark, every):
     """Labels of which 1 - 1 / every are bad, by the URL or, for some, not quite."""
     many = spark.createDataFrame([(k, f"http://h{k % 37}.example.io/{'ok' if k % every == 0 else 'spam'}/{k}") for k in range(800)], "page_id long, url string")
-    labels = lambda odd: spark.createDataFrame([(k, int((k % every == 0) != (k in odd)), 0) for k in range(600)], "doc_id long, quality int, toxic int")
+    labels = lambda odd: spark.createDataFrame([(k, (k % every == 0) == (k in odd)) for k in range(600)], "page_id long, bad boolean")
     for odd in ((), range(1, 10, every)):
         found = {r.page_id: r.verdict for r in url_filter.filtered(many, labels(odd)).collect()}
         assert all(found[k] == ("allow" if k % every == 0 else "block") for k in range(800)), odd
 
 
+def test_urls_with_many_segments(spark):
+    """Segments that lie on the same pages don't multiply combinations."""
+    long = "/".join(f"part{chr(97 + k)}" for k in range(22))
+    pages = spark.createDataFrame([(k, f"http://h{k}.example.io/{long if k % 2 else 'plain'}/{k}") for k in range(120)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 2 == 1) for k in range(100)], "page_id long, bad boolean")
+    found = {r.page_id: r.verdict for r in url_filter.filtered(pages, labels).collect()}
+    assert all(found[k] == ("block" if k % 2 else "allow") for k in range(120))
+
+
+def test_mined_rules_on_given_pages(spark):
+    """Mined rules decide some of the given pages; each is counted anew by plain code, and none that should match is missed."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host, path = url_filter.host_and_path(F.col("url"))
+    named = pages.select("page_id", host.alias("host"), path.alias("path"), "url")
+    rule, verdict = url_filter.listed(F.col("host"), F.col("path"))
+    rows = named.select("page_id", verdict.alias("listed"), url_filter.tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
+    rows, got = {r.page_id: r for r in rows.collect()}, url_filter.filtered(pages).collect()
+    bad = [(set(r.tokens), r.listed == "block") for r in rows.values() if r.listed]
+    base = sum(b for _, b in bad) / len(bad)
+    least = base + url_filter.GAIN * (1 - base)
+    share = lambda own: [b for t, b in bad if own <= t]
+    frequent = {t for own, _ in bad for t in own if len(share({t})) >= url_filter.ROWS}
+    sure = [{t} for t in frequent if sum(share({t})) >= max(url_filter.ROWS, max(least, url_filter.CONFIDENCE) * len(share({t})))]
+    by_rule = 0
+    for r in got:
+        if r.rule is None:
+            by_rule += r.mined is not None
+            assert (r.verdict == "block") == (r.mined is not None)
+            if any(s <= set(rows[r.page_id].tokens) for s in sure):
+                assert r.mined is not None
+        if r.mined:
+            own = share(set(r.mined.split(" & ")))
+            assert sum(own) >= url_filter.ROWS and sum(own) >= max(least, url_filter.CONFIDENCE) * len(own) - 1e-9
+    assert by_rule > 0
+
+
 def test_repeated_and_missing_ids(spark):
     """Rows that repeat or lack an id: each is judged by itself, and one of equal rows stays."""
     prose = lambda seed: " ".join(random.Random(seed).choices("abc bca cab dab bad cad dac".split(), k=60))

@@ -14,21 +14,23 @@ columns are ignored.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .word_bpe import SPECIAL, WordMemo, word_bpe
+from .word_bpe import BEYOND_LATIN, MEMO, PRE_TOKEN, SPECIAL, WordMemo, word_bpe
 
 LEAF = 16_384
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-Token = tuple[int, int, int]  # id, first character, character after the last
-Piece = tuple[int, int, list[Token]]  # first character, character after the last, tokens
+Tokens = np.ndarray  # ids, first characters, characters after the last: a row each
+Piece = tuple[int, int, Tokens]  # first character, character after the last, tokens
 
 
 def clean(text: str, at: int) -> bool:
@@ -60,51 +62,75 @@ def cut_points(text: str, leaf: int) -> list[int]:
 class Tree:
     def __init__(self, path: str):
         self.bpe = word_bpe(path)
-        self.ends = {i for t, i in self.bpe.full.get_vocab().items() if t.endswith(self.bpe.suffix)}
-
-    def leaf(self, text: str, at: int) -> list[Token]:
+        #: What the ids stand for, and the ids as text.
+        self.tokens = [self.bpe.full.id_to_token(i) for i in range(self.bpe.full.get_vocab_size())]
+        self.numbers = [str(i) for i in range(len(self.tokens))]
+        self.ends = np.array([bool(t) and t.endswith(self.bpe.suffix) for t in self.tokens])
+        #: word -> tokens with their places in it.
+        self.memo: dict[str, tuple[bytes, bytes, bytes]] = {}
+
+    def leaf(self, text: str, at: int) -> Tokens:
         """The library's encoding of a piece of text that starts at character `at` of its document."""
+        if BEYOND_LATIN.search(text) is None and "<|" not in text and unicodedata.is_normalized("NFC", text) and len(text.lower()) == len(text):
+            return self.by_words(text.lower(), at)
         found = self.bpe.full.encode(text, add_special_tokens=False)
-        return [(i, a + at, b + at) for i, (a, b) in zip(found.ids, found.offsets)]
-
-    def inner(self, text: str, at: int) -> list[Token]:
+        return np.array([(i, a + at, b + at) for i, (a, b) in zip(found.ids, found.offsets)], np.int64).reshape(-1, 3).T
+
+    def by_words(self, text: str, at: int) -> Tokens:
+        """As leaf(), for a text that normalisation leaves as it is: pre-tokens are encoded once and then remembered."""
+        spans = [(m.start(), m[0]) for m in PRE_TOKEN.finditer(text)]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = list({w for _, w in spans}.difference(self.memo))
+        for w, x in zip(new, self.bpe.one.encode_batch(new, add_special_tokens=False)):
+            self.memo[w] = tuple(array("q", c).tobytes() for c in (x.ids, [a for a, _ in x.offsets], [b for _, b in x.offsets]))
+        found = [self.memo[w] for _, w in spans]
+        starts = np.repeat(np.array([a for a, _ in spans], np.int64), [len(x[0]) // 8 for x in found]) + at
+        ids, a, b = (np.frombuffer(b"".join(x[k] for x in found), np.int64) for k in range(3))
+        return np.stack([ids, a + starts, b + starts])
+
+    def inner(self, text: str, at: int) -> Tokens:
         """As leaf(), for a piece that stops inside a word: its last word gets no end mark."""
         norm, pre = self.bpe.full.normalizer.normalize_str(text), self.bpe.full.pre_tokenizer
+        none = np.empty((3, 0), np.int64)
         if len(norm) != len(text) or any(len(self.bpe.full.normalizer.normalize_str(c)) != 1 for c in set(text)) or SPECIAL.search(text):
-            return []  # characters moved: offsets would not be the text's; the window grows instead
+            return none  # characters moved: offsets would not be the text's; the window grows instead
         words = pre.pre_tokenize_str(norm)
         if not words or words[-1][1][1] != len(text):
-            return []
+            return none
         a = words[-1][1][0]
         found = self.bpe.open.encode(norm[a:], add_special_tokens=False)
-        return [*self.leaf(text[:a], at), *((i, s + at + a, e + at + a) for i, (s, e) in zip(found.ids, found.offsets))]
+        last = np.array([(i, s + at + a, e + at + a) for i, (s, e) in zip(found.ids, found.offsets)], np.int64).reshape(-1, 3).T
+        return np.concatenate([self.leaf(text[:a], at), last], axis=1)
 
     def join(self, text: str, left: Piece, right: Piece) -> Piece:
         """Two neighbouring pieces of `text`, as if they had been encoded in one."""
         (start, _, one), (_, stop, two) = left, right
-        width = 8
+        (_, a1, b1), (ids2, a2, b2) = one, two
+        n, m, width = one.shape[1], two.shape[1], 8
         while True:
-            i, j = max(0, len(one) - width), min(len(two), width)
-            while i > 0 and not (one[i - 1][2] <= one[i][1] and clean(text, one[i][1])):
+            i, j = max(0, n - width), min(m, width)
+            while i > 0 and not (b1[i - 1] <= a1[i] and clean(text, int(a1[i]))):
                 i -= 1
             # The window's right edge: the end of a word if one is near, else any token's end.
-            far = next((k for k in range(j, min(len(two), 4 * width) + 1) if k and two[k - 1][0] in self.ends), j)
-            while far < len(two) and not (far and two[far - 1][2] <= two[far][1] and clean(text, two[far][1])):
+            near = np.flatnonzero(self.ends[ids2[max(j, 1) - 1 : min(m, 4 * width)]])
+            far = max(j, 1) + int(near[0]) if len(near) else j
+            while far < m and not (far and b2[far - 1] <= a2[far] and clean(text, int(a2[far]))):
                 far += 1
-            a, b = one[i][1] if i else start, two[far][1] if far < len(two) else stop
-            whole = far == len(two) or two[far - 1][0] in self.ends
+            a, b = int(a1[i]) if i else start, int(a2[far]) if far < m else stop
+            whole = far == m or self.ends[ids2[far - 1]]
             window = self.leaf(text[a:b], a) if whole else self.inner(text[a:b], a)
-            if i == 0 and far == len(two):
+            if i == 0 and far == m:
                 return start, stop, window
-            if window and (i == 0 or window[0] == one[i]) and (far == len(two) or window[-1] == two[far - 1]):
-                return start, stop, [*one[:i], *window, *two[far:]]
+            if window.shape[1] and (i == 0 or (window[:, 0] == one[:, i]).all()) and (far == m or (window[:, -1] == two[:, far - 1]).all()):
+                return start, stop, np.concatenate([one[:, :i], window, two[:, far:]], axis=1)
             width *= 4
 
-    def encode(self, text: str, pieces: list[Piece]) -> list[Token]:
+    def encode(self, text: str, pieces: list[Piece]) -> list[int]:
         while len(pieces) > 1:
             pairs = [pieces[k : k + 2] for k in range(0, len(pieces), 2)]
             pieces = [self.join(text, *p) if len(p) == 2 else p[0] for p in pairs]
-        return pieces[0][2] if pieces else []
+        return pieces[0][2][0].tolist() if pieces else []
 
 
 @lru_cache(maxsize=2)
@@ -130,14 +156,17 @@ def encoded(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = word_bpe(tokenizer).full.id_to_token
-        made = lambda ids: (len(ids), " ".join(map(str, ids)), " ".join(map(token, ids)))
+        tree = tree_for(tokenizer)
+        number, token = tree.numbers.__getitem__, tree.tokens.__getitem__
+        made = lambda ids: (len(ids), " ".join(map(number, ids)), " ".join(map(token, ids)))
         memo = WordMemo(tokenizer, made)
         for batch in batches:
             out = []
             for doc, found in zip(batch.column(0).to_pylist(), memo.over(batch.column(1).to_pylist())):
-                found = [x for x in found if x[0]]
-                out.append(row(doc, sum(x[0] for x in found), " ".join(x[1] for x in found), " ".join(x[2] for x in found)))
+                sizes, ids, tokens = zip(*found) if found else ((), (), ())
+                if 0 in sizes:
+                    _, ids, tokens = zip(*[x for x in found if x[0]]) if any(sizes) else ((), (), ())
+                out.append(row(doc, sum(sizes), " ".join(ids), " ".join(tokens)))
             if out:
                 yield arrow(out)
 
@@ -156,18 +185,17 @@ def encoded(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
         tree = tree_for(tokenizer)
         for batch in batches:
             found = [tree.leaf(t, a) for a, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            cols = [pa.array([[t[k] for t in x] for x in found], pa.list_(pa.int32() if k == 0 else pa.int64())) for k in range(3)]
+            cols = [pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in range(3)]
+            cols[0] = cols[0].cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "ids", "a", "b"])
 
     def joined(group: pa.Table) -> pa.Table:
-        tree, parts = tree_for(tokenizer), group.sort_by("leaf").to_pylist()
-        found = tree.encode(
-            "".join(p["text"] for p in parts),
-            [(p["start"], p["start"] + len(p["text"]), list(zip(p["ids"], p["a"], p["b"]))) for p in parts],
-        )
-        ids = [t[0] for t in found]
-        token = tree.bpe.full.id_to_token
-        return pa.Table.from_batches([arrow([row(parts[0]["doc_id"], len(ids), " ".join(map(str, ids)), " ".join(map(token, ids)))])])
+        tree, parts = tree_for(tokenizer), group.sort_by("leaf")
+        texts, starts = parts["text"].to_pylist(), parts["start"].to_pylist()
+        cols = [[x.values.to_numpy().astype(np.int64) for x in parts[c]] for c in ("ids", "a", "b")]
+        ids = tree.encode("".join(texts), [(s, s + len(t), np.stack(x)) for s, t, *x in zip(starts, texts, *cols)])
+        number, token = tree.numbers.__getitem__, tree.tokens.__getitem__
+        return pa.Table.from_batches([arrow([row(parts["doc_id"][0].as_py(), len(ids), " ".join(map(number, ids)), " ".join(map(token, ids)))])])
 
     long_texts = rows.where(F.length("text") > leaf).select(F.expr("uuid()").alias("own"), "doc_id", "text")
     cut = saved(long_texts.mapInArrow(leaves, "own string, doc_id long, leaf int, start long, text string"), "leaves")

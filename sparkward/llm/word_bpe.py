@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -26,10 +27,12 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85
 #: Texts with other characters than these are normalised by the library. (1C to 1F: white space
 #: to str.split, but not to the vocabulary's pattern.)
 BEYOND_LATIN = regex.compile(r"[^\x00-\x1b\x20-ɏ]")
+#: Marks that end a word: a pre-token of their own, so that the word alone is remembered.
+END_MARKS = re.compile(r"(?<=[^\W_])([.,;:!?]+)(?=\s|$)")
 #: Marks before words that are already normalised, and before the ids of special strings.
 OWN, SPECIAL_MARK = "\ue000", "\ue001"
 #: Words that a worker remembers at most, and characters of text that it resolves at once.
-MEMO, AT_ONCE = 300_000, 4_000_000
+MEMO, AT_ONCE = 600_000, 2_000_000
 
 
 class WordBpe:
@@ -54,15 +57,15 @@ class WordBpe:
 
     def plain(self, text: str) -> list[str]:
         if BEYOND_LATIN.search(text) is None:
-            return text.split()
+            return END_MARKS.sub(r" \1", unicodedata.normalize("NFC", text).lower()).split()
         norm = self.full.normalizer.normalize_str(text)
         return [OWN + norm[a:b] for _, (a, b) in self.full.pre_tokenizer.pre_tokenize_str(norm)]
 
     def words(self, text: str) -> list[str]:
         """Parts of a text whose ids, one after the other, are the text's ids.
 
-        In Latin texts they are what white space parts; in other texts normalised pre-tokens, and
-        for the special strings their ids, each behind a mark that no Latin word has.
+        In Latin texts they are what white space parts, normalised, and marks behind it; in other texts normalised pre-tokens,
+        and for the special strings their ids, each behind a mark that no Latin word has.
         """
         if "<|" not in text or SPECIAL.search(text) is None:
             return self.plain(text)
@@ -75,27 +78,25 @@ class WordBpe:
 
     def ids_of(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each word with its ids; what has to be merged goes to the library in batches."""
-        split, new = [], set()
+        whole, split = [], []
         if len(self.known) > MEMO:
             self.known.clear()
         for word in words:
-            if word[0] == SPECIAL_MARK:
+            if word.isalpha():
+                whole.append(word)
+            elif word[0] == SPECIAL_MARK:
                 yield word, [int(word[1:])]
-                continue
-            if word[0] == OWN:
-                parts = [word[1:]]
             else:
-                norm = unicodedata.normalize("NFC", word).lower()
-                parts = [norm] if norm.isalpha() else PRE_TOKEN.findall(norm)
-            split.append((word, parts))
-            new.update(p for p in parts if p not in self.known)
+                split.append((word, [word[1:]] if word[0] == OWN else PRE_TOKEN.findall(word)))
+        known, encode = self.known, self.one.encode_batch_fast
+        new = {p for _, parts in split for p in parts}.union(whole).difference(known)
         todo = list(new)
         for k in range(0, len(todo), 4096):
             part = todo[k : k + 4096]
-            for word, found in zip(part, self.one.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = found.ids
+            known.update(zip(part, [x.ids for x in encode(part, add_special_tokens=False)]))
+        yield from zip(whole, map(known.__getitem__, whole))
         for word, parts in split:
-            yield word, self.known[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.known[p]]
+            yield word, known[parts[0]] if len(parts) == 1 else [i for p in parts for i in known[p]]
 
 
 class WordMemo:
@@ -116,11 +117,12 @@ class WordMemo:
         yield from self.resolved(held)
 
     def resolved(self, held: list[list[str]]) -> Iterator[list]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        for word, ids in self.bpe.ids_of(set().union(*held).difference(memo)):
-            memo[word] = self.make(ids)
+        memo, make = self.memo, self.make
+        new = set().union(*held).difference(memo)
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = set().union(*held)
+        memo.update([(word, make(ids)) for word, ids in self.bpe.ids_of(new)])
         for own in held:
             yield list(map(memo.__getitem__, own))
 

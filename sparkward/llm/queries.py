@@ -48,7 +48,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filtered(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.filtered(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
-"""URL filtering: listed rules first, else association rules that FP-growth mines from labels.
+"""URL filtering: listed rules first, else association rules that FP-growth mines from labelled URLs.
 
 A URL is a set of tokens: host suffixes by level, host label parts, path segments, query keys, scheme.
-Labelled pages with bad quality carry one more item, and FP-growth finds the combinations that go
-with it. Rules under the confidence or support asked for are pruned, and those whose confidence exceeds
-the share of bad labels by less than GAIN of what remains to 1: a rule that is always right stays,
-whatever that share. So is any rule of which a more general one is as confident. A page is matched by an inverted index: each rule stands under its
-rarest token, so that common tokens join nothing, and is then held against the page's whole set.
+Labelled pages that are bad carry one more item, and FP-growth finds the combinations that go with it.
+Labels are given by page; where none are given the listed rules label the pages that they fit, so that what
+is mined carries them on to pages of other hosts and paths. Tokens that lie on the very same labelled pages
+are one item, so that they don't multiply combinations. Rules under the confidence or support asked for are
+pruned, and those whose confidence exceeds the share of bad labels by less than GAIN of what remains to 1: a
+rule that is always right stays, whatever that share. So is any rule that is as sure without one of its
+items. A page is matched by an inverted index: each rule stands under its rarest item, so that common items
+join nothing, and is then held against the page's whole set.
 
 A null URL or one without :// has an empty host and path: no listed rule fits, it has no tokens, and
 it is allowed. Every row gets a row, repeated ids included. Without labels nothing is mined and what
@@ -23,7 +26,7 @@ from .common import saved
 #: (verdict, host, path)
 LISTED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BAD = "label=bad"
-SUPPORT, ROWS, CONFIDENCE, GAIN, LONGEST = 0.001, 20, 0.6, 0.4, 4
+SUPPORT, ROWS, CONFIDENCE, GAIN = 0.001, 20, 0.6, 0.4
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,7 +49,7 @@ def listed(host: Column, path: Column, rules=LISTED) -> tuple[Column, Column]:
 def tokens(url: Column, host: Column, path: Column) -> Column:
     labels = F.split(host, r"\.")
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(4))),
+        F.sequence(F.lit(1), F.size(labels)),
         lambda n: F.concat(F.lit("host="), F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")),
     )
     parts = F.transform(F.split(host, r"[.\-]"), lambda x: F.concat(F.lit("name="), x))
@@ -58,56 +61,61 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.concat(suffixes, parts, segments, keys, scheme))).otherwise(F.array().cast("array<string>"))
 
 
-def mined(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """token (the rule's rarest), rule (its tokens), confidence: what goes with bad labels.
+def mined(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, item: the frequent tokens and what they count as; item, rule, confidence: rules by their rarest item).
 
-    pages: page_id, tokens. At most 1 / SUPPORT items are frequent, so the rules don't grow with pages.
+    pages: tokens, bad (null: no label). At most 1 / SUPPORT tokens a place are frequent, so the rules don't grow with pages.
+    """
+    labelled = pages.where("bad is not null and size(tokens) > 0").select("tokens", "bad", F.monotonically_increasing_id().alias("row"))
+    labelled = saved(labelled, "labelled-urls")
+    size = labelled.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
+    base, least = size.bad / max(size.n, 1), max(ROWS, SUPPORT * size.n)  # a combination of under ROWS rows is chance
+    places = labelled.select("row", F.explode("tokens").alias("token"))
+    where = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit("y"))).alias("y"))
+    frequent = saved(places.groupBy("token").agg(*where).where(F.col("n") >= least), "url-tokens")
+    leads = frequent.groupBy("n", "x", "y").agg(F.min("token").alias("item"))
+    items = saved(frequent.join(leads, ["n", "x", "y"]).select("token", "item", "n"), "url-items")
+    baskets = places.join(items, "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    baskets = labelled.select("row", "bad").join(baskets, "row", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items"), "bad")
+    baskets = baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(size.n, 1)), minConfidence=CONFIDENCE).fit(baskets)
+    sure = (F.element_at("consequent", 1) == BAD) & (F.col("confidence") >= base + GAIN * (1 - base))
+    found = saved(model.associationRules.where(sure).select(F.array_sort("antecedent").alias("rule"), "confidence"), "url-rules")
+    # A rule is pruned beside one that is as sure with an item less.
+    shorter = found.select("rule", "confidence", F.explode("rule").alias("item")).select("rule", "confidence", F.array_remove("rule", F.col("item")).alias("inner"))
+    covered = shorter.join(found.toDF("inner", "sure"), "inner").where("sure >= confidence").select("rule").distinct()
+    kept = found.join(covered, "rule", "left_anti").select("rule", "confidence", F.explode("rule").alias("item"))
+    kept = kept.join(items.select("item", "n").distinct(), "item")
+    rules = kept.groupBy("rule").agg(F.min(F.struct("n", "item"))["item"].alias("item"), F.max("confidence").alias("confidence"))
+    return items.select("token", "item"), rules
+
+
+def filtered(pages: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One row a page: page_id, host, path, rule, verdict, mined (the surest mined rule that matches).
+
+    labels: page_id, bad. A page with several is bad if one of them says so.
     """
-    marks = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
-    items = F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
-    baskets = pages.where(F.size("tokens") > 0).join(marks, "page_id").select(items.alias("items"))
-    size = baskets.agg(F.count("*").alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
-    base = size.bad / max(size.n, 1)
-    support = max(SUPPORT, ROWS / max(size.n, ROWS))  # a combination of under ROWS rows is chance
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE).fit(baskets)
-    found = saved(
-        model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("confidence") >= base + GAIN * (1 - base)) & (F.size("antecedent") <= LONGEST))
-        .select(F.array_sort("antecedent").alias("rule"), "confidence")
-        .withColumn("token", F.explode("rule")),
-        "url-rules",
-    )
-    # A rule is pruned beside a more general one that is as sure; the two share a token.
-    other = found.select("token", F.col("rule").alias("inner"), F.col("confidence").alias("sure"))
-    wider = (F.size("inner") < F.size("rule")) & (F.size(F.array_except("inner", "rule")) == 0) & (F.col("sure") >= F.col("confidence"))
-    covered = found.join(other, "token").where(wider).select("rule").distinct()
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    return (
-        found.join(covered, "rule", "left_anti")
-        .join(single, "token")
-        .groupBy("rule")
-        .agg(F.min(F.struct("freq", "token"))["token"].alias("token"), F.max("confidence").alias("confidence"))
-    )
-
-
-def filtered(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row a page: page_id, host, path, rule, verdict, mined (the surest mined rule that matches)."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = listed(F.col("host"), F.col("path"))
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"), tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-    index = saved(mined(rows.select("page_id", "tokens"), labels), "url-index")
-    if index.isEmpty():
-        hits = rows.withColumn("mined", F.lit(None).cast("string"))
+    if labels is None:
+        marked = rows.select("tokens", (F.col("listed") == "block").alias("bad"))
     else:
-        matched = (
-            rows.select("tokens")
-            .distinct()
-            .select("tokens", F.explode("tokens").alias("token"))
-            .join(index, "token")
-            .where(F.size(F.array_except("rule", "tokens")) == 0)
-            .groupBy("tokens")
-            .agg(F.max(F.struct("confidence", F.array_join("rule", " & ").alias("name")))["name"].alias("mined"))
-        )
-        hits = rows.join(matched, "tokens", "left")
+        marked = rows.join(labels.groupBy("page_id").agg(F.bool_or("bad").alias("bad")), "page_id").select("tokens", "bad")
+    items, rules = mined(marked)
+    rules = saved(rules, "url-index")
+    sets = rows.where("listed is null and size(tokens) > 0").select("tokens").distinct()
+    own = sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token").groupBy("tokens").agg(F.collect_set("item").alias("items"))
+    matched = (
+        own.select("tokens", "items", F.explode("items").alias("item"))
+        .join(rules, "item")
+        .where(F.size(F.array_except("rule", "items")) == 0)
+        .groupBy("tokens")
+        .agg(F.max(F.struct("confidence", F.array_join("rule", " & ").alias("name")))["name"].alias("mined"))
+    )
+    # Rows that a listed rule decides, or without tokens, go round the join.
+    judged, other = rows.where("listed is null and size(tokens) > 0"), rows.where("listed is not null or size(tokens) = 0")
+    hits = judged.join(matched, "tokens", "left").select(*rows.columns, "mined").unionByName(other.withColumn("mined", F.lit(None).cast("string")))
     blocked = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
     return hits.select("page_id", "host", "path", "rule", F.coalesce("listed", blocked).alias("verdict"), "mined")

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, constant_array, without, words
+from .common import WORD, constant_array, saved, without, words
 
 BUCKETS = 1 << 16
 #: Trusted documents that are used at most (those with the smallest hash of their id), so that the
@@ -32,14 +32,10 @@ WINDOW = 8
 
 
 def with_ngrams(rows: DataFrame) -> DataFrame:
-    """Adds grams, the bucket of each word with the word before it, from w.
-
-    No lambda refers to w: where the optimizer inlines it, it would be split anew for each word.
-    """
-    end = lambda x: F.substring(x, -3, 3)
-    before = F.slice(F.concat(F.array(F.lit("")), F.col("w")), F.lit(1), F.size("w"))
-    bucket = F.zip_with(before, F.col("w"), lambda x, y: F.pmod(F.xxhash64(end(x), end(y)), F.lit(BUCKETS)).cast("int"))
-    return rows.withColumn("grams", bucket)
+    """Adds grams, the bucket of each word with the word before it, from w."""
+    rows = rows.withColumn("ends", F.transform("w", lambda x: F.xxhash64(F.substring(x, -3, 3))))
+    before = F.slice(F.concat(F.array(F.lit(0).cast("long")), "ends"), F.lit(1), F.size("ends"))
+    return rows.withColumn("grams", F.zip_with(before, "ends", lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)).cast("int"))).drop("ends")
 
 
 def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
@@ -63,26 +59,33 @@ def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     return out
 
 
+def adjacent(keys: str, step: int) -> Column:
+    """Each key with the one `step` behind it, hashed together: an array shorter by step."""
+    n = F.greatest(F.size(keys) - step, F.lit(0))
+    return F.zip_with(F.slice(keys, F.lit(1), n), F.slice(keys, F.lit(step + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def twice(entries: str) -> Column:
+    """Of sorted (key, at) those whose key is another's too."""
+    same = lambda s, i, step: F.coalesce(F.get(entries, i + step)["key"] == s["key"], F.lit(False))
+    return F.filter(entries, lambda s, i: same(s, i, F.lit(-1)) | same(s, i, F.lit(1)))
+
+
 def repeated_words(rows: DataFrame) -> DataFrame:
-    """Adds n_repeat_words from w. Windows are sorted by key only in texts that repeat one."""
-    many = F.size("w") > WINDOW
-    keys = F.when(
-        many, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))
-    ).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("keys", keys)
+    """Adds n_repeat_words from w. Windows are compared by hash, and where hashes repeat by their words."""
+    rows = rows.withColumn("keys", F.transform("w", lambda x: F.xxhash64(x)))
+    for step in (1, 2, 4):  # WINDOW words, by doubling
+        rows = rows.withColumn("keys", adjacent("keys", step))
+    none = lambda kind: F.array().cast(f"array<struct<key:{kind},at:int>>")
     repeats = F.size(F.array_distinct("keys")) < F.size("keys")
-    rows = rows.withColumn(
-        "sorted",
-        F.when(repeats, F.sort_array(F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.alias("at"))))).otherwise(
-            F.array().cast("array<struct<key:bigint,at:int>>")
-        ),
-    )
-    same = lambda s, i, step: F.get("sorted", i + step)["key"] == s["key"]
-    twice = F.filter("sorted", lambda s, i: F.coalesce(same(s, i, -1), F.lit(False)) | F.coalesce(same(s, i, 1), F.lit(False)))
-    rows = rows.withColumn("starts", F.sort_array(F.transform(twice, lambda s: s["at"])))
+    listed = F.sort_array(F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.alias("at"))))
+    rows = rows.withColumn("listed", F.when(repeats, listed).otherwise(none("bigint"))).withColumn("listed", twice("listed"))
+    read = F.sort_array(F.transform("listed", lambda s: F.struct(F.array_join(F.slice("w", s["at"] + 1, WINDOW), " ").alias("key"), s["at"].alias("at"))))
+    rows = rows.withColumn("listed", F.when(F.size("listed") > 0, read).otherwise(none("string")))
+    rows = rows.withColumn("starts", F.sort_array(F.transform(twice("listed"), lambda s: s["at"])))
     # Each start adds WINDOW words, less what the next one covers too.
     gaps = F.transform("starts", lambda a, i: F.least(F.lit(WINDOW), F.coalesce(F.get("starts", i + 1) - a, F.lit(WINDOW))))
-    return rows.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda x, y: x + y)).drop("keys", "sorted", "starts")
+    return rows.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda x, y: x + y)).drop("keys", "listed", "starts")
 
 
 def judged(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
@@ -91,13 +94,13 @@ def judged(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame
     weights = constant_array(ratios(docs, labels), "double")
     row = [F.struct("*").alias("_row")] if carry else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row, text.alias("_text"), words(F.col("text")).alias("w"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(without(x, SPACES)) > 0)
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD))
     rows = repeated_words(
         rows.withColumns(
             {
                 "n_words": F.size("w").cast("long"),
-                "word_chars": F.length(without(F.col("_text"), SPACES)).cast("long"),
-                "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
+                "word_chars": F.length(F.array_join("w", "")).cast("long"),
+                "n_symbols": (F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).cast("long"),
                 "lines": lines,
             }
         )
@@ -106,10 +109,8 @@ def judged(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame
     total = F.aggregate("grams", F.lit(0.0), lambda x, b: x + F.element_at(weights, b + 1))
     score = F.round(total / F.greatest(F.size("grams"), F.lit(1)), 6)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    # The id changes no verdict. It keeps a filter on kept where it stands: pushed down, the filter would
-    # have every column above written into it, words in place of w for each window among them.
-    kept = ~failed & (score >= THRESHOLD) & (F.monotonically_increasing_id() >= 0)
-    return rows.select(
+    kept = ~failed & (score >= THRESHOLD)
+    out = rows.select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -121,3 +122,5 @@ def judged(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame
         kept.alias("kept"),
         *(["_row"] if carry else []),
     )
+    # A filter on the verdict then reads it, instead of having all of its columns written into the filter.
+    return saved(out, "verdicts")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,20 +16,41 @@ from ..schema import NO_SESSION, rank, upgraded
 SLICES = 64
 
 
+#: Arrivals whose latest time is found together.
+BLOCK = 65_536
+
+
+def with_clock(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds _clock, the latest ts_ms of the same keys that arrived up to each row: by blocks of arrivals, then over blocks."""
+    cut = rows.withColumn("_block", F.floor(F.col("seq") / BLOCK))
+    upto = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = cut.groupBy(*keys, "_block").agg(F.max("ts_ms").alias("_last")).withColumn("_before", F.max("_last").over(upto))
+    before = before.select(*[F.col(k).alias(f"_same_{k}") for k in [*keys, "_block"]], "_before")
+    inside = W.partitionBy(*keys, "_block").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in [*keys, "_block"]]
+    joined = cut.withColumn("_inside", F.max("ts_ms").over(inside)).join(before, reduce(and_, same))
+    return joined.select(*rows.columns, F.greatest("_inside", "_before").alias("_clock"))
+
+
 def recent(rows: DataFrame, keys: list[str], span: int, name: str) -> DataFrame:
-    """Adds how many rows of the same keys arrived up to each row and lie at most `span` ms before it, itself included.
+    """Adds how many rows of the same keys arrived up to each row and weren't over `span` ms old then, itself included.
 
-    Rows of one instant count in the order of arrival, so a range over time alone would count later ones.
+    Rows count in the order of arrival (seq), late ones too: a row drops out once one that is over `span` ms
+    younger arrives. The window is over the key's clock, which never goes back; what came late and has dropped
+    out by its own time is taken off, as are rows of the same clock that arrived later. A row that comes over
+    `span` ms late counts for itself alone.
     """
     width = span * SLICES
-    own = F.floor(F.col("ts_ms") / width)
-    nxt = F.floor((F.col("ts_ms") + span) / width)
+    own = F.floor(F.col("_clock") / width)
+    nxt = F.floor((F.col("_clock") + span) / width)
     slices = F.when(nxt > own, F.array(own, nxt)).otherwise(F.array(own))
-    cut = rows.withColumn("_own", own).withColumn("_slice", F.explode(slices))
-    frame = W.partitionBy(*keys, "_slice")
-    near = F.count("*").over(frame.orderBy("ts_ms").rangeBetween(-span, 0))
-    later = F.count("*").over(W.partitionBy(*keys, "_slice", "ts_ms").orderBy("seq").rowsBetween(1, W.unboundedFollowing))
-    return cut.withColumn(name, near - later).where("_own = _slice").drop("_own", "_slice")
+    cut = with_clock(rows, keys).withColumn("_own", own).withColumn("_slice", F.explode(slices))
+    frame = W.partitionBy(*keys, "_slice").orderBy("_clock").rangeBetween(-span, 0)
+    later = F.count("*").over(W.partitionBy(*keys, "_slice", "_clock").orderBy("seq").rowsBetween(1, W.unboundedFollowing))
+    late = F.collect_list(F.when(F.col("ts_ms") < F.col("_clock"), F.struct("seq", "ts_ms"))).over(frame)  # empty where rows come in order
+    cut = cut.withColumns({"_near": F.count("*").over(frame) - later, "_late": late}).where("_own = _slice")
+    gone = F.size(F.filter("_late", lambda x: (x["seq"] < F.col("seq")) & (x["ts_ms"] < F.col("_clock") - span)))
+    return cut.withColumn(name, F.col("_near") - gone).drop("_own", "_slice", "_clock", "_near", "_late")
 
 
 def rate_limited(calls: DataFrame, most: float | None = 60, span: int = 60_000) -> DataFrame:

@@ -11,13 +11,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schema import NO_SESSION
 
+#: Milliseconds without a row after which a key's state is dropped.
+IDLE = 3_600_000
 
-def rate_limited(calls: DataFrame, most: int = 60, span: int = 60_000) -> DataFrame:
-    """Calls over the rate of their session. State: times within the last span."""
+def expired(state: GroupState, idle: int) -> bool:
+    """Whether a key has been idle for so many ms, upon which its state goes; else its time starts anew."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    state.setTimeoutDuration(idle)
+    return False
+
+
+def rate_limited(calls: DataFrame, most: int = 60, span: int = 60_000, idle: int = IDLE) -> DataFrame:
+    """Calls over the rate of their session, in order of arrival. State: times within the last span, of sessions not idle."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if expired(state, idle):
+            return
         times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "seq"])
+        rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         for seq, ts in zip(rows.seq, rows.ts_ms):
             times = [t for t in times if t >= ts - span] + [int(ts)]
@@ -29,14 +42,16 @@ def rate_limited(calls: DataFrame, most: int = 60, span: int = 60_000) -> DataFr
 
     keyed = calls.withColumn("session_key", F.coalesce("session_id", "agent_id", F.lit(NO_SESSION)))
     return keyed.groupBy("session_key").applyInPandasWithState(
-        step, "session_key string, seq long, calls_in_window long, severity string", "times array<bigint>", "append", GroupStateTimeout.NoTimeout
+        step, "session_key string, seq long, calls_in_window long, severity string", "times array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
-def deduplicated(events: DataFrame, keys: list[str], span: int = 300_000) -> DataFrame:
-    """Events that are sent. State: when the last one was."""
+def deduplicated(events: DataFrame, keys: list[str], span: int = 300_000, idle: int = IDLE) -> DataFrame:
+    """Events that are sent. State: when the last one was, of keys not idle (idle is to be over span)."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if expired(state, idle):
+            return
         last = state.get[0] if state.exists else None
         rows, out = pd.concat(list(batches)).sort_values(["ts_ms", "seq"]), []
         for seq, ts in zip(rows.seq, rows.ts_ms):
@@ -47,13 +62,15 @@ def deduplicated(events: DataFrame, keys: list[str], span: int = 300_000) -> Dat
             state.update((last,))
         yield pd.DataFrame(out, columns=["seq", "ts_ms"])
 
-    return events.groupBy(*keys).applyInPandasWithState(step, "seq long, ts_ms long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(*keys).applyInPandasWithState(step, "seq long, ts_ms long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def drifted(calls: DataFrame, threshold: int = 20, ratio: float = 0.3) -> DataFrame:
-    """Calls of tools that are new to a learned skill. State: its tools and counts."""
+def drifted(calls: DataFrame, threshold: int = 20, ratio: float = 0.3, idle: int = 30 * 24 * IDLE) -> DataFrame:
+    """Calls of tools that are new to a learned skill. State: its tools and counts, until a month without a call."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if expired(state, idle):
+            return
         tools, total, learned, novel = (list(state.get[0]), *state.get[1:]) if state.exists else ([], 0, 0, 0)
         known, out = set(tools), []
         rows = pd.concat(list(batches)).sort_values("seq")
@@ -69,7 +86,7 @@ def drifted(calls: DataFrame, threshold: int = 20, ratio: float = 0.3) -> DataFr
         yield pd.DataFrame(out, columns=["skill_name", "seq", "tool_name", "severity"])
 
     return calls.where("skill_name is not null").groupBy("skill_name").applyInPandasWithState(
-        step, "skill_name string, seq long, tool_name string, severity string", "tools array<string>, total long, learned long, novel long", "append", GroupStateTimeout.NoTimeout
+        step, "skill_name string, seq long, tool_name string, severity string", "tools array<string>, total long, learned long, novel long", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

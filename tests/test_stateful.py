@@ -17,9 +17,12 @@ def made(seed, n=300, span=400_000):
 
 
 def rates(rows, most=5, span=60_000):
-    out = set()
-    for k, r in enumerate(rows):
-        n = sum((x[4] or "__default__") == (r[4] or "__default__") and x[1] >= r[1] - span for x in rows[: k + 1])
+    """One by one in order of arrival: calls over `span` older than the one at hand are dropped for good."""
+    out, held = set(), {}
+    for r in rows:
+        key = r[4] or "__default__"
+        held[key] = [t for t in held.get(key, []) if t >= r[1] - span] + [r[1]]
+        n = len(held[key])
         if n > most:
             out.add((r[0], n, "critical" if n > 2 * most else "high" if n > 1.5 * most else "medium"))
     return out
@@ -66,8 +69,43 @@ def test_batch(spark, seed):
     assert {r.seq for r in sent.collect()} == sends(named, 50_000)
 
 
+def shuffled(seed, far):
+    """Rows whose times lie up to `far` ms before the latest, in order of arrival."""
+    draw = random.Random(seed)
+    return [(k, max(0, t - draw.choice([0, 0, 0, far // 3, far])), *r) for k, t, *r in made(seed, n=500)]
+
+
+@pytest.mark.parametrize("far", [30_000, 60_000])
+def test_late_calls_count_as_they_arrive(spark, monkeypatch, far):
+    rows = shuffled(7, far)
+    monkeypatch.setattr(stateful, "BLOCK", 64)
+    monkeypatch.setattr(stateful, "SLICES", 2)
+    got = {tuple(r) for r in stateful.rate_limited(spark.createDataFrame(rows, CALLS).repartition(5), 5).select("seq", "calls_in_window", "severity").collect()}
+    want = rates(rows)
+    assert got == want
+    two = spark.createDataFrame([(0, 100_000, "t", "{}", "a", None, None), (1, 50_000, "t", "{}", "a", None, None)], CALLS)
+    assert [r.seq for r in stateful.rate_limited(two, 1).collect()] == [1]
+
+
+def test_idle_sessions_lose_their_state():
+    class Held:
+        hasTimedOut, exists, gone, waits = False, True, False, None
+        get = ([1, 2, 3],)
+
+        def remove(self):
+            self.gone = True
+
+        def setTimeoutDuration(self, ms):
+            self.waits = ms
+
+    held = Held()
+    assert not state.expired(held, 5) and held.waits == 5 and not held.gone
+    held.hasTimedOut = True
+    assert state.expired(held, 5) and held.gone
+
+
 def test_streams_agree_with_batch(spark, tmp_path):
-    rows = made(3)
+    rows = shuffled(3, 50_000)[:300]
     source = str(tmp_path / "in")
     for k in range(3):
         spark.createDataFrame(rows[k * 100 : k * 100 + 100], CALLS).coalesce(1).write.mode("append").json(source)

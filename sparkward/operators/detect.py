@@ -16,6 +16,7 @@ from ..plans.patterns import exec as exec_patterns
 from ..plans.patterns import exfil, injection, net
 from ..plans.patterns import path as path_patterns
 from ..schema import SEVERITIES, event_id, rank
+from ..sources.views import results_as_calls
 
 RANK = {s: k + 1 for k, s in enumerate(SEVERITIES)}
 #: Tools that run commands.
@@ -27,6 +28,10 @@ EXEC_TOOL = r"(?:^|[_\-.])(exec|executor|shell|bash|command|terminal|subprocess|
 EVENT = ["seq", "id", "ts_ms", "category", "severity", "title", "description", "details", "tool_name", "tool_params", "skill_name", "session_id", "agent_id", "rule_name", "matched_pattern", "action", "should_block"]
 
 
+#: Rows of a list up to which it is broadcast; longer ones are shuffled with what they are held against.
+SMALL = 10_000
+
+
 @dataclass(frozen=True)
 class Family:
     rule: str
@@ -161,9 +166,12 @@ def events(rows: DataFrame, family: Family, severity, title, description, detail
 
 def untrusted(calls: DataFrame, trusted: list[str]) -> DataFrame:
     """Calls of skills that aren't trusted: trimmed names without case; a null skill never is."""
-    names = calls.sparkSession.createDataFrame([(t,) for t in trusted] or [(None,)], "name string")
-    names = names.select(F.lower(F.trim("name")).alias("name"))
-    return calls.join(F.broadcast(names), F.lower(F.trim("skill_name")) == F.col("name"), "left_anti")  # the list of a configuration
+    names = sorted({t.strip().lower() for t in trusted})
+    if not names:
+        return calls
+    known = calls.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    known = F.broadcast(known) if len(names) <= SMALL else known
+    return calls.join(known, F.lower(F.trim("skill_name")) == F.col("name"), "left_anti")
 
 
 def evaluate(calls: DataFrame, trusted: list[str] = (), rules: tuple[str, ...] = tuple(FAMILIES), more: tuple[DataFrame, ...] = ()) -> DataFrame:
@@ -175,6 +183,23 @@ def evaluate(calls: DataFrame, trusted: list[str] = (), rules: tuple[str, ...] =
     return out
 
 
+#: Fixed value: what stands before the title of an event found in a result.
+RESPONSE = "[响应] "
+
+
+def response_events(raw: DataFrame, trusted: list[str] = (), more_than: int = 50) -> DataFrame:
+    """Events of leaks in results of calls (phase after, result of more than so many characters): alerts, whatever their severity."""
+    found = detect(untrusted(results_as_calls(raw, more_than), list(trusted)), "exfil")
+    return found.withColumns({"title": F.concat(F.lit(RESPONSE), "title"), "action": F.lit("alert"), "should_block": F.lit(False)})
+
+
+def verdicts(found: DataFrame) -> DataFrame:
+    """seq, blocked, alerts, said: what a tested text would come to."""
+    n = found.groupBy("seq").agg(F.count_if("should_block").alias("blocked"), F.count_if(~F.col("should_block")).alias("alerts"))
+    some = F.format_string("Result: %d would be BLOCKED, %d would trigger ALERT", "blocked", "alerts")
+    return n.withColumn("said", F.when(F.col("blocked") > 0, some).otherwise(F.format_string("Result: %d would trigger ALERT (no blocks)", "alerts")))
+
+
 def decisions(found: DataFrame, block_on_critical: bool = True) -> DataFrame:
     """One row a call with events: triggered, should_block, block, block_reason, n_events."""
     first = F.min_by("title", F.struct((-rank(F.col("severity"))).alias("rank"), "rule_order")).alias("block_reason")

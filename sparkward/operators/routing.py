@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +21,27 @@ def active(dismissals: DataFrame, now_ms: int) -> DataFrame:
     return dismissals.where((named[0] | named[1] | named[2]) & open_)
 
 
+def listed(dismissals: DataFrame, now_ms: int) -> DataFrame:
+    """Dismissals that haven't expired, the newest first. dismissals has created_at."""
+    return active(dismissals, now_ms).orderBy(F.desc("created_at"), "id")
+
+
 def undismissed(events: DataFrame, dismissals: DataFrame, now_ms: int) -> DataFrame:
     """Events that no dismissal covers, an empty field covering any value; blocked and critical ones always stay.
 
-    Dismissals are a managed list of at most ten thousand, so they go to the events.
+    Dismissals are joined by the fields that they name: one equality join for each set of fields, whose side is as
+    small as the different values of those fields.
     """
-    d = active(dismissals, now_ms).select(*[F.col(f).alias("d_" + f) for f in FIELDS])
-    same = [(F.coalesce(F.col("d_" + f), F.lit("")) == "") | (F.col("d_" + f) == F.col(f)) for f in FIELDS]
-    silent = (F.col("action") != "blocked") & (F.col("severity") != "critical")
-    return events.join(F.broadcast(d), same[0] & same[1] & same[2] & silent, "left_anti")
+    named = lambda f: F.nullif(F.col(f), F.lit(""))
+    given = active(dismissals, now_ms).select(*[named(f).alias(f) for f in FIELDS])
+    open_ = (F.col("action") != "blocked") & (F.col("severity") != "critical")
+    out = events
+    for k in range(1, 1 << len(FIELDS)):
+        some = [f for j, f in enumerate(FIELDS) if k >> j & 1]
+        has = reduce(and_, [F.col(f).isNotNull() if f in some else F.col(f).isNull() for f in FIELDS])
+        these = given.where(has).select(*[F.col(f).alias("d_" + f) for f in some]).distinct()
+        out = out.join(these, reduce(and_, [F.col(f) == F.col("d_" + f) for f in some]) & open_, "left_anti")
+    return out
 
 
 def routed(events: DataFrame, dismissals: DataFrame, now_ms: int, escalate: bool = True, dismiss: bool = True) -> DataFrame:
@@ -38,5 +53,5 @@ def routed(events: DataFrame, dismissals: DataFrame, now_ms: int, escalate: bool
 
 def dismissals_of(events: DataFrame, ids: list[str]) -> DataFrame:
     """Dismissals made from events: their rule, tool and skill."""
-    wanted = events.sparkSession.createDataFrame([(i,) for i in ids] or [(None,)], "id string")
-    return events.join(F.broadcast(wanted), "id").select(*FIELDS, F.lit(None).cast("bigint").alias("expires_at"))
+    wanted = events.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+    return events.join(wanted, "id").select(*FIELDS, F.lit(None).cast("bigint").alias("expires_at"))

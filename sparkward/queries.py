@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from .functions import redact
 from .functions import text as T
 from .functions.regex import re2
 from .operators import detect, policy, routing, rules, sinks, stateful, store
+from .plans import samples
 from .plans.engine import Config, alerts, events
-from .plans.patterns import exfil, injection, net
+from .plans.patterns import exfil, injection
 from .plans.patterns import redact as redact_patterns
 from .schema import CATEGORIES, rank, upgraded
 from .sources import views as V
@@ -190,6 +192,20 @@ def rate_limit_sliding(spark, d):
     return stateful.rate_limited(V.calls(spark, d, 1440), 10).drop("ratio")
 
 
+LATE = "ts_ms - (seq % 7) * 5000"
+
+
+@query(
+    f"""WITH {calls_sql(1440)}, l AS (SELECT seq, session_id, {LATE} AS ts_ms FROM calls),
+    k AS (SELECT *, max(ts_ms) OVER (PARTITION BY session_id ORDER BY seq) AS clock FROM l),
+    n AS (SELECT k.seq, k.session_id AS session_key, count(*) AS calls_in_window FROM k JOIN l e ON e.session_id = k.session_id AND e.seq <= k.seq AND e.ts_ms >= k.clock - 60000 GROUP BY 1, 2)
+    SELECT *, calls_in_window > 20 AS should_block FROM n WHERE calls_in_window > 10"""
+)
+def rate_limit_late_arrivals(spark, d):
+    late = V.calls(spark, d, 1440).withColumn("ts_ms", F.expr(LATE))
+    return stateful.rate_limited(late, 10).drop("ratio", "severity")
+
+
 @query(
     f"""WITH {calls_sql(1)}, n AS (SELECT *, row_number() OVER (PARTITION BY skill_name ORDER BY seq) AS n, row_number() OVER (PARTITION BY skill_name, tool_name ORDER BY seq) AS k FROM calls),
     f AS (SELECT *, count(*) OVER (PARTITION BY skill_name ORDER BY seq) AS unique_tools, count(*) FILTER (n <= 20) OVER (PARTITION BY skill_name) AS learned,
@@ -241,6 +257,24 @@ def dismissal_theta_anti(spark, d):
     return routing.undismissed(SE(spark, d), dismissals(spark), NOW).select("seq", "rule_name")
 
 
+@query(f"WITH {events_sql()} SELECT id, rule_name, created_at, expires_at FROM (SELECT id, rule_name, ts_ms AS created_at, CASE seq % 3 WHEN 0 THEN 0 WHEN 1 THEN {NOW} + seq ELSE ts_ms END AS expires_at FROM se WHERE rule_name IS NOT NULL) WHERE expires_at = 0 OR expires_at >= {NOW}")
+def dismissal_list(spark, d):
+    expires = F.when(F.col("seq") % 3 == 0, 0).when(F.col("seq") % 3 == 1, NOW + F.col("seq")).otherwise(F.col("ts_ms"))
+    rows = SE(spark, d).select("id", "rule_name", F.lit("").alias("tool_name"), F.lit(None).cast("string").alias("skill_name"), F.col("ts_ms").alias("created_at"), expires.cast("long").alias("expires_at"))
+    return routing.listed(rows, NOW).select("id", "rule_name", "created_at", "expires_at")
+
+
+@query(f"WITH {events_sql()} SELECT seq, id FROM se WHERE seq % 5 <> 0")
+def dismissal_delete(spark, d):
+    rows = SE(spark, d).select("seq", "id")
+    return store.without(rows, rows.where("seq % 5 = 0"), "id")
+
+
+@query(f"WITH {events_sql()} SELECT rule_name, tool_name, skill_name FROM se WHERE id IN ('evt_7', 'evt_8', 'evt_22')")
+def dismissals_from_events(spark, d):
+    return routing.dismissals_of(SE(spark, d), ["evt_7", "evt_8", "evt_22", "evt_none"]).select("rule_name", "tool_name", "skill_name")
+
+
 @query(f"WITH {calls_sql(1)} SELECT seq, skill_name FROM calls WHERE lower(trim(skill_name)) NOT IN ('skill_1', 'skill_3')")
 def trusted_skill_anti(spark, d):
     return detect.untrusted(V.calls(spark, d, 1), [" Skill_1 ", "skill_3"]).select("seq", "skill_name")
@@ -357,16 +391,38 @@ def exfil_documents(spark, d):
     return detect.detect(V.text_calls(spark, d, "documents"), "exfil").select("seq", "severity")
 
 
+@query(best_sql("(SELECT * FROM documents WHERE length(text) > 50)", "doc_id", ["text"], exfil.PATTERNS).replace("SELECT seq, severity FROM h", "SELECT seq, severity, 'alert' AS action, TRUE AS marked FROM h"))
+def response_leaks(spark, d):
+    rows = V.table(spark, d, "documents").select(
+        F.col("doc_id").alias("seq"), F.lit("after").alias("phase"), F.col("text").alias("result"), F.lit("fetch").alias("tool_name"), F.col("doc_id").alias("ts_ms"),
+        *[F.lit(None).cast("string").alias(c) for c in ("session_id", "agent_id", "skill_name")],
+    )
+    return detect.response_events(rows).select("seq", "severity", "action", F.startswith("title", F.lit(detect.RESPONSE)).alias("marked"))
+
+
 @query(best_sql("conversations", "conv_id * 1000 + turn", ["text"], injection.PATTERNS))
 def inject_conversations(spark, d):
     return detect.detect(V.text_calls(spark, d, "conversations"), "injection").select("seq", "severity")
 
 
-@query(best_sql("pages", "page_id", ["url"], net.PATTERNS))
+@query()
 def net_pages(spark, d):
-    rows = V.text_calls(spark, d, "pages")
-    only = rows.withColumn("params", F.to_json(F.struct(F.get_json_object("params", "$.url").alias("url"))))
-    return detect.detect(only, "net").select("seq", "severity")
+    return detect.detect(V.text_calls(spark, d, "pages"), "net").select("seq", "severity")
+
+
+def samples_of(family: str):
+    """The family's detector on a text for each of its patterns; what it should say comes from Python's engine."""
+
+    def run(spark, d):
+        cases = [(k, tool, params) for k, (_, tool, params) in enumerate(samples.of_family(family))]
+        return detect.detect(V.planted_calls(spark, d, cases), family).select("seq", "severity", "title", "matched_pattern")
+
+    run.__name__ = f"detector_samples_{family}"
+    return run
+
+
+for _family in samples.CARRIERS:
+    query(samples.expected_sql(_family))(samples_of(_family))
 
 
 #: (case, tool, parameters, expected: family and severity of each event)
@@ -410,11 +466,41 @@ def decision_merge(spark, d):
     return detect.decisions(detect.evaluate(planted(spark, d))).select("seq", "should_block", "block", "n_events")
 
 
-@query()
+def reasons_sql() -> str:
+    found = {c: [samples.best(f, json.loads(p)) for f in samples.CARRIERS if f != "exec" or t in ("shell_exec", "runCommand")] for c, t, p, _ in CASES if p}
+    first = {c: next((b[1] for b in each if b and b[0] == "critical"), None) for c, each in found.items()}
+    rows = ", ".join(f"({c}, {samples.quoted(title)})" for c, title in first.items() if title)
+    return f"SELECT event_id AS seq, block_reason FROM events JOIN (VALUES {rows}) c(case_id, block_reason) ON event_id % {len(CASES)} = case_id"
+
+
+@query(reasons_sql())
 def block_reason(spark, d):
     return detect.decisions(detect.evaluate(planted(spark, d))).where("should_block").select("seq", "block_reason")
 
 
+def verdicts_sql() -> str:
+    rows = []
+    for c, _, p, _ in CASES:
+        text = next(iter(json.loads(p).values())) if p and p != "{}" else "plain"
+        text = text if isinstance(text, str) else "plain"
+        contexts = [("shell_exec", {"command": text}), ("read_file", {"path": text}), ("http_request", {"url": text, "body": text, "method": "POST"})]
+        found = [b for t, own in contexts for f in samples.CARRIERS if f != "exec" or t == "shell_exec" for b in [samples.best(f, own)] if b]
+        blocked = sum(b[0] == "critical" for b in found)
+        if found:
+            said = f"Result: {blocked} would be BLOCKED, {len(found) - blocked} would trigger ALERT" if blocked else f"Result: {len(found)} would trigger ALERT (no blocks)"
+            rows.append(f"({c}, {blocked}, {len(found) - blocked}, '{said}')")
+    return f"SELECT event_id AS seq, blocked, alerts, said FROM events JOIN (VALUES {', '.join(rows)}) c(case_id, blocked, alerts, said) ON event_id % {len(CASES)} = case_id"
+
+
+@query(verdicts_sql())
+def test_rule_verdicts(spark, d):
+    text = F.coalesce(*[F.get_json_object("planted", f"$.{k}") for k in ("command", "path", "url", "body", "text")], F.lit("plain"))
+    small = spark.createDataFrame([(c, p) for c, _, p, _ in CASES], "case int, planted string").select("case", text.alias("input"))
+    rows = V.table(spark, d, "events").select(F.col("event_id").alias("case_id"), (F.col("event_id") % len(CASES)).cast("int").alias("case")).join(F.broadcast(small), "case")
+    calls = V.fanned_out(rows).select(F.col("case_id").alias("seq"), F.lit(0).cast("long").alias("ts_ms"), "tool_name", "params", *[F.lit(None).cast("string").alias(c) for c in ("session_id", "agent_id", "skill_name")])
+    return detect.verdicts(detect.evaluate(calls))
+
+
 @query()
 def engine_alerts(spark, d):
     found = events(planted(spark, d), Config(trusted_skills=["skill_1"], max_calls_per_minute=10))
@@ -432,14 +518,14 @@ match:
     k:
       - ^[0-4]$
 ---
-name: any-nine
-description: ends in nine
+name: any-stop
+description: ends in a full stop
 severity: low
 category: data_exfil
 shouldBlock: true
 match:
   any_param:
-    - "9$"
+    - "[.]$"
 ---
 name: only-tool
 description: a purchase
@@ -455,7 +541,7 @@ def yaml_rule_param(spark, d):
     return rules.declared(V.calls(spark, d, 1), RULES[0]).select("seq", "tool_name", F.get_json_object("details", "$.paramKey").alias("place"))
 
 
-@query("SELECT doc_id AS seq, 'content' AS place, 'blocked' AS action FROM documents WHERE regexp_matches(text, '9\\z')")
+@query("SELECT doc_id AS seq, 'content' AS place, 'blocked' AS action FROM documents WHERE regexp_matches(text, '[.]\\z')")
 def yaml_rule_any_param(spark, d):
     return rules.declared(V.text_calls(spark, d, "documents"), RULES[1]).select("seq", F.get_json_object("details", "$.paramKey").alias("place"), "action")
 
@@ -471,15 +557,22 @@ def response_scan_threshold(spark, d):
     return V.results_as_calls(rows).select("seq", F.length(F.get_json_object("params", "$._result")).cast("long").alias("n"))
 
 
-@query("""SELECT event_id AS seq, ['call', 'pass', 'error', 'none', 'call'][event_id % 5 + 1] AS kind, CASE event_id % 5 WHEN 2 THEN -32600 END AS code, CASE event_id % 5 WHEN 0 THEN event_type WHEN 4 THEN 'unknown' END AS tool_name, CASE event_id % 5 WHEN 0 THEN props WHEN 4 THEN '{}' END AS params FROM events""")
+@query("""SELECT event_id AS seq, ['call', 'pass', 'error', 'none', 'call'][event_id % 5 + 1] AS kind, CASE event_id % 5 WHEN 2 THEN -32600 END AS code, CASE event_id % 5 WHEN 0 THEN event_type WHEN 4 THEN 'unknown' END AS tool_name, CASE event_id % 5 WHEN 0 THEN replace(props, ' ', '') WHEN 4 THEN '{}' END AS params FROM events""")
 def jsonrpc_intercept(spark, d):
+    return V.rpc_calls(rpc_lines(spark, d))
+
+
+def rpc_lines(spark, d) -> DataFrame:
     e = V.table(spark, d, "events")
     call = F.concat(F.lit('{"method":"tools/call","params":{"name":"'), F.col("event_type"), F.lit('","arguments":'), F.regexp_replace("props", " ", ""), F.lit("}}"))
     k = F.col("event_id") % 5
     line = F.when(k == 0, call).when(k == 1, '{"method":"ping"}').when(k == 2, '{"method":5}').when(k == 3, "{broken").otherwise('{"method":"tools/call"}')
-    return V.rpc_calls(e.select(F.col("event_id").alias("seq"), line.alias("line"))).join(e.select(F.col("event_id").alias("seq"), "props"), "seq").withColumn(
-        "params", F.when(F.col("seq") % 5 == 0, F.col("props")).otherwise(F.col("params"))
-    ).drop("props")
+    return e.select(F.col("event_id").alias("seq"), line.alias("line"))
+
+
+@query("""SELECT count(*) AS requests, count(*) FILTER (event_id % 5 IN (0, 4)) AS tool_calls, count(*) FILTER (event_id % 5 = 2) AS errors FROM events""")
+def proxy_counters(spark, d):
+    return V.rpc_counts(V.rpc_calls(rpc_lines(spark, d)))
 
 
 @query("""SELECT event_id AS batch_id, CAST(i AS INT) AS seq, CASE WHEN i = 1 AND event_id % 3 = 0 THEN '' ELSE event_type END AS tool_name, event_id % 3 <> 0 AS accepted FROM events, (VALUES (0), (1)) v(i)""")
@@ -503,9 +596,15 @@ def test_rule_fanout(spark, d):
     return V.fanned_out(rows).select("case_id", "context", "tool_name")
 
 
-@query("SELECT page_id, TRUE AS is_public FROM pages")
+PLACES = ("http://10.0.0.7/", "https://example.com/", "http://localhost:8080/", "http://192.168.1.9/", "ftp://example.com/", "https://172.16.0.1/", "http://8.8.8.8/", "http://169.254.169.254/")
+
+
+@query(f"SELECT page_id, page_id % 16 IN (1, 6, 9, 14) OR page_id % 16 = 15 AS is_public FROM pages")
 def public_addresses(spark, d):
-    return V.table(spark, d, "pages").select("page_id", sinks.is_public(F.col("url")).alias("is_public"))
+    """Of sixteen pages fifteen get an address of another kind, the last keeps its own."""
+    place = F.element_at(F.array(*[F.lit(p) for p in PLACES]), (F.col("page_id") % 8 + 1).cast("int"))
+    url = F.when(F.col("page_id") % 16 == 15, F.col("url")).otherwise(F.concat(place, F.col("page_id").cast("string")))
+    return V.table(spark, d, "pages").select("page_id", sinks.is_public(url).alias("is_public"))
 
 
 @query()
@@ -514,9 +613,11 @@ def normalized_texts(spark, d):
     return rows.select("doc_id", F.length(T.text_udf(T.for_injection)("text")).alias("n_injection"), F.length(T.text_udf(T.shell)("text")).alias("n_shell"))
 
 
-@query("SELECT doc_id, translate(text, 'éèêüñ', 'éèêüñ') AS text FROM documents")
+@query(f"SELECT doc_id, translate(replace(translate(text, 'aeoHT', 'аеоНТ'), ' ', chr(160)), '{''.join(T.LOOKALIKES)}' || chr(160), '{''.join(T.LOOKALIKES.values())} ') AS text FROM documents")
 def homoglyph_fold(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", T.plain_spaces(T.folded_lookalikes(T.without_invisible(F.col("text")))).alias("text"))
+    """Texts with letters that look like Latin ones, invisible characters and odd spaces put in."""
+    hidden = F.regexp_replace(F.translate("text", "aeoHT", "аеоНТ"), " ", "\u200b\u00a0")
+    return V.table(spark, d, "documents").select("doc_id", T.plain_spaces(T.folded_lookalikes(T.without_invisible(hidden))).alias("text"))
 
 
 POLICIES = [

@@ -65,10 +65,12 @@ def text_calls(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def planted_calls(spark: SparkSession, sf_dir: str, cases: list[tuple[int, str, str]]) -> DataFrame:
-    """Events carrying the texts of `cases` (id, tool, parameters in JSON), by turns."""
-    small = spark.createDataFrame(cases, "case_id int, tool_name string, params string")
-    rows = calls(spark, sf_dir).drop("tool_name", "params").withColumn("case_id", (F.col("seq") % len(cases)).cast("int"))
-    return rows.join(F.broadcast(small), "case_id").select("seq", "ts_ms", "tool_name", "params", "session_id", "agent_id", "skill_name")
+    """Events that carry the texts of `cases` (id, tool, parameters in JSON) beside their own parameters, by turns."""
+    small = spark.createDataFrame(cases, "case_id int, tool_name string, planted string")
+    rows = calls(spark, sf_dir).drop("tool_name").withColumn("case_id", (F.col("seq") % len(cases)).cast("int"))
+    both = F.expr("""concat(substring(planted, 1, length(planted) - 1), ',"event":', params, '}')""")
+    joined = rows.join(F.broadcast(small), "case_id").withColumn("params", F.when(F.length("planted") > 2, both).otherwise(F.col("planted")))  # as many rows as cases
+    return joined.select("seq", "ts_ms", "tool_name", "params", "session_id", "agent_id", "skill_name")
 
 
 def hook_calls(raw: DataFrame) -> DataFrame:
@@ -103,6 +105,11 @@ def rpc_calls(lines: DataFrame) -> DataFrame:
     )
 
 
+def rpc_counts(rows: DataFrame) -> DataFrame:
+    """requests, tool_calls, errors of a proxy's lines."""
+    return rows.agg(F.count("*").alias("requests"), F.count_if(F.col("kind") == "call").alias("tool_calls"), F.count_if(F.col("kind") == "error").alias("errors"))
+
+
 def batch_items(bodies: DataFrame, most: int = 100) -> DataFrame:
     """Batches (batch_id, body) as items in their order; a batch is valid only if all its items are, and it isn't too long."""
     items = F.from_json("body", "array<struct<toolName:string,toolParams:string>>")

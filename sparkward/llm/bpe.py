@@ -139,6 +139,21 @@ def tree_for(path: str) -> Tree:
     return Tree(path)
 
 
+def packed_tokens(found: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, and by differences where tokens of a leaf stand: the gap before each and its size. Empty where one is out of range."""
+    ids, a, b = found
+    gaps, sizes = a - np.r_[0, b[:-1]] if len(a) else a, b - a
+    if len(ids) and max(np.abs(gaps).max(), sizes.max()) > np.iinfo(np.int16).max:
+        ids = gaps = sizes = ids[:0]
+    return ids.astype(np.int32), gaps.astype(np.int16), sizes.astype(np.int16)
+
+
+def unpacked_tokens(ids: np.ndarray, gaps: np.ndarray, sizes: np.ndarray, at: int) -> Tokens:
+    sizes = sizes.astype(np.int64)
+    b = np.cumsum(gaps.astype(np.int64) + sizes) + at
+    return np.stack([ids.astype(np.int64), b - sizes, b])
+
+
 def row(doc: int, n: int, ids: str, decoded: str) -> tuple:
     return doc, n, sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
 
@@ -177,32 +192,30 @@ def encoded(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
                 parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([own] * n), pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(parts)],
+                    [pa.array([own] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(parts)],
                     ["own", "doc_id", "leaf", "start", "text"],
                 )
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = tree_for(tokenizer)
         for batch in batches:
-            found = [tree.leaf(t, a) for a, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            cols = [pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in range(3)]
-            cols[0] = cols[0].cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "ids", "a", "b"])
+            packed = [packed_tokens(tree.leaf(t, 0)) for t in batch.column(4).to_pylist()]
+            cols = [pa.array([x[k] for x in packed], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int16(), pa.int16()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "ids", "gaps", "sizes"])
 
     def joined(group: pa.Table) -> pa.Table:
         tree, parts = tree_for(tokenizer), group.sort_by("leaf")
         texts, starts = parts["text"].to_pylist(), parts["start"].to_pylist()
-        cols = [[x.values.to_numpy().astype(np.int64) for x in parts[c]] for c in ("ids", "a", "b")]
-        ids = tree.encode("".join(texts), [(s, s + len(t), np.stack(x)) for s, t, *x in zip(starts, texts, *cols)])
+        pieces = []
+        for at, text, ids, gaps, sizes in zip(starts, texts, parts["ids"], parts["gaps"], parts["sizes"]):
+            own = unpacked_tokens(*(x.values.to_numpy() for x in (ids, gaps, sizes)), at) if len(ids) or not text else tree.leaf(text, at)
+            pieces.append((at, at + len(text), own))
+        ids = tree.encode("".join(texts), pieces)
         number, token = tree.numbers.__getitem__, tree.tokens.__getitem__
         return pa.Table.from_batches([arrow([row(parts["doc_id"][0].as_py(), len(ids), " ".join(map(number, ids)), " ".join(map(token, ids)))])])
 
-    long_texts = rows.where(F.length("text") > leaf).select(F.expr("uuid()").alias("own"), "doc_id", "text")
-    cut = saved(long_texts.mapInArrow(leaves, "own string, doc_id long, leaf int, start long, text string"), "leaves")
-    trees = (
-        cut.repartition("own", "leaf")
-        .mapInArrow(tokens, "own string, doc_id long, leaf int, start long, text string, ids array<int>, a array<long>, b array<long>")
-        .groupBy("own")
-        .applyInArrow(joined, RESULT)
-    )
+    long_texts = rows.where(F.length("text") > leaf).select(F.monotonically_increasing_id().alias("own"), "doc_id", "text")
+    kept = "own long, doc_id long, leaf int, start long, text string"
+    cut = saved(long_texts.mapInArrow(leaves, kept).repartition("own", "leaf"), "leaves")  # leaves of one text lie in many files
+    trees = cut.mapInArrow(tokens, f"{kept}, ids array<int>, gaps array<smallint>, sizes array<smallint>").groupBy("own").applyInArrow(joined, RESULT)
     return rows.where(F.length("text") <= leaf).mapInArrow(short, RESULT).unionByName(trees)

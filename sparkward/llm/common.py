@@ -58,6 +58,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def ids_are_keys(docs: DataFrame) -> bool:
     """Whether each row has a doc_id and no two share one."""
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import escape
@@ -40,11 +41,17 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Blocks(HTMLParser):
-    """Leaf blocks of a page in order: (text, features of the tags above, characters inside links)."""
+    """Leaf blocks of a page in order: (text, features of the tags above, characters inside links).
 
-    def __init__(self):
+    Of the features above only those in `known` are kept, if it is given, so that a block costs no more the deeper it lies.
+    """
+
+    def __init__(self, known: dict[str, int] | None = None):
         super().__init__(convert_charrefs=True)
+        self.known = known
         self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.open: Counter[str] = Counter()  # tags on the stack
+        self.active: dict[str, int] = {}  # features on the stack: how often
         self.silent = 0
         self.out: list[tuple[str, tuple[str, ...], int]] = []
         self.text: list[str] = []
@@ -53,15 +60,13 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split(None))
         if text:
-            above = tuple(dict.fromkeys(f for _, own in self.stack for f in own))
-            self.out.append((text, above, self.linked))
+            self.out.append((text, tuple(self.active), self.linked))
         self.text, self.linked = [], 0
 
     def close_head(self, whole: bool = True) -> None:
         """Ends an open head; only if nothing is open in it, unless whole."""
-        at = next((k for k, (t, _) in enumerate(self.stack) if t == "head"), len(self.stack))
-        if whole or at == len(self.stack) - 1:
-            while len(self.stack) > at:
+        if self.open["head"] and (whole or self.stack[-1][0] == "head"):
+            while self.open["head"]:
                 self.pop()
 
     def handle_starttag(self, tag, attrs):
@@ -76,9 +81,9 @@ class Blocks(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
-            while self.stack and self.stack[-1][0] not in BLOCK and any(t == "p" for t, _ in self.stack):
+            while self.stack and self.stack[-1][0] not in BLOCK and self.open["p"]:
                 self.pop()  # an open paragraph takes its inline tags with it
-            while self.stack and tag in CLOSED_BY.get(self.stack[-1][0], ()):
+            while self.stack and (tag in CLOSED_BY.get(self.stack[-1][0], ()) or self.stack[-1][0] in ("option", "button")):
                 self.pop()
         own = ["tag=" + tag]
         for name, value in attrs:
@@ -86,21 +91,30 @@ class Blocks(HTMLParser):
                 own += ["name=" + w for w in WORDS.findall(value.lower())]
             elif name in ("hidden", "aria-hidden"):
                 own.append("name=hidden")
-        self.stack.append((tag, tuple(own)))
+        own = tuple(f for f in dict.fromkeys(own) if self.known is None or f in self.known)
+        self.stack.append((tag, own))
+        self.open[tag] += 1
+        for f in own:
+            self.active[f] = self.active.get(f, 0) + 1
         self.silent += tag in SILENT
         self.in_link += tag == "a"
 
     def pop(self) -> None:
-        tag, _ = self.stack.pop()
+        tag, own = self.stack.pop()
+        self.open[tag] -= 1
+        for f in own:
+            self.active[f] -= 1
+            if not self.active[f]:
+                del self.active[f]
         self.silent -= tag in SILENT
         self.in_link -= tag == "a"
 
     def handle_endtag(self, tag):
-        if tag in VOID or not any(t == tag for t, _ in self.stack):
+        if tag in VOID or not self.open[tag]:
             return
         if tag in BLOCK:
             self.flush()
-        elif any(t in BLOCK for t, _ in self.stack[max(k for k, (t, _) in enumerate(self.stack) if t == tag) + 1 :]):
+        elif next(t for t, _ in reversed(self.stack) if t == tag or t in BLOCK) != tag:
             return  # an inline end tag closes no block
         while self.stack:
             own = self.stack[-1][0]
@@ -117,8 +131,8 @@ class Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    parser = Blocks()
+def blocks(html: str | None, known: dict[str, int] | None = None) -> list[tuple[str, tuple[str, ...], int]]:
+    parser = Blocks(known)
     parser.feed(html or "")
     parser.close()
     parser.flush()
@@ -272,7 +286,7 @@ def trained() -> Field:
 
 
 def main_text(html: str | None, field: Field) -> str:
-    found = blocks(html)
+    found = blocks(html, field.index)
     labels = field.best([features(*b) for b in found])
     return "\n".join(b[0] for b, keep in zip(found, labels) if keep)
 

@@ -13,8 +13,8 @@ as documents of their own. An empty table gives an empty result. Other columns a
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,8 +69,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), dict.fromkeys(counts, 0)
-        memo = WordMemo(tokenizer, lambda ids: array("I", ids).tobytes())
-        end = array("I", [end_id]).tobytes()
+        memo = WordMemo(tokenizer, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        end = struct.pack("<I", end_id)
         for batch in batches:
             rows = []
             for doc, found in zip(batch.column(0).to_pylist(), memo.over(batch.column(1).to_pylist())):

@@ -17,7 +17,8 @@ letter, or 24 letters in a row. Passwords need no mark, since any word may be on
 
 A null or empty text stays as it is; so does every text without entities. Rows that repeat an id or a
 text are treated alike, each for itself. All other columns are handed through, only n_chars is
-counted anew where there is one. Columns named _ents, _gaps, _map, _id or n_entities would clash and are not allowed.
+counted anew where there is one, and a column n_entities is replaced. What is gathered of all entities is emptied
+once each text has its own surrogates.
 An empty table gives an empty result.
 """
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 #: type -> Java regex, in order of precedence. No groups that capture.
 MALE = r"(?:Mr|Sir|Herrn?|Monsieur|Señor|Sr|Г-н|Господин|Κύριος|Κος)"
@@ -185,7 +186,7 @@ def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
 
     Ends for any values: each attempt hashes anew, and the space of surrogates grows with the attempts.
     """
-    todo, done = values.withColumn("attempt", F.lit(0)), None
+    todo, done, last = values.withColumn("attempt", F.lit(0)), None, []
     taken = values.select("kind", F.col("value").alias("new"))
     while True:
         tried = with_surrogates(todo.select("kind", "value", "attempt"), key)
@@ -194,11 +195,13 @@ def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
         owner = every.groupBy("kind", "new").agg(F.min(F.struct("attempt", "value"))["value"].alias("owner"))
         judged = every.join(owner, ["kind", "new"]).join(taken.withColumn("real", F.lit(True)), ["kind", "new"], "left")
         clash = (F.col("owner") != F.col("value")) | F.col("real").isNotNull()
-        judged = saved(judged.select("kind", "value", "attempt", "new", clash.alias("clash")), "surrogates-judged")
-        again = judged.where("clash")
+        after = saved(judged.select("kind", "value", "attempt", "new", clash.alias("clash")), "surrogates-judged")
+        forget(every, *last)
+        last = [after]
+        again = after.where("clash")
         if again.isEmpty():
-            return judged.select("kind", "value", "new")
-        done = judged.where("not clash").drop("clash")
+            return after.select("kind", "value", "new")
+        done = after.where("not clash").drop("clash")
         todo = again.select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
 
 
@@ -215,16 +218,19 @@ def refilled(entity: Column, digits: Column) -> Column:
 
 
 def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with the entities of its texts replaced; n_entities is added."""
-    has = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    some = docs.where(has).withColumn("_ents", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    some = saved(some.withColumn("_gaps", F.when(F.size("_ents") > 0, F.split(text, ANY, -1))), "texts-with-entities")
-    kinds = F.transform("_ents", lambda e: F.struct(kind_of(e).alias("kind"), e.alias("entity")))
-    found = some.select("doc_id", F.explode(F.array_distinct(kinds)).alias("e")).select("doc_id", "e.kind", "e.entity")
+    """docs with the entities of its texts replaced; n_entities is added, in place of a column of that name."""
+    columns = [c for c in docs.columns if c != "n_entities"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))  # no column clashes with those made here
+    has = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    some = rows.where(has).withColumn("ents", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    some = some.withColumn("gaps", F.when(F.size("ents") > 0, F.split("text", ANY, -1)))
+    some = saved(some.drop("text").withColumn("id", F.monotonically_increasing_id()), "texts-with-entities")
+    kinds = F.transform("ents", lambda e: F.struct(kind_of(e).alias("kind"), e.alias("entity")))
+    found = some.select("id", F.explode(F.array_distinct(kinds)).alias("e")).select("id", "e.kind", "e.entity")
     found = found.where((F.col("kind") != "card") | (luhn(digits_of(F.col("entity"))) == 0))  # other long numbers stay
     found = saved(found.withColumn("values", canonical(F.col("kind"), F.col("entity"))), "entities")
-    values = found.select("kind", F.explode("values").alias("value")).distinct()
-    mapping = distinct_surrogates(saved(values, "entity-values"), key)
+    values = saved(found.select("kind", F.explode("values").alias("value")).distinct(), "entity-values")
+    mapping = distinct_surrogates(values, key)
     entities = found.select("kind", "entity", F.posexplode("values").alias("at", "value")).distinct().join(mapping, ["kind", "value"])
     entities = entities.groupBy("kind", "entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]), " ").alias("new"))
     loud = F.upper("entity") == F.col("entity")
@@ -234,20 +240,27 @@ def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         .otherwise(F.concat(lead_of(F.col("kind"), F.col("entity")), F.col("new")))
     )
     maps = (
-        found.select("doc_id", "kind", "entity")
+        found.select("id", "kind", "entity")
         .join(entities.select("kind", "entity", new.alias("new")), ["kind", "entity"])
-        .groupBy("doc_id")
-        .agg(F.map_from_entries(F.collect_set(F.struct("entity", "new"))).alias("_map"))
+        .groupBy("id")
+        .agg(F.map_from_entries(F.collect_set(F.struct("entity", "new"))).alias("map"))
     )
-    maps = maps.withColumnRenamed("doc_id", "_id")
-    joined = some.join(maps, some["doc_id"].eqNullSafe(maps["_id"]), "left")
-    pieces = F.zip_with(
-        "_gaps", "_ents", lambda g, e: F.concat(g, F.coalesce(F.element_at(F.coalesce("_map", F.create_map().cast("map<string,string>")), e), e, F.lit("")))
-    )
-    fresh = F.when(F.size("_ents") > 0, F.array_join(pieces, "")).otherwise(F.col(text))
-    count = F.size(F.filter("_ents", lambda e: F.element_at(F.coalesce("_map", F.create_map().cast("map<string,string>")), e).isNotNull()))
-    done = joined.withColumn("n_entities", count.cast("long")).withColumn(text, fresh)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    rest = docs.where(~has).withColumn("n_entities", F.lit(0).cast("long"))
-    return done.select(*docs.columns, "n_entities").unionByName(rest)
+    maps = saved(maps, "surrogates-of-texts")
+    forget(found, values, mapping)  # what tells all entities of the table, and whose surrogate is whose
+    none = F.create_map().cast("map<string,string>")
+    joined = some.join(maps, "id", "left").withColumn("map", F.coalesce("map", none))
+    pieces = F.zip_with("gaps", "ents", lambda g, e: F.concat(g, F.coalesce(F.element_at("map", e), e, F.lit(""))))
+    fresh_text = F.when(F.size("ents") > 0, F.array_join(pieces, "")).otherwise(F.col("row")[text])
+    count = F.size(F.filter("ents", lambda e: F.element_at("map", e).isNotNull())).cast("long")
+    done = joined.select("row", fresh_text.alias("text"), count.alias("n_entities"))
+    rest = rows.where(~has).select("row", "text", F.lit(0).cast("long").alias("n_entities"))
+
+    def column(name: str) -> Column:
+        old = F.col("row")[name]
+        if name == text:
+            return F.col("text").alias(name)
+        if name == "n_chars":
+            return F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema[name].dataType)).otherwise(old).alias(name)
+        return old.alias(name)
+
+    return done.unionByName(rest).select(*map(column, columns), "n_entities")

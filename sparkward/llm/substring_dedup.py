@@ -131,7 +131,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256."""
-    docs = with_row_key(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("_key").alias("doc_id"), "text")
+    docs = with_row_key(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("id"), F.col("_key").alias("doc_id"), "text")
     found = repeats(docs)
     docs = marked(docs, "doc_id", found.select("doc_id"), "some")  # spares the other texts the shuffle
     whole = docs.where(~F.col("some")).withColumn("runs", F.lit(None).cast(found.schema["runs"].dataType))

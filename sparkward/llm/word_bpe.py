@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -27,8 +27,6 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85
 #: Texts with other characters than these are normalised by the library. (1C to 1F: white space
 #: to str.split, but not to the vocabulary's pattern.)
 BEYOND_LATIN = regex.compile(r"[^\x00-\x1b\x20-ɏ]")
-#: Marks that end a word: a pre-token of their own, so that the word alone is remembered.
-END_MARKS = re.compile(r"(?<=[^\W_])([.,;:!?]+)(?=\s|$)")
 #: Marks before words that are already normalised, and before the ids of special strings.
 OWN, SPECIAL_MARK = "\ue000", "\ue001"
 #: Words that a worker remembers at most, and characters of text that it resolves at once.
@@ -57,14 +55,14 @@ class WordBpe:
 
     def plain(self, text: str) -> list[str]:
         if BEYOND_LATIN.search(text) is None:
-            return END_MARKS.sub(r" \1", unicodedata.normalize("NFC", text).lower()).split()
+            return unicodedata.normalize("NFC", text).lower().split()
         norm = self.full.normalizer.normalize_str(text)
         return [OWN + norm[a:b] for _, (a, b) in self.full.pre_tokenizer.pre_tokenize_str(norm)]
 
     def words(self, text: str) -> list[str]:
         """Parts of a text whose ids, one after the other, are the text's ids.
 
-        In Latin texts they are what white space parts, normalised, and marks behind it; in other texts normalised pre-tokens,
+        In Latin texts they are what white space parts, normalised; in other texts normalised pre-tokens,
         and for the special strings their ids, each behind a mark that no Latin word has.
         """
         if "<|" not in text or SPECIAL.search(text) is None:
@@ -76,27 +74,25 @@ class WordBpe:
             at = m.end()
         return out + self.plain(text[at:])
 
-    def ids_of(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """Each word with its ids; what has to be merged goes to the library in batches."""
-        whole, split = [], []
+    def made_of(self, words: Iterable[str], make: Callable[[list[int]], object]) -> Iterator[tuple[str, object]]:
+        """Each word with what `make` says of its ids; what has to be merged goes to the library in batches."""
+        whole, split, encode = [], [], self.one.encode_batch_fast
+        for word in words:
+            (whole if word.isalpha() else split).append(word)
+        for k in range(0, len(whole), 4096):
+            part = whole[k : k + 4096]
+            yield from zip(part, [make(x.ids) for x in encode(part, add_special_tokens=False)])
+        parts = [[w[1:]] if w[0] == OWN else [] if w[0] == SPECIAL_MARK else PRE_TOKEN.findall(w) for w in split]
         if len(self.known) > MEMO:
             self.known.clear()
-        for word in words:
-            if word.isalpha():
-                whole.append(word)
-            elif word[0] == SPECIAL_MARK:
-                yield word, [int(word[1:])]
-            else:
-                split.append((word, [word[1:]] if word[0] == OWN else PRE_TOKEN.findall(word)))
-        known, encode = self.known, self.one.encode_batch_fast
-        new = {p for _, parts in split for p in parts}.union(whole).difference(known)
-        todo = list(new)
+        known = self.known
+        todo = list(set(chain.from_iterable(parts)).difference(known))
         for k in range(0, len(todo), 4096):
             part = todo[k : k + 4096]
             known.update(zip(part, [x.ids for x in encode(part, add_special_tokens=False)]))
-        yield from zip(whole, map(known.__getitem__, whole))
-        for word, parts in split:
-            yield word, known[parts[0]] if len(parts) == 1 else [i for p in parts for i in known[p]]
+        for word, own in zip(split, parts):
+            ids = [int(word[1:])] if word[0] == SPECIAL_MARK else known[own[0]] if len(own) == 1 else [i for p in own for i in known[p]]
+            yield word, make(ids)
 
 
 class WordMemo:
@@ -117,12 +113,12 @@ class WordMemo:
         yield from self.resolved(held)
 
     def resolved(self, held: list[list[str]]) -> Iterator[list]:
-        memo, make = self.memo, self.make
+        memo = self.memo
         new = set().union(*held).difference(memo)
         if len(memo) + len(new) > MEMO:
             memo.clear()
             new = set().union(*held)
-        memo.update([(word, make(ids)) for word, ids in self.bpe.ids_of(new)])
+        memo.update(self.bpe.made_of(new, self.make))
         for own in held:
             yield list(map(memo.__getitem__, own))
 

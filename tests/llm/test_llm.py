@@ -1,7 +1,12 @@
 """The numbered operators against plain code, on small tables with nulls, empty and repeated texts."""
 
+import itertools
+import math
 import random
-from collections import defaultdict
+import re
+import struct
+import time
+from collections import Counter, defaultdict
 from hashlib import sha256
 from zlib import crc32
 
@@ -9,6 +14,8 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+import regex as jregex
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -72,6 +79,12 @@ def test_packing(docs, empty):
     assert packing.pack(empty, BPE).count() == 0
 
 
+def test_packing_leaves_little_padding(spark):
+    """On given documents: at most a tenth of all places."""
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), BPE).groupBy().agg(F.sum("length").alias("used"), F.count_distinct("sequence_id").alias("n")).first()
+    assert rows.used >= 0.9 * 4096 * rows.n
+
+
 def test_bpe(docs, empty):
     tok = Tokenizer.from_file(BPE)
     got = {r.doc_id: r for r in bpe.encoded(docs, BPE, leaf=200).collect()}
@@ -197,6 +210,33 @@ def test_quality(spark, docs, empty):
     assert rows.where("kept").select("_row.*").count() == sum(r.kept for r in quality.judged(docs, labels).collect())
 
 
+def test_quality_scores(spark, docs):
+    """The ratio and the verdict, from plain counts of the n-grams."""
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    long = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def grams(text):
+        ends = [long(xxhash.xxh64(w.decode()[-3:].encode(), seed=42).intdigest()) for w in (text or "").encode().split()]
+        pair = lambda x, y: long(xxhash.xxh64(struct.pack("<q", y), seed=xxhash.xxh64(struct.pack("<q", x), seed=42).intdigest()).intdigest())
+        return [pair(x, y) % quality.BUCKETS for x, y in zip([0, *ends], ends)]
+
+    own = [grams(t) for t in texts()]
+    raw, target = Counter(g for x in own for g in x), Counter(g for k, x in enumerate(own) if k < 60 and k % 3 for g in x)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {g: round(math.log((target[g] + quality.SMOOTH) / (n * share + quality.SMOOTH)), 6) for g, n in raw.items()}
+    for r in quality.judged(docs, labels).collect():
+        want = sum(ratio[g] for g in own[r.doc_id]) / max(len(own[r.doc_id]), 1)
+        assert abs(r.score - want) < 2e-6 and (abs(want - quality.THRESHOLD) < 1e-5 or r.kept == (not r.base_failed and want >= quality.THRESHOLD))
+
+
+def test_quality_on_held_out_labels(spark):
+    """Half of the labels count as trusted; of the others, good documents stay and bad ones go."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    kept = quality.judged(docs, labels.where("doc_id % 2 = 0")).where("not base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id")
+    share = {r.quality: r.share for r in kept.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[1] >= 0.98 and share[0] <= 0.1
+
+
 def test_pii(spark, docs, empty):
     rows = [
         (1, "Mail a.b@mail1.example.com or A.B@MAIL1.EXAMPLE.COM, card 4111 1111 1111 1111 and 4111111111111111."), (2, "card 4111111111111112 stays, ip 10.20.30.40! +1 (988) 555-2485"),
@@ -217,6 +257,49 @@ def test_pii(spark, docs, empty):
     assert pii.replaced(empty, "key").count() == 0 and pii.replaced(docs, "key").count() == docs.count()
 
 
+def test_pii_finds_what_the_patterns_find(spark):
+    """On given documents: as many entities as plain code finds, one surrogate each, all different, the rest as it was."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pattern, found = jregex.compile(pii.ANY), {}
+    got = {r.doc_id: r for r in pii.replaced(docs, "key").collect()}
+    luhn = lambda d: sum(x if k % 2 == 0 else x * 2 % 10 + x // 5 for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    kinds = {k: jregex.compile(p) for k, p in pii.PATTERNS.items()}
+    for r in docs.collect():
+        entities = []
+        for m in pattern.finditer(r.text or ""):
+            kind = next(k for k, p in kinds.items() if p.fullmatch(m[0]))
+            if kind != "card" or luhn(jregex.sub("[^0-9]", "", m[0])):
+                entities.append(m[0])
+        assert got[r.doc_id].n_entities == len(entities), r.doc_id
+        rest = jregex.split("|".join(map(jregex.escape, sorted(set(entities), key=len, reverse=True))), r.text) if entities else [r.text]
+        at = 0
+        for k, piece in enumerate(rest):  # what lies between entities stands in the result in order
+            at = got[r.doc_id].text.index(piece, at) + len(piece)
+            if k < len(entities):
+                found.setdefault(entities[k], set())
+        if len(entities) == 1 and rest[0] and rest[1]:
+            new = got[r.doc_id].text[len(rest[0]) : len(got[r.doc_id].text) - len(rest[1])]
+            found[entities[0]].add(new)
+    single = {e: s for e, s in found.items() if s}
+    assert single and all(len(s) == 1 for s in single.values()) and len({min(s) for s in single.values()}) == len(single)
+    assert not {min(s) for s in single.values()} & set(found)
+
+
+def test_clashing_columns(spark):
+    """Extra columns with names that operators make themselves: none crashes, and they come through where rows do."""
+    names = "_ents _gaps _map _id id row n_entities _key _word _bits some n gram post kept score _row w keys digest norm best host path rule mined component runs bucket own leaf task k".split()
+    rows = [(1, "Mail a.b@mail1.example.com now please", "http://a.net/x", "<p>x", 1), (1, None, None, None, 2), (None, " ".join("abcdefghijklmnopqrstuvwxyz"), "nothing", "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string, html string, page_id long").select("*", *[F.lit("x").alias(n) for n in names])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    out = pii.replaced(docs, "key")
+    assert out.count() == 3 and set(out.columns) == set(docs.columns) and out.where("_map = 'x' and row = 'x'").count() == 3
+    for found in (packing.pack(docs, BPE), bpe.encoded(docs, BPE), token_counts.token_counts(docs, PIECES), html_extract.extracted(docs), substring_dedup.deduplicated(docs), ngram_join.linked(docs), exact_dedup.exact_groups(docs), url_filter.filtered(docs), quality.judged(docs, labels)):
+        assert found.count() == 3
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.replace_personal_data):
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns and kept.count() == 3
+
+
 def test_pii_hint(spark):
     """Entities without two adjacent digits, where their type has any: the prefilter lets them through."""
     cases = {
@@ -270,6 +353,41 @@ def test_html():
     assert html_extract.main_text(None, field) == "" == html_extract.main_text("<script>x</script>", field)
 
 
+def test_html_decoding_is_the_best_of_all():
+    """Viterbi against all labellings of short chains."""
+    field = html_extract.trained()
+    for rows, _ in html_extract.labelled_pages(25, 5):
+        rows = rows[:9]
+        scores, score = field.scores(rows), {}
+        for labels in itertools.product((0, 1), repeat=len(rows)):
+            score[labels] = sum(scores[k][x] for k, x in enumerate(labels)) + sum(field.step[x][y] for x, y in itertools.pairwise(labels))
+        got = tuple(field.best(rows))
+        assert score[got] >= max(score.values()) - 1e-9
+
+
+def test_html_given_pages(spark):
+    """The given pages' articles, read by themselves, are what is extracted from the whole pages."""
+    field, same, n = html_extract.trained(), 0, 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inner = re.search(r"(?s)<article>(.*?)</article>", r.html)
+        if inner:
+            n += 1
+            got = html_extract.main_text(r.html, field)
+            want = html_extract.main_text(f"<html><body><article>{inner[1]}</article></body></html>", field)
+            same += got == want and got != ""
+    assert n > 100 and same >= 0.98 * n
+
+
+def test_html_deep_pages_take_linear_time():
+    field, took = html_extract.trained(), []
+    for n in (2000, 16_000):
+        page = "<html><body>" + "".join(f"<div class=c{k}>t{k} " for k in range(n)) + "<b>" * n + "</i></b>" * n
+        began = time.time()
+        html_extract.main_text(page, field)
+        took.append(time.time() - began)
+    assert took[1] < 40 * max(took[0], 0.05)
+
+
 def test_html_head_left_open():
     field, body = html_extract.trained(), "<article><h1>A title here.</h1><p>One two three, four five six.</p></article>"
     want = "A title here.\nOne two three, four five six."

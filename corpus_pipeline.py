@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkward.llm import exact_dedup, ngram_join, packing, pii, quality
-from sparkward.llm.common import saved, table, with_row_key
+from sparkward.llm.common import fresh, saved, table, with_row_key
 from sparkward.llm.queries import PII_KEY
 
 
@@ -22,16 +22,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = with_row_key(docs)
-    stays = exact_dedup.exact_groups(docs, key="_key").where("kept").select("_key")
-    return docs.join(stays, "_key", "left_semi").drop("_key")
+    key = fresh(docs, "_key")
+    docs = with_row_key(docs, key)
+    stays = exact_dedup.exact_groups(docs, key=key).where("kept").select(key)
+    return docs.join(stays, key, "left_semi").drop(key)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays, any one of equal ids."""
-    docs = with_row_key(docs)
-    stays = ngram_join.linked(docs.select(F.col("_key").alias("doc_id"), "text")).where("component_id = doc_id")
-    return docs.join(stays.select(F.col("doc_id").alias("_key")), "_key", "left_semi").drop("_key")
+    key = fresh(docs, "_key")
+    docs = with_row_key(docs, key)
+    stays = ngram_join.linked(docs.select(F.col(key).alias("doc_id"), "text")).where("component_id = doc_id")
+    return docs.join(stays.select(F.col("doc_id").alias(key)), key, "left_semi").drop(key)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

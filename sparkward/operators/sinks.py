@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import posixpath
 import random
+import re
 import time
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import saved
+
 #: Hosts that a receiver must not have.
 PRIVATE = (
     r"^127\.", r"^10\.", r"^172\.(1[6-9]|2\d|3[01])\.", r"^192\.168\.", r"^169\.254\.", r"^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.", r"^0\.", r"^::1$", r"^::$",
@@ -99,20 +104,34 @@ def hook_text() -> Column:
     return F.concat_ws("\n", F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("title")), "description", F.concat(F.lit("rule: "), F.coalesce("rule_name", F.lit("?"))))
 
 
-def deliver(payloads: DataFrame, url: str, headers: dict[str, str] | None = None, retries: int = 2) -> None:
-    """Posts a column named payload, a partition at a time; a receiver that fails is tried again, later and later."""
-
-    def send(rows) -> None:
-        for row in rows:
-            for attempt in range(retries + 1):
-                try:
-                    ask = urllib.request.Request(url, row.payload.encode(), {"Content-Type": "application/json"} | (headers or {}))
-                    urllib.request.urlopen(ask, timeout=5).close()
-                    break
-                except OSError:
+def deliver(payloads: DataFrame, url: str, headers: dict[str, str] | None = None, retries: int = 2, private: bool = False) -> DataFrame:
+    """Posts a column named payload, a partition at a time; returns what wasn't taken: payload, error.
+
+    A receiver that fails is tried again, later and later. Receivers on private hosts are refused unless `private`.
+    A task that runs again sends its rows again: receivers tell repeats by the ids that payloads carry.
+    """
+    if not private and not payloads.sparkSession.range(1).select(is_public(F.lit(url))).first()[0]:
+        raise ValueError(f"not a public address: {url}")
+
+    def post(payload: str) -> str | None:
+        said = None
+        for attempt in range(retries + 1):
+            try:
+                ask = urllib.request.Request(url, payload.encode(), {"Content-Type": "application/json"} | (headers or {}))
+                urllib.request.urlopen(ask, timeout=5).close()
+                return None
+            except OSError as e:
+                said = str(e)
+                if attempt < retries:
                     time.sleep(min(0.5 * 2**attempt, 10) * (0.5 + random.random() / 2))
+        return said
 
-    payloads.select("payload").foreachPartition(send)
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["error"] = [post(p) for p in batch.payload]
+            yield batch[batch.error.notna()]
+
+    return saved(payloads.select("payload").where("payload is not null").mapInPandas(send, "payload string, error string"), "undelivered")
 
 
 def fan_out(alerts: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str | None]:
@@ -128,9 +147,13 @@ def fan_out(alerts: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) ->
     return said
 
 
+#: Folders that logs don't go to.
+SYSTEM = ("/etc", "/bin", "/sbin", "/usr", "/boot", "/dev", "/proc", "/sys", "/lib", "/root/.ssh")
+
+
 def append_jsonl(events: DataFrame, path: str) -> None:
-    if any(path.startswith(p) for p in ("/etc", "/bin", "/sbin", "/usr", "/boot", "/dev", "/proc", "/sys", "/lib", "/root/.ssh")):
+    """Appends events as lines of JSON to a folder outside those of the system, however its path is spelled."""
+    plain = posixpath.normpath("/" + re.sub(r"(?i)^file:", "", path).lstrip("/"))
+    if (path.startswith("/") or re.match(r"(?i)^file:", path) or ".." in path.split("/")) and any(plain == p or plain.startswith(p + "/") for p in SYSTEM):
         raise ValueError(f"not a place for logs: {path}")
     events.write.mode("append").json(path)
-
-

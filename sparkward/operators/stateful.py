@@ -6,11 +6,12 @@ import math
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import NO_SESSION, rank, upgraded
+from ..shared import saved
 
 #: A key's rows are windowed in slices of time of so many spans, so that no key is one task's alone.
 SLICES = 64
@@ -66,11 +67,17 @@ def rate_limited(calls: DataFrame, most: float | None = 60, span: int = 60_000)
 def drifted(calls: DataFrame, threshold: int = 20, ratio: float = 0.3) -> DataFrame:
     """Calls of tools that are new to a skill after it was learned: seq, skill_name, tool_name, severity, total_calls, unique_tools, known_tools.
 
-    Only the first call of each tool of a skill is windowed beside the counts, so known tools stay few.
+    Only the first call of each tool of a skill can be one. How many calls a skill made up to it is counted over
+    blocks of arrivals, and row by row only in the block where it lies; what is windowed are a skill's tools.
     """
+    rows = calls.where("skill_name is not null").select("seq", "skill_name", "tool_name", F.floor(F.col("seq") / BLOCK).alias("block"))
+    firsts = rows.groupBy("skill_name", "tool_name").agg(F.min("seq").alias("seq")).withColumn("block", F.floor(F.col("seq") / BLOCK))
+    upto = W.partitionBy("skill_name").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy("skill_name", "block").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
+    inside = rows.drop("tool_name").join(firsts.select("skill_name", "block").distinct(), ["skill_name", "block"], "left_semi")
+    inside = inside.withColumn("nth", F.row_number().over(W.partitionBy("skill_name", "block").orderBy("seq")))
+    firsts = firsts.join(inside, ["skill_name", "block", "seq"]).join(before, ["skill_name", "block"]).withColumn("total_calls", F.col("before") + F.col("nth"))
     skill = W.partitionBy("skill_name").orderBy("seq")
-    rows = calls.where("skill_name is not null").withColumn("total_calls", F.row_number().over(skill))
-    firsts = rows.withColumn("_first", F.row_number().over(W.partitionBy("skill_name", "tool_name").orderBy("seq"))).where("_first = 1")
     upto = skill.rowsBetween(W.unboundedPreceding, 0)
     new = F.col("total_calls") >= threshold
     firsts = firsts.withColumns(
@@ -108,24 +115,28 @@ DEDUP_KEYS = ["session_id", "rule_name", "tool_name", "matched_pattern", "severi
 def deduplicated(events: DataFrame, span: int = 300_000, keys: list[str] | None = None) -> DataFrame:
     """Events that are sent: the first of a key, then each that comes at least `span` ms after the last one sent.
 
-    A pause of that length always ends a run, so runs are folded one by one, not whole keys.
+    Each event links to the first one that comes `span` ms later or more; what is sent is what links reach from
+    the events with a pause of `span` before them. Links are found in slices of time and followed by doubling, so
+    a key that never pauses is many tasks.
     """
-    keys = keys or DEDUP_KEYS
-    order = W.partitionBy(*keys).orderBy("ts_ms", "seq")
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(order)
-    runs = events.withColumn("_new", F.coalesce((gap >= span).cast("int"), F.lit(0)))
-    runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    members = F.array_sort(F.collect_list(F.struct("ts_ms", "seq")))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("sent"))
-    fold = F.aggregate(
-        members,
-        start,
-        lambda acc, x: F.when(
-            acc["last"].isNull() | (x["ts_ms"] - acc["last"] >= span),
-            F.struct(x["ts_ms"].alias("last"), F.array_append(acc["sent"], x["seq"]).alias("sent")),
-        ).otherwise(acc),
-    )
-    sent = runs.groupBy(*keys, "_run").agg(fold["sent"].alias("sent")).select(F.explode("sent").alias("seq"))
+    keys, width = keys or DEDUP_KEYS, span * SLICES
+    at = lambda shift: F.floor((F.col("ts_ms") + shift) / width)
+    rows = events.select(*keys, "ts_ms", "seq").withColumn("_own", at(0))
+    rows = rows.withColumn("_slice", F.explode(F.array_distinct(F.array("_own", at(span), at(-2 * span)))))
+    frame = W.partitionBy(*keys, "_slice").orderBy("ts_ms")
+    upto = F.count("*").over(frame.rangeBetween(1 - span, 0)) - F.count("*").over(W.partitionBy(*keys, "_slice", "ts_ms").orderBy("seq").rowsBetween(0, W.unboundedFollowing))
+    link = F.min(F.struct("ts_ms", "seq")).over(frame.rangeBetween(span, 2 * span - 1))["seq"]
+    links = rows.withColumns({"_start": upto == 0, "_next": link}).where("_own = _slice").select("seq", F.col("_start").alias("start"), F.col("_next").alias("next"))
+    links = saved(links, "sent-links")
+    sent = links.where("start").select("seq")
+    jump = links.where("next is not null").select("seq", "next").join(sent.toDF("next"), "next", "left_anti")  # what starts a run needs no link
+    jump = saved(jump.select("seq", "next"), "sent-links")
+    while not jump.isEmpty():
+        more = saved(sent.join(jump, "seq").select(F.col("next").alias("seq")).join(sent, "seq", "left_anti").distinct(), "sent")
+        if more.isEmpty():
+            break
+        sent = sent.unionByName(more)
+        jump = saved(jump.join(jump.toDF("next", "after"), "next").select("seq", F.col("after").alias("next")), "sent-links")
     return events.join(sent, "seq", "left_semi")
 
 
@@ -141,14 +152,18 @@ def sessions(calls: DataFrame, idle: int = 3_600_000) -> DataFrame:
 
 
 def first_run(calls: DataFrame, threshold: int = 20) -> DataFrame:
-    """What a skill does while it is learned, by session: tools, files, domains, commands. calls.params is JSON."""
+    """What a skill does while it is learned, by session: tools, files, domains, commands, each in order of appearance. calls.params is JSON."""
     value = lambda *names: F.coalesce(*[F.get_json_object("params", f"$.{n}") for n in names])
     url = value("url", "uri", "endpoint")
     host = F.expr("try_parse_url(u, 'HOST')")
     n = F.row_number().over(W.partitionBy("skill_name").orderBy("seq"))
     rows = calls.where("skill_name is not null").withColumn("_n", n).where(F.col("_n") <= threshold)
     rows = rows.withColumn("u", F.when(F.startswith(url, F.lit("http")), url).otherwise(F.concat(F.lit("https://"), url)))
-    some = lambda c, most: F.slice(F.array_sort(F.collect_set(c)), 1, most)
+
+    def some(c: str | Column, most: int) -> Column:
+        seen = F.array_sort(F.collect_list(F.struct("seq", (F.col(c) if isinstance(c, str) else c).alias("value"))))  # threshold rows at most
+        return F.slice(F.array_distinct(F.array_compact(F.transform(seen, lambda x: x["value"]))), 1, most)
+
     return rows.groupBy("skill_name", "session_id").agg(
         some("tool_name", 500).alias("tools"),
         some(value("path", "file_path", "file", "filename"), 500).alias("files"),

@@ -1,6 +1,8 @@
 """Detectors, normalisation, declared rules and redaction on single cases."""
 
+import http.server
 import json
+import threading
 
 import pytest
 
@@ -8,6 +10,7 @@ from sparkward.functions import text as T
 from sparkward.functions.redact import redact_string
 from sparkward.functions.regex import admissible, java
 from sparkward.operators import detect, policy, rules, sinks, store
+from sparkward.plans import samples
 
 CALLS = "seq long, ts_ms long, tool_name string, params string, session_id string, agent_id string, skill_name string"
 
@@ -91,3 +94,43 @@ def test_receivers(spark):
 def test_http_query():
     q = store.EventQuery.from_http({"severity": "odd", "skillName": "", "limit": "99999", "offset": "-4", "since": "5"})
     assert (q.severity, q.skill_name, q.limit, q.offset, q.since) == (None, None, 10_000, 0, 5)
+
+
+def test_logs_stay_out_of_system_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(1,)], "seq long")
+    for path in ("/etc/x", "//etc/x", "file:///etc/x", "/tmp/../etc/x", "file:/usr/lib/y", "/root/.ssh"):
+        with pytest.raises(ValueError):
+            sinks.append_jsonl(rows, path)
+    sinks.append_jsonl(rows, str(tmp_path / "logs"))
+    assert spark.read.json(str(tmp_path / "logs")).count() == 1
+
+
+def test_delivery_tells_what_failed(spark):
+    class Taken(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            self.send_response(500 if b"bad" in body else 200)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Taken)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = spark.createDataFrame([("good",), ("bad",), (None,)], "payload string")
+    url = f"http://127.0.0.1:{server.server_port}/"
+    with pytest.raises(ValueError):
+        sinks.deliver(rows, url)
+    assert [r.payload for r in sinks.deliver(rows, url, retries=1, private=True).collect()] == ["bad"]
+    server.shutdown()
+
+
+def test_every_pattern_has_its_text(spark):
+    """All patterns can be spelled out, and each is found by its own family, or one as severe before it."""
+    for family in samples.CARRIERS:
+        cases, patterns = samples.of_family(family), detect.FAMILIES[family].patterns
+        assert len(cases) >= 0.95 * len(patterns)
+        rank = {p[5]: detect.RANK[p[1]] for p in patterns}
+        for source, _, params in cases:
+            found = samples.best(family, json.loads(params))
+            assert found and detect.RANK[found[0]] >= rank.get(source, 5), source

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import saved
+
 DEEPEST = 10
 SCHEMA = "name string, description string, extends string, config map<string,string>, yaml_rules string, trusted array<string>, force_block array<string>, disabled array<string>"
 ALL_RULES = ["exec-guard", "path-guard", "network-guard", "prompt-injection", "data-exfil"]
@@ -26,11 +28,16 @@ def chains(policies: DataFrame) -> DataFrame:
     """
     parents = policies.select(F.col("name").alias("p_name"), F.col("extends").alias("p_extends"))
     level = policies.select(F.col("name").alias("leaf"), "name", F.lit(0).alias("depth"), F.col("extends").alias("next"), F.array("name").alias("seen"), F.lit("ok").alias("status"))
-    out = level
     for depth in range(1, DEEPEST + 1):
-        up = level.where("status = 'ok' and next is not null").join(parents, F.col("next") == F.col("p_name"), "left")
+        level = saved(level, "policy-level")
+        out = level if depth == 1 else out.unionByName(level)
+        open_ = level.where("status = 'ok' and next is not null")
+        if open_.isEmpty():
+            break
+        up = open_.join(parents, F.col("next") == F.col("p_name"), "left")
         status = F.when(F.array_contains("seen", F.col("next")), "cycle").when(F.col("p_name").isNull(), "missing").when(F.lit(depth >= DEEPEST), "deep").otherwise("ok")
         level = up.select("leaf", F.col("next").alias("name"), F.lit(depth).alias("depth"), F.col("p_extends").alias("next"), F.concat("seen", F.array("next")).alias("seen"), status.alias("status"))
+    else:
         out = out.unionByName(level)
     return out.select("leaf", "name", "depth", "status")
 
@@ -55,6 +62,16 @@ def applied(events: DataFrame, disabled: list[str], force_block: list[str]) -> D
     return rows.withColumn("should_block", F.col("should_block") | force).withColumn("action", F.when(F.col("should_block"), "blocked").otherwise("alert"))
 
 
+def applied_by_leaf(events: DataFrame, policies: DataFrame) -> DataFrame:
+    """Events (with leaf, the policy that each is under) as their policies leave them; a leaf without a sound policy changes nothing."""
+    rules = effective(policies).select("leaf", "disabled", "force_block")
+    none = F.array().cast("array<string>")
+    rows = events.join(rules, "leaf", "left").where(~F.coalesce(F.array_contains(F.coalesce("disabled", none), F.col("rule_name")), F.lit(False)))
+    force = F.coalesce(F.array_contains(F.coalesce("force_block", none), F.col("rule_name")), F.lit(False))
+    rows = rows.withColumn("should_block", F.col("should_block") | force)
+    return rows.withColumn("action", F.when(F.col("should_block"), "blocked").otherwise("alert")).drop("disabled", "force_block")
+
+
 def import_(text: str) -> tuple[dict[str, dict], int]:
     """Policies of an export that hold up, and how many don't. Those whose parent falls away fall too."""
     given, kept, skipped = json.loads(text).get("policies", []), {}, 0

@@ -141,6 +141,24 @@ def baselines(calls: DataFrame) -> DataFrame:
     )
 
 
+def listed_baselines(profiles: DataFrame) -> DataFrame:
+    """Stored profiles, the one that was seen last first."""
+    return profiles.orderBy(F.desc("last_seen"), "skill_name")
+
+
+def reset_baselines(profiles: DataFrame, skills: DataFrame, now_ms: int) -> DataFrame:
+    """Profiles of which those of the given skills start anew: seen now, with no session; unknown skills get one."""
+    zero = {c: F.lit(0).cast(profiles.schema[c].dataType) for c in ("session_count", "avg_calls_per_session", "std_dev_calls", "max_calls_observed")}
+    fresh = skills.select("skill_name").distinct().withColumns({c: F.lit(now_ms).cast("long") for c in ("first_seen", "last_seen")} | zero)
+    return without(profiles, fresh, "skill_name").unionByName(fresh)
+
+
+def session_lines(summary: DataFrame) -> DataFrame:
+    """session_id, line: what is said of a session when it ends."""
+    line = F.format_string("calls: %d, alerts: %d, blocked: %d, duration: %ds", "tool_calls", "alerts", "blocked", "seconds")
+    return summary.select("session_id", line.alias("line"))
+
+
 def tool_usage(calls: DataFrame) -> DataFrame:
     """skill_name, tool_name, n, place: tools of a skill by use."""
     n = calls.where("skill_name is not null").groupBy("skill_name", "tool_name").agg(F.count("*").alias("n"))

@@ -635,3 +635,56 @@ def policy_disabled_rules(spark, d):
     found = policy.effective(spark.createDataFrame(POLICIES, policy.SCHEMA)).where("leaf = 'user'").first()
     rows = SE(spark, d).where("rule_name is not null").withColumn("should_block", F.col("action") == "blocked")
     return policy.applied(rows, found.disabled, found.force_block).select("seq", F.lit("base").alias("policy"), "rule_name")
+
+
+@query(
+    f"""WITH {events_sql()}, l AS (SELECT *, ['base', 'team', 'user', 'loop1', 'lost', 'none'][seq % 6 + 1] AS leaf FROM se)
+    SELECT seq, leaf, rule_name, CASE WHEN action = 'blocked' OR coalesce(rule_name = 'exec-guard' AND leaf IN ('base', 'team', 'user') OR rule_name = 'data-exfil' AND leaf = 'user', FALSE) THEN 'blocked' ELSE 'alert' END AS action
+    FROM l WHERE NOT coalesce(rule_name = 'path-guard' AND leaf IN ('team', 'user'), FALSE)"""
+)
+def policy_by_leaf(spark, d):
+    leaf = F.element_at(F.array(*[F.lit(x) for x in ("base", "team", "user", "loop1", "lost", "none")]), (F.col("seq") % 6 + 1).cast("int"))
+    rows = SE(spark, d).withColumns({"leaf": leaf, "should_block": F.col("action") == "blocked"})
+    return policy.applied_by_leaf(rows, spark.createDataFrame(POLICIES, policy.SCHEMA)).select("seq", "leaf", "rule_name", "action")
+
+
+@query(f"WITH {calls_sql(1)}, p AS (SELECT skill_name, max(ts_ms) AS last_seen, count(DISTINCT session_id) AS session_count FROM calls GROUP BY 1) SELECT * FROM p WHERE skill_name NOT IN ('skill_2', 'skill_5') UNION ALL SELECT s, {NOW}, 0 FROM (VALUES ('skill_2'), ('skill_5'), ('skill_new')) v(s)")
+def baseline_reset_list(spark, d):
+    reset = spark.createDataFrame([("skill_2",), ("skill_5",), ("skill_new",)], "skill_name string")
+    return store.listed_baselines(store.reset_baselines(store.baselines(V.calls(spark, d, 1)), reset, NOW)).select("skill_name", "last_seen", "session_count")
+
+
+@query(
+    f"""WITH {events_sql()}, c AS (SELECT session_id, count(*) AS n, min(ts_ms) AS a, max(ts_ms) AS b FROM calls GROUP BY 1), e AS (SELECT session_id, count(*) AS alerts, count(*) FILTER (action = 'blocked') AS blocked FROM se GROUP BY 1)
+    SELECT session_id, 'calls: ' || n || ', alerts: ' || alerts || ', blocked: ' || blocked || ', duration: ' || CAST(floor((b - a) / 1000) AS BIGINT) || 's' AS line FROM c JOIN e USING (session_id)"""
+)
+def session_end_lines(spark, d):
+    return store.session_lines(store.session_summary(V.calls(spark, d, 1), SE(spark, d)))
+
+
+@query(f"""SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN event_type END AS tool_name, CASE event_id % 4 WHEN 0 THEN replace(props, ' ', '') END AS params, CASE event_id % 4 WHEN 1 THEN '{V.MISSING}' WHEN 2 THEN '{V.INVALID}' WHEN 3 THEN '{V.MISSING}' END AS error FROM events""")
+def single_check_validate(spark, d):
+    name, props, k = F.col("event_type"), F.col("props"), F.col("event_id") % 4
+    good = F.concat(F.lit('{"toolName":"'), name, F.lit('","toolParams":'), F.regexp_replace(props, " ", ""), F.lit("}"))
+    listed = F.concat(F.lit('{"toolName":"'), name, F.lit('","toolParams":['), props, F.lit("]}"))
+    body = F.when(k == 0, good).when(k == 1, listed).when(k == 2, F.concat(F.lit("{"), name)).otherwise(F.concat(F.lit('{"toolName":7,"toolParams":'), props, F.lit("}")))
+    return V.single_checks(V.table(spark, d, "events").select(F.col("event_id").alias("seq"), body.alias("body")))
+
+
+@query("SELECT event_id AS seq, CAST(i AS INT) AS nth, ['json', 'dropped', 'blank', 'json'][i + 1] AS kind FROM events, (VALUES (0), (1), (2), (3)) v(i)")
+def stdio_frames(spark, d):
+    text = F.concat("props", F.lit("\n{broken "), "event_type", F.lit("\r\n\n"), F.lit('{"method":"ping"}'))
+    return V.framed(V.table(spark, d, "events").select(F.col("event_id").alias("seq"), text.alias("text"))).select("seq", "nth", "kind")
+
+
+@query(f"WITH {events_sql()} SELECT id, '[' || upper(severity) || '] ' || title || chr(10) || description || chr(10) || 'rule: ' || coalesce(rule_name, '?') AS message FROM se WHERE severity IN ('high', 'critical')")
+def hook_messages(spark, d):
+    return stateful.severity_floor(SE(spark, d)).select("id", sinks.hook_text().alias("message"))
+
+
+@query("SELECT event_id AS seq, coalesce(CASE WHEN event_id % 3 = 0 THEN 'a' || user_id END, CASE WHEN event_id % 3 < 2 THEN 'k' || user_id END, '__default__') AS session_id FROM events")
+def hook_sessions(spark, d):
+    rows = V.table(spark, d, "events")
+    named = lambda p, when: F.when(when, F.concat(F.lit(p), F.col("user_id").cast("string")))
+    k = F.col("event_id") % 3
+    return V.hook_calls(rows.select(F.col("event_id").alias("seq"), named("a", k == 0).alias("session_id"), named("k", k < 2).alias("session_key")))

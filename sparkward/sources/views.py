@@ -110,6 +110,28 @@ def rpc_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("requests"), F.count_if(F.col("kind") == "call").alias("tool_calls"), F.count_if(F.col("kind") == "error").alias("errors"))
 
 
+#: What a single check is told of a body that it can't take.
+MISSING, INVALID = "Missing or invalid required fields: toolName (string), toolParams (object)", "Invalid JSON body"
+
+
+def single_checks(bodies: DataFrame) -> DataFrame:
+    """Bodies (seq, body) of single checks: seq, tool_name, params, error; error is null where the check can be made."""
+    get = lambda p: F.try_variant_get(F.try_parse_json("body"), p, "variant")
+    kind = lambda p: F.coalesce(F.schema_of_variant(get(p)), F.lit(""))
+    name = F.get_json_object("body", "$.toolName")
+    good = (kind("$.toolName") == "STRING") & (name != "") & F.startswith(kind("$.toolParams"), F.lit("OBJECT"))
+    error = F.when(F.try_parse_json("body").isNull(), INVALID).when(~good, MISSING)
+    rows = bodies.select("seq", name.alias("tool_name"), F.get_json_object("body", "$.toolParams").alias("params"), error.alias("error"))
+    return rows.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in ("tool_name", "params")})
+
+
+def framed(chunks: DataFrame) -> DataFrame:
+    """Messages (seq, text) of several lines each as frames: seq, nth, line, kind (json, blank, or dropped, which isn't JSON)."""
+    rows = chunks.select("seq", F.posexplode(F.split("text", "\r?\n")).alias("nth", "line"))
+    kind = F.when(F.trim("line") == "", "blank").when(F.try_parse_json("line").isNotNull(), "json").otherwise("dropped")
+    return rows.withColumn("kind", kind)
+
+
 def batch_items(bodies: DataFrame, most: int = 100) -> DataFrame:
     """Batches (batch_id, body) as items in their order; a batch is valid only if all its items are, and it isn't too long."""
     items = F.from_json("body", "array<struct<toolName:string,toolParams:string>>")

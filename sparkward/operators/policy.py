@@ -5,20 +5,37 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import saved
 
 DEEPEST = 10
 SCHEMA = "name string, description string, extends string, config map<string,string>, yaml_rules string, trusted array<string>, force_block array<string>, disabled array<string>"
-ALL_RULES = ["exec-guard", "path-guard", "network-guard", "prompt-injection", "data-exfil"]
-#: Fixed values.
-TEMPLATES = {
-    "permissive": {"blockOnCritical": False, "debug": False},
-    "standard": {"blockOnCritical": True, "maxToolCallsPerMinute": 60, "enableBaseline": True},
-    "strict": {"blockOnCritical": True, "maxToolCallsPerMinute": 30, "enableBaseline": True},
-}
+#: Templates as (name, description, settings, rules that always block).
+TEMPLATES = (
+    ("permissive", "宽松策略：仅告警，不阻断任何操作", {"blockOnCritical": "false", "debug": "false"}, []),
+    ("standard", "标准策略：自动阻断 critical 级别威胁", {"blockOnCritical": "true", "maxToolCallsPerMinute": "60", "enableBaseline": "true"}, []),
+    (
+        "strict", "严格策略：阻断所有威胁，启用全部检测，限速 30 次/分钟", {"blockOnCritical": "true", "maxToolCallsPerMinute": "30", "enableBaseline": "true"},
+        ["exec-guard", "path-guard", "network-guard", "prompt-injection", "data-exfil"],
+    ),
+)
+NAME = r"[\w\-.]{1,100}"
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n, d, None, config, None, [], force, []) for n, d, config, force in TEMPLATES], SCHEMA)
+
+
+def put(policies: DataFrame, changes: DataFrame) -> DataFrame:
+    """Policies added, or put in the place of those of their names; names that aren't fit are left out."""
+    fit = changes.where(F.col("name").rlike(rf"^{NAME}\z"))
+    return policies.join(fit.select("name"), "name", "left_anti").unionByName(fit)
+
+
+def removed(policies: DataFrame, names: list[str]) -> DataFrame:
+    return policies.where(~F.col("name").isin(names)) if names else policies
 
 
 def chains(policies: DataFrame) -> DataFrame:
@@ -78,7 +95,7 @@ def import_(text: str) -> tuple[dict[str, dict], int]:
     strings = lambda v: isinstance(v, list) and all(isinstance(x, str) for x in v)
     for p in given:
         over = p.get("overrides", {}) if isinstance(p, dict) else None
-        ok = isinstance(p, dict) and isinstance(p.get("name"), str) and re.fullmatch(r"[\w\-.]{1,100}", p["name"]) and isinstance(p.get("config", {}), dict)
+        ok = isinstance(p, dict) and isinstance(p.get("name"), str) and re.fullmatch(NAME, p["name"]) and isinstance(p.get("config", {}), dict)
         ok = ok and isinstance(over, dict) and all(strings(v) for v in over.values()) and strings(p.get("config", {}).get("trustedSkills", []))
         if ok:
             kept[p["name"]] = p

@@ -134,3 +134,25 @@ def test_every_pattern_has_its_text(spark):
         for source, _, params in cases:
             found = samples.best(family, json.loads(params))
             assert found and detect.RANK[found[0]] >= rank.get(source, 5), source
+
+
+def test_policies_go_out_and_come_back(spark):
+    given = policy.templates(spark)
+    out = policy.export(given).first()[0]
+    kept, skipped = policy.import_(out)
+    assert set(kept) == {"permissive", "standard", "strict"} and skipped == 0
+    assert {r.leaf: len(r.force_block) for r in policy.effective(given).collect()} == {"permissive": 0, "standard": 0, "strict": 5}
+    assert sinks.elastic_index("events-2024.01") == "events-2024.01"
+    for name in ("Events", "a..b", "_x", ""):
+        with pytest.raises(ValueError):
+            sinks.elastic_index(name)
+
+
+def test_one_failing_sink_does_not_reach_the_others(spark):
+    seen = []
+
+    def broken(rows):
+        raise RuntimeError("no")
+
+    said = sinks.fan_out(spark.createDataFrame([(1,), (2,)], "seq long"), {"broken": broken, "count": lambda rows: seen.append(rows.count())})
+    assert seen == [2] and said["count"] is None and "no" in said["broken"]

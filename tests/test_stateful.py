@@ -56,7 +56,9 @@ def sends(rows, span):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_batch(spark, seed):
+def test_batch(spark, monkeypatch, seed):
+    monkeypatch.setattr(stateful, "BLOCK", 32)
+    monkeypatch.setattr(stateful, "SLICES", 2)
     rows = made(seed)
     calls = spark.createDataFrame(rows, CALLS)
     found = stateful.rate_limited(calls, 5).select("seq", "calls_in_window", "severity").collect()
@@ -67,6 +69,9 @@ def test_batch(spark, seed):
     named = [(*r[:4], r[4] or "n", *r[5:]) for r in rows]
     sent = stateful.deduplicated(spark.createDataFrame(named, CALLS), 50_000, ["session_id", "tool_name"])
     assert {r.seq for r in sent.collect()} == sends(named, 50_000)
+    without_pause = [(k, 700 * k, "t", "{}", "a", None, None) for k in range(900)]
+    sent = stateful.deduplicated(spark.createDataFrame(without_pause, CALLS), 20_000, ["session_id", "tool_name"])
+    assert {r.seq for r in sent.collect()} == sends(without_pause, 20_000)
 
 
 def shuffled(seed, far):
@@ -122,3 +127,24 @@ def test_streams_agree_with_batch(spark, tmp_path):
 def test_limits_that_make_no_sense(spark):
     calls = spark.createDataFrame(made(4), CALLS)
     assert stateful.rate_limited(calls, float("nan")).count() == stateful.rate_limited(calls, 60).count()
+
+
+def test_streams_of_events(spark, tmp_path):
+    """Deduplication over a stream, and counts by minute once a minute can't change any more."""
+    rows = [(k, 7_000 * k, "t", "{}", "a", None, None) for k in range(60)]
+    source = str(tmp_path / "in")
+    for k in range(3):
+        spark.createDataFrame(rows[k * 20 : k * 20 + 20], CALLS).coalesce(1).write.mode("append").json(source)
+    stream = spark.readStream.schema(CALLS).option("maxFilesPerTrigger", 1).json(source)
+
+    def run(df, name):
+        q = df.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert {r.seq for r in run(state.deduplicated(stream, ["session_id"], 30_000).select("seq"), "sent")} == sends(rows, 30_000)
+    counted = run(state.time_series(stream.selectExpr("ts_ms", "'blocked' action"), "1 minute", "0 seconds").selectExpr("unix_millis(window.start) bucket", "n", "blocked"), "minutes")
+    want = {}
+    for r in rows:
+        want[r[1] // 60_000 * 60_000] = want.get(r[1] // 60_000 * 60_000, 0) + 1
+    assert counted and all(want[r.bucket] == r.n == r.blocked for r in counted) and len(counted) >= len(want) - 1

@@ -109,4 +109,7 @@ def import_(text: str) -> tuple[dict[str, dict], int]:
 
 
 def export(policies: DataFrame) -> DataFrame:
-    return policies.orderBy("name").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(*policies.columns))).alias("policies"))).alias("json"))
+    """All policies, by name, as one text of JSON: a managed list."""
+    by_name = lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
+    rows = F.array_sort(F.collect_list(F.struct(*policies.columns)), by_name)
+    return policies.agg(F.to_json(F.struct(rows.alias("policies"))).alias("json"))

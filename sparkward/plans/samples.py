@@ -14,6 +14,8 @@ from .patterns import exfil
 
 #: Families with the tool and the parameter that carries a text to them.
 CARRIERS = {"exec": ("shell_exec", "command"), "path": ("read_file", "path"), "net": ("http_request", "url"), "injection": ("ask", "text"), "exfil": ("send_text", "body")}
+#: Texts under so many characters aren't read as prose.
+SHORTEST = 5
 _CATEGORY = {parser.CATEGORY_DIGIT: "1", parser.CATEGORY_SPACE: " ", parser.CATEGORY_WORD: "a", parser.CATEGORY_NOT_SPACE: "x", parser.CATEGORY_NOT_DIGIT: "x", parser.CATEGORY_NOT_WORD: "-"}
 
 
@@ -49,7 +51,7 @@ def matching(source: str, flags: str) -> str | None:
     """A text that an expression matches, or None where spelling it out doesn't give one."""
     text = _spelled(parser.parse(source))
     found = compiled(source, flags)
-    return next((t for t in (text, f" {text} ", f"{text} x", f"x {text}") if found.search(t)), None)
+    return next((t for t in (text, f" {text} ", f"{text} x", f"x {text}") if len(t) >= SHORTEST and found.search(t)), None)
 
 
 @lru_cache(maxsize=None)

@@ -27,14 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors. Its shuffle files go."""
+def saved(df: DataFrame, label: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """df as a table in the shared folder, in folders by the values of `by`: cuts the lineage and survives lost executors. Its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        df.write.options(**options).partitionBy(*by).parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)

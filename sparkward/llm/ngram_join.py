@@ -25,7 +25,10 @@ a component's id is the smallest there is in it. An empty table gives an empty r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ from .components import components
 from .hashing import in_batches, rolling, word_hashes
 
 GRAM, PERCENT = 5, 80
+#: PERCENT of a set's size is whole again after so many more.
+PERIOD = 100 // math.gcd(PERCENT, 100)
 #: Buckets of the counting sketch, whatever the size of the table; and by how many standard
 #: deviations a bucket must exceed the mean for its grams to count as frequent.
 SKETCH_BITS, DEVIATIONS = 19, 3
@@ -258,7 +263,9 @@ def can_link(same: str, a: str, b: str, ends: bool = True) -> Column:
     """
 
     def led_by(x: str, y: str) -> Column:
-        most = (100 + PERCENT) * (F.expr(same) + needs(f"{x}_high") - 1) >= PERCENT * (F.expr(f"{x}_high") + F.expr(f"{y}_low"))
+        # What a set of n can bring beyond what it needs rises with n, but for rounding: from one n to that n + PERIOD always.
+        tops = [f"greatest({x}_low, {x}_high - {k})" for k in range(PERIOD)]
+        most = reduce(or_, [(100 + PERCENT) * (F.expr(same) + needs(n) - 1) >= PERCENT * (F.expr(n) + F.expr(f"{y}_low")) for n in tops])
         return F.expr(f"{x}_first <= {y}_final") & most if ends else most
 
     return near_sizes(f"{a}_", f"{b}_") & (led_by(a, b) | led_by(b, a))

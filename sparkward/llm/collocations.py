@@ -9,7 +9,7 @@ shard once, and is exact then. Steps end once a cycle has passed in which no phr
 Which phrases have the threshold is kept in a table of slots by hash, one for each length, with the step from
 which on they count. So a phrase's first step follows from its own words alone, in every task and at every
 step alike. Phrases whose subphrases share slots with others' are counted too; that costs work, and changes
-nothing. Slots are as many as the table's words can make frequent phrases, up to MOST_SLOTS.
+nothing. Slots grow with the table's words, up to 2 ** MOST_SLOTS of a length.
 Counts of phrases that end their cycle below the threshold are dropped.
 
 Phrases are counted under 64-bit hashes of language and words; their words are read from the texts once it is
@@ -38,8 +38,10 @@ COVERED = 80
 FACTOR = 2_000_000
 #: Base-2 logarithms of the least and most slots of a length.
 LEAST_SLOTS, MOST_SLOTS = 16, 26
+#: Keys that a task remembers to have sent the words of.
+REMEMBERED = 1 << 18
 #: Words scanned at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 NEVER = 255
 #: Of a byte: 0 in words, 1 between words, 2 between pieces.
 KIND = np.zeros(256, np.uint8)
@@ -163,7 +165,7 @@ def marked_slots(rows: DataFrame, bits: int) -> dict[int, np.ndarray]:
 def frequent(texts: DataFrame, threshold: int, n: int) -> tuple[DataFrame, list[np.ndarray], int]:
     """(length, key, count of all words and phrases with the threshold; the steps of slots; their base-2 logarithm)."""
     words = texts.agg(F.sum("n_words")).first()[0] or 0
-    bits = min(MOST_SLOTS, max(LEAST_SLOTS, int(2 * words / threshold).bit_length()))
+    bits = min(MOST_SLOTS, max(LEAST_SLOTS, int(words / (2 * threshold)).bit_length()))
     since = [np.full(1 << bits, NEVER, np.uint8) for _ in range(LONGEST_PHRASE - 1)]
     state, step, latest = None, 0, 0
     while step <= latest + n - 1:
@@ -193,8 +195,10 @@ def named(docs: DataFrame, found: DataFrame, since: list[np.ndarray], bits: int)
     kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # keys that this task has sent
+        done: set[int] = set()  # keys that this task has sent; some are sent again when it grows too large
         for batch in batches:
+            if len(done) > REMEMBERED:
+                done.clear()
             for langs, texts in in_batches(zip(*(c.to_pylist() for c in batch.columns))):
                 words, bounds, at, joined = pieces(texts, np.array([seed(x) for x in langs], np.uint64))
                 word = np.full(len(words), -1)

@@ -74,8 +74,8 @@ def effective(policies: DataFrame) -> DataFrame:
 
 def applied(events: DataFrame, disabled: list[str], force_block: list[str]) -> DataFrame:
     """Events under a policy: disabled rules fall away, forced ones block."""
-    rows = events.where(~F.col("rule_name").isin(disabled)) if disabled else events
-    force = F.col("rule_name").isin(force_block) if force_block else F.lit(False)
+    among = lambda names: F.coalesce(F.col("rule_name").isin(names), F.lit(False)) if names else F.lit(False)  # noqa: E731  events may be of no rule
+    rows, force = events.where(~among(disabled)), among(force_block)
     return rows.withColumn("should_block", F.col("should_block") | force).withColumn("action", F.when(F.col("should_block"), "blocked").otherwise("alert"))
 
 

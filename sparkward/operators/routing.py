@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stateful import deduplicated, escalated
@@ -14,7 +14,7 @@ DISMISSAL = "rule_name string, tool_name string, skill_name string, expires_at b
 FIELDS = ("rule_name", "tool_name", "skill_name")
 
 
-def active(dismissals: DataFrame, now_ms: int) -> DataFrame:
+def active(dismissals: DataFrame, now_ms: int | Column) -> DataFrame:
     """Dismissals that name at least one field and haven't expired; 0 and null never do."""
     named = [F.coalesce(F.col(f), F.lit("")) != "" for f in FIELDS]
     open_ = F.coalesce("expires_at", F.lit(0)).isin(0) | (F.col("expires_at") >= now_ms)
@@ -26,7 +26,7 @@ def listed(dismissals: DataFrame, now_ms: int) -> DataFrame:
     return active(dismissals, now_ms).orderBy(F.desc("created_at"), "id")
 
 
-def undismissed(events: DataFrame, dismissals: DataFrame, now_ms: int) -> DataFrame:
+def undismissed(events: DataFrame, dismissals: DataFrame, now_ms: int | Column) -> DataFrame:
     """Events that no dismissal covers, an empty field covering any value; blocked and critical ones always stay.
 
     Dismissals are joined by the fields that they name: one equality join for each set of fields, whose side is as

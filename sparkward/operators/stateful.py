@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import and_
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,50 +14,45 @@ from ..shared import saved
 
 #: A key's rows are windowed in slices of time of so many spans, so that no key is one task's alone.
 SLICES = 64
-
-
-#: Arrivals whose latest time is found together.
+#: Arrivals that are folded together.
 BLOCK = 65_536
 
 
-def with_clock(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds _clock, the latest ts_ms of the same keys that arrived up to each row: by blocks of arrivals, then over blocks."""
-    cut = rows.withColumn("_block", F.floor(F.col("seq") / BLOCK))
-    upto = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    before = cut.groupBy(*keys, "_block").agg(F.max("ts_ms").alias("_last")).withColumn("_before", F.max("_last").over(upto))
-    before = before.select(*[F.col(k).alias(f"_same_{k}") for k in [*keys, "_block"]], "_before")
-    inside = W.partitionBy(*keys, "_block").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in [*keys, "_block"]]
-    joined = cut.withColumn("_inside", F.max("ts_ms").over(inside)).join(before, reduce(and_, same))
-    return joined.select(*rows.columns, F.greatest("_inside", "_before").alias("_clock"))
+def running(rows: DataFrame, block: Column, order: list[str], value: str, fold: Callable[[str], Column], name: str) -> DataFrame:
+    """Adds the fold of `value` over rows of the same _key up to each row: inside blocks, which rise with the order, then over blocks."""
+    cut = rows.withColumn("_block", block)
+    inside = W.partitionBy("_key", "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy("_key").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = cut.groupBy("_key", "_block").agg(fold(value).alias("_all")).select("_key", "_block", fold("_all").over(upto).alias("_before"))
+    both = cut.withColumn("_inside", fold(value).over(inside)).join(blocks, ["_key", "_block"])
+    total = F.greatest("_inside", "_before") if fold is F.max else F.col("_inside") + F.coalesce("_before", F.lit(0))
+    return both.select(*rows.columns, total.alias(name))
 
 
 def recent(rows: DataFrame, keys: list[str], span: int, name: str) -> DataFrame:
-    """Adds how many rows of the same keys arrived up to each row and weren't over `span` ms old then, itself included.
+    """seq and how many rows of the same keys arrived up to each row and weren't over `span` ms old then, itself included.
 
     Rows count in the order of arrival (seq), late ones too: a row drops out once one that is over `span` ms
-    younger arrives. The window is over the key's clock, which never goes back; what came late and has dropped
-    out by its own time is taken off, as are rows of the same clock that arrived later. A row that comes over
-    `span` ms late counts for itself alone.
+    younger arrives. So there is a clock, the latest time that has arrived, which never goes back; a row comes in at
+    the clock of its arrival and goes out at the first clock that is over `span` later than its own time, and what
+    is in is a running sum over both. A row that comes over `span` ms late counts for itself alone.
     """
-    width = span * SLICES
-    own = F.floor(F.col("_clock") / width)
-    nxt = F.floor((F.col("_clock") + span) / width)
-    slices = F.when(nxt > own, F.array(own, nxt)).otherwise(F.array(own))
-    cut = with_clock(rows, keys).withColumn("_own", own).withColumn("_slice", F.explode(slices))
-    frame = W.partitionBy(*keys, "_slice").orderBy("_clock").rangeBetween(-span, 0)
-    later = F.count("*").over(W.partitionBy(*keys, "_slice", "_clock").orderBy("seq").rowsBetween(1, W.unboundedFollowing))
-    late = F.collect_list(F.when(F.col("ts_ms") < F.col("_clock"), F.struct("seq", "ts_ms"))).over(frame)  # empty where rows come in order
-    cut = cut.withColumns({"_near": F.count("*").over(frame) - later, "_late": late}).where("_own = _slice")
-    gone = F.size(F.filter("_late", lambda x: (x["seq"] < F.col("seq")) & (x["ts_ms"] < F.col("_clock") - span)))
-    return cut.withColumn(name, F.col("_near") - gone).drop("_own", "_slice", "_clock", "_near", "_late")
+    some = saved(rows.select("seq", "ts_ms", F.struct(*keys).alias("_key")), "arrivals")
+    clocked = running(some, F.floor(F.col("seq") / BLOCK), ["seq"], "ts_ms", F.max, "_clock")
+    clocked = saved(clocked.withColumn("_gone", F.col("ts_ms") < F.col("_clock") - span), "clocked")
+    # Of equal clocks, what goes out is first.
+    comes = clocked.select("_key", F.col("_clock").alias("_at"), "seq", F.when(F.col("_gone"), 0).otherwise(1).alias("_step"), "_gone")
+    goes = clocked.where("not _gone").select("_key", (F.col("ts_ms") + span + 1).alias("_at"), F.lit(-1).cast("long").alias("seq"), F.lit(-1).alias("_step"), "_gone")
+    steps = running(comes.unionByName(goes), F.floor(F.col("_at") / (span * 4)), ["_at", "seq"], "_step", F.sum, name)
+    return steps.where("seq >= 0").select("seq", (F.col(name) + F.col("_gone").cast("int")).alias(name))
 
 
 def rate_limited(calls: DataFrame, most: float | None = 60, span: int = 60_000) -> DataFrame:
     """Calls over the rate of their session: seq, session_key, calls_in_window, severity, should_block, ratio."""
     most = int(most) if most is not None and math.isfinite(most) and most >= 1 else 60
-    rows = calls.withColumn("session_key", F.coalesce("session_id", "agent_id", F.lit(NO_SESSION)))
-    rows = recent(rows, ["session_key"], span, "calls_in_window").where(F.col("calls_in_window") > most)
+    rows = calls.select("seq", "ts_ms", F.coalesce("session_id", "agent_id", F.lit(NO_SESSION)).alias("session_key"))
+    over = recent(rows, ["session_key"], span, "calls_in_window").where(F.col("calls_in_window") > most)
+    rows = rows.join(over, "seq")
     n = F.col("calls_in_window")
     severity = F.when(n > 2 * most, "critical").when(n > 1.5 * most, "high").otherwise("medium")
     return rows.select("seq", "session_key", "calls_in_window", severity.alias("severity"), (n > 2 * most).alias("should_block"), F.round(n / most, 2).alias("ratio"))
@@ -103,7 +97,7 @@ def learning(calls: DataFrame, threshold: int = 20) -> DataFrame:
 
 def escalated(events: DataFrame, one: int = 3, all_: int = 10, span: int = 600_000) -> DataFrame:
     """Adds count, escalated, and the severity that repeats of a rule and tool raise."""
-    rows = recent(events, ["rule_name", "tool_name"], span - 1, "count")
+    rows = events.join(recent(events, ["rule_name", "tool_name"], span - 1, "count"), "seq").select(*events.columns, "count")
     n, old = F.col("count"), F.col("severity")
     new = F.when(n >= all_, "critical").when(n >= one, upgraded(old, 1)).otherwise(old)
     return rows.withColumn("original_severity", old).withColumn("severity", new).withColumn("escalated", F.col("severity") != F.col("original_severity"))
@@ -141,13 +135,19 @@ def deduplicated(events: DataFrame, span: int = 300_000, keys: list[str] | None
 
 
 def sessions(calls: DataFrame, idle: int = 3_600_000) -> DataFrame:
-    """session_id, life, started_at, ended_at, tool_call_count: a session's lives, ended by an idle hour."""
-    order = W.partitionBy("session_key").orderBy("ts_ms", "seq")
-    rows = calls.withColumn("session_key", F.coalesce("session_id", F.lit(NO_SESSION)))
-    fresh = F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(order) > idle).cast("int"), F.lit(0))
-    rows = rows.withColumn("_new", fresh).withColumn("life", F.sum("_new").over(order))
-    return rows.groupBy(F.col("session_key").alias("session_id"), "life").agg(
-        F.min("ts_ms").alias("started_at"), F.max("ts_ms").alias("ended_at"), F.count("*").alias("tool_call_count")
+    """session_id, life, started_at, ended_at, tool_call_count: a session's lives, ended by an idle hour.
+
+    Calls are cut at pauses inside slices of time first; what is windowed by session are those stretches.
+    """
+    rows = calls.select(F.coalesce("session_id", F.lit(NO_SESSION)).alias("session_key"), "ts_ms", F.floor(F.col("ts_ms") / (idle * SLICES)).alias("slice"))
+    inside = W.partitionBy("session_key", "slice").orderBy("ts_ms")
+    pause = lambda since: F.coalesce((F.col(since) - F.col("before") > idle).cast("int"), F.lit(0))
+    cut = rows.withColumn("before", F.lag("ts_ms").over(inside)).withColumn("stretch", F.sum(pause("ts_ms")).over(inside))
+    cut = cut.groupBy("session_key", "slice", "stretch").agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b"), F.count("*").alias("n"))
+    order = W.partitionBy("session_key").orderBy("a")
+    lives = cut.withColumn("before", F.lag("b").over(order)).withColumn("life", F.sum(pause("a")).over(order))
+    return lives.groupBy(F.col("session_key").alias("session_id"), "life").agg(
+        F.min("a").alias("started_at"), F.max("b").alias("ended_at"), F.sum("n").alias("tool_call_count")
     )
 
 

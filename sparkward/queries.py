@@ -642,11 +642,11 @@ POLICIES = [
 ]
 
 
-@query(f"WITH {events_sql()} SELECT seq, 'base' AS policy, rule_name FROM se WHERE rule_name IS NOT NULL AND rule_name <> 'path-guard'")
+@query(f"WITH {events_sql()} SELECT seq, rule_name, CASE WHEN action = 'blocked' OR coalesce(rule_name IN ('exec-guard', 'data-exfil'), FALSE) THEN 'blocked' ELSE 'alert' END AS action FROM se WHERE rule_name IS DISTINCT FROM 'path-guard'")
 def policy_disabled_rules(spark, d):
     found = policy.effective(spark.createDataFrame(POLICIES, policy.SCHEMA)).where("leaf = 'user'").first()
-    rows = SE(spark, d).where("rule_name is not null").withColumn("should_block", F.col("action") == "blocked")
-    return policy.applied(rows, found.disabled, found.force_block).select("seq", F.lit("base").alias("policy"), "rule_name")
+    rows = SE(spark, d).withColumn("should_block", F.col("action") == "blocked")
+    return policy.applied(rows, found.disabled, found.force_block).select("seq", "rule_name", "action")
 
 
 @query(

@@ -39,7 +39,7 @@ FACTOR = 2_000_000
 #: Base-2 logarithms of the least and most slots of a length.
 LEAST_SLOTS, MOST_SLOTS = 16, 26
 #: Keys that a task remembers to have sent the words of.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 #: Words scanned at once.
 AT_ONCE = 1 << 20
 NEVER = 255
@@ -183,51 +183,72 @@ def frequent(texts: DataFrame, threshold: int, n: int) -> tuple[DataFrame, list[
     return state.where(F.col("count") >= threshold).select("length", "key", "count"), since, bits
 
 
+def strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The bytes from each start to its stop as strings."""
+    size = stop - start
+    ends = np.cumsum(size)
+    bytes_ = data[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(bytes_))
+
+
+def lists(columns: list[np.ndarray], n: int) -> pa.Array:
+    """Rows of as many numbers as there are columns."""
+    flat = np.stack(columns, 1).ravel() if columns else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(columns), pa.int32()), pa.array(flat.view(np.int64)))
+
+
+NAMED = "length int, key long, lang string, phrase string, left array<long>, right array<long>, inner array<long>"
+
+
 def named(docs: DataFrame, found: DataFrame, since: list[np.ndarray], bits: int) -> DataFrame:
-    """length, key, lang, phrase, left, right, inner of the phrases of several words in `found`, and perhaps of some more.
+    """The phrases of several words in `found` with their words, and perhaps some more.
 
-    left, right: the keys of both sides of each cut; inner: the keys of the phrases inside, from two words on.
+    left, right: the keys of both sides of each cut; inner: the keys of all phrases of two words inside, then of three.
     """
     marks = np.full(1 << bits, NEVER, np.uint8)
     marks[marked_slots(found.where(F.col("length") == LONGEST_PHRASE), bits)[LONGEST_PHRASE]] = 0
     held = docs.sparkSession.sparkContext.broadcast([*since, marks])
-    names = ["length", "key", "lang", "phrase", "left", "right", "inner"]
-    kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
+    names = [c.split()[0] for c in NAMED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # keys that this task has sent; some are sent again when it grows too large
+        done = np.empty(0, np.uint64)  # keys that this task has sent, sorted; some are sent again when they are too many
         for batch in batches:
-            if len(done) > REMEMBERED:
-                done.clear()
             for langs, texts in in_batches(zip(*(c.to_pylist() for c in batch.columns))):
-                words, bounds, at, joined = pieces(texts, np.array([seed(x) for x in langs], np.uint64))
-                word = np.full(len(words), -1)
-                word[at[0]] = np.arange(at.shape[1])
-                keys, rows = {}, []
-                for length, place, own, first in active(words, held.value[:-1], bits):
-                    keys[length] = np.zeros(len(words), np.uint64)
+                words, bounds, (to, start, stop), joined = pieces(texts, np.array([seed(x) for x in langs], np.uint64))
+                data, langs = np.frombuffer(joined, np.uint8), pa.array([UNKNOWN if x is None else x for x in langs], pa.string())
+                word = np.full(len(words) + 1, len(to))
+                word[to] = np.arange(len(to))
+                apart = np.r_[(start[1:] - stop[:-1] != 1) | (data[stop[:-1]] != 0x20), True][: len(to)]  # words with more than a space between them and the next
+                keys, sent = {}, []
+                for length, place, own, _ in active(words, held.value[:-1], bits):
+                    keys[length] = np.zeros(len(words) + LONGEST_PHRASE, np.uint64)
                     keys[length][place] = own
                     if length == 1:
                         continue
                     some = np.flatnonzero(held.value[length - 1][slot(own, bits)] < NEVER)
                     new, where = np.unique(own[some], return_index=True)
-                    for key, p in zip(new.view(np.int64).tolist(), place[some[where]].tolist()):
-                        if key in done:
+                    fresh = ~np.isin(new, done, assume_unique=True)
+                    new, p = new[fresh], place[some[where[fresh]]]
+                    sent.append(new)
+                    w = word[p]
+                    wide = np.any([apart[w + i] for i in range(length - 1)], axis=0)
+                    for own_, at, w_ in ((new[~wide], p[~wide], w[~wide]), (new[wide], p[wide], w[wide])):
+                        if not len(own_):
                             continue
-                        done.add(key)
-                        part = lambda k, i: int(keys[k][p + i].view(np.int64))  # noqa: E731, B023
-                        text = b" ".join(joined[a:b] for a, b in at[1:, word[p] : word[p] + length].T.tolist()).decode()
-                        lang = langs[int(np.searchsorted(bounds, p, "right")) - 1]
-                        cuts = range(1, length)
-                        inner = [[part(k, i) for i in range(length - k + 1)] for k in range(2, length)]
-                        rows.append((length, key, UNKNOWN if lang is None else lang, text, [part(k, 0) for k in cuts], [part(length - k, k) for k in cuts], inner))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    spec = "length int, key long, lang string, phrase string, left array<long>, right array<long>, inner array<array<long>>"
-    rows = docs.select("lang", "text").mapInArrow(run, spec)
+                        if own_.size and apart[w_[0] : w_[0] + length - 1].any():
+                            text = pa.array([b" ".join(joined[a:b] for a, b in zip(start[k : k + length].tolist(), stop[k : k + length].tolist())).decode() for k in w_.tolist()], pa.string())
+                        else:
+                            text = strings(data, start[w_], stop[w_ + length - 1])
+                        left, right = [keys[k][at] for k in range(1, length)], [keys[length - k][at + k] for k in range(1, length)]
+                        inner = [keys[k][at + i] for k in range(2, length) for i in range(length - k + 1)]
+                        rows = pa.array(np.searchsorted(bounds, at, "right") - 1)
+                        cols = [pa.array(np.full(len(at), length, np.int32)), pa.array(own_.view(np.int64)), langs.take(rows), text, *[lists(x, len(at)) for x in (left, right, inner)]]
+                        yield pa.RecordBatch.from_arrays(cols, names)
+                new = np.concatenate(sent) if sent else done[:0]
+                done = np.sort(np.concatenate([done if len(done) < REMEMBERED else done[:0], new]))
+
     one = F.first(F.struct(*names[2:])).alias("one")
-    return rows.groupBy("length", "key").agg(one).select("length", "key", "one.*")
+    return docs.select("lang", "text").mapInArrow(run, NAMED).groupBy("length", "key").agg(one).select("length", "key", "one.*")
 
 
 def scored(named_: DataFrame, counts: DataFrame) -> DataFrame:
@@ -248,7 +269,8 @@ def scored(named_: DataFrame, counts: DataFrame) -> DataFrame:
 
 def uncovered(found: DataFrame) -> DataFrame:
     """Candidates that no longer one covers."""
-    inside = found.where("length > 2").select("a", F.posexplode("inner").alias("at", "keys")).select((F.col("at") + 2).alias("length"), F.explode("keys").alias("key"), "a")
+    inside = found.where("length > 2").select(F.col("length").alias("of"), "a", F.posexplode("inner").alias("at", "key"))
+    inside = inside.select(F.when(F.col("at") < F.col("of") - 1, 2).otherwise(3).alias("length"), "key", "a")
     most = inside.groupBy("length", "key").agg(F.max("a").alias("covers"))
     return found.join(most, ["length", "key"], "left").where(F.expr(f"covers is null or cast(100BD * covers as decimal(30, 0)) < cast({COVERED}BD * a as decimal(30, 0))"))
 

@@ -65,7 +65,7 @@ def test_phrases_of_nothing(spark):
 def test_large_counts_are_exact(spark):
     """Products beyond 64 bits."""
     a, left, right = 9_000_000_000_000_000, 9_000_000_000_000_001, 9_000_000_000_000_007
-    named = spark.createDataFrame([(2, 1, "en", "p q", [11], [12], [])], "length int, key long, lang string, phrase string, left array<long>, right array<long>, inner array<array<long>>")
+    named = spark.createDataFrame([(2, 1, "en", "p q", [11], [12], [])], "length int, key long, lang string, phrase string, left array<long>, right array<long>, inner array<long>")
     counts = spark.createDataFrame([(1, 11, left), (1, 12, right), (2, 1, a)], "length int, key long, count long")
     row = collocations.scored(named, counts).first()
     assert row.score == 2_000_000 * a // (left + right)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,16 @@ from pyspark.sql import functions as F
 from .functions import redact
 from .functions import text as T
 from .functions.regex import re2
-from .operators import detect, policy, routing, rules, sinks, stateful, store
+from .operators import detect, policy, routing, rules, sinks, stateful, store, versions
 from .plans import samples
 from .plans.engine import Config, alerts, events
 from .plans.patterns import exfil, injection, net
 from .plans.patterns import redact as redact_patterns
 from .schema import CATEGORIES, rank, upgraded
+from .shared import shared_dir
+from .sources import tail
 from .sources import views as V
+from .streaming import router, sessions
 
 NOW = 1_710_000_000_000
 FLAGSHIP = "router_end_to_end"
@@ -710,3 +714,81 @@ def hook_sessions(spark, d):
     named = lambda p, when: F.when(when, F.concat(F.lit(p), F.col("user_id").cast("string")))
     k = F.col("event_id") % 3
     return V.hook_calls(rows.select(F.col("event_id").alias("seq"), named("a", k == 0).alias("session_id"), named("k", k < 2).alias("session_key")))
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query("SELECT conv_id, turn, role, length(text) AS n FROM conversations")
+def jsonl_tailed(spark, d):
+    """Transcripts in logs that are first read up to the middle of a line, then to their end by a query that goes on from the checkpoint."""
+    rows = V.table(spark, d, "conversations")
+    line = F.to_json(F.struct("role", "text", F.col("turn").alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId")))
+    lines = rows.select(F.concat(F.lit("agent"), F.col("conv_id") % 16, F.lit("/log.jsonl")).alias("file"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), line.alias("line"))
+    logs, out, check = (folder(spark, x) for x in ("logs", "log-lines", "log-checkpoint"))
+    for part, whole in ((lines.where("place % 1000000 < 130000"), False), (lines, True)):
+        tail.written(part, logs, whole)
+        read = tail.caught_up(tail.tailed(spark, logs), out, check)
+    return V.transcript(read).select(F.col("sessionId").cast("long").alias("conv_id"), F.col("timestamp").alias("turn"), "role", F.length("text").cast("long").alias("n"))
+
+
+@query(f"WITH RECURSIVE {events_sql(1440)}, {ESCALATED}, kept AS (SELECT * FROM esc WHERE seq < 5000 AND {DISMISSED} OR seq >= 5000 AND NOT (action <> 'blocked' AND severity <> 'critical' AND coalesce(rule_name = 'data-exfil', FALSE))), {sent_sql('kept')} SELECT seq, severity, '[' || upper(severity) || '] ' || title AS summary FROM r WHERE sent")
+def router_stream(spark, d):
+    """The router over a stream in four batches, each a query of its own; dismissals change after the second."""
+    rows, (source, out, check) = SE(spark, d, 1440), (folder(spark, x) for x in ("events", "alerts", "alert-checkpoint"))
+    table = versions.Versions(spark, folder(spark, "dismissals"), routing.DISMISSAL)
+    for k, part in enumerate(("seq < 2500", "seq >= 2500 and seq < 5000", "seq >= 5000 and seq < 7500", "seq >= 7500")):
+        if k % 2 == 0:
+            given = dismissals(spark) if k == 0 else spark.createDataFrame([("data-exfil", "", None, 0)], routing.DISMISSAL)
+            table.change(f"batch {k}", lambda _, g=given: g)
+        rows.where(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        sent = router.caught_up(router.routed(stream, table.live(), NOW).select("seq", "severity", "summary"), out, check)
+    return sent
+
+
+@query(f"""WITH {calls_sql(1440)}, g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms, seq) > 10000 AS fresh FROM calls),
+    l AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts_ms, seq) AS life FROM g)
+    SELECT session_id, min(ts_ms) AS started_at, max(ts_ms) AS ended_at, count(*) AS tool_call_count FROM l GROUP BY session_id, life HAVING max(ts_ms) + 10000 <= (SELECT max(ts_ms) FROM calls)""")
+def sessions_ended_stream(spark, d):
+    """Sessions that ten seconds without a call have ended, by timers, over two batches."""
+    rows, (source, out, check) = V.calls(spark, d, 1440), (folder(spark, x) for x in ("calls", "ended", "ended-checkpoint"))
+    for part in ("seq < 5000", "seq >= 5000"):
+        rows.where(part).write.mode("append").parquet(source)
+        stream = sessions.ended(spark.readStream.schema(rows.schema).parquet(source), 10_000, "0 seconds")
+        found = router.caught_up(stream, out, check, once=False)
+    return found.select("session_id", "started_at", "ended_at", "tool_call_count")
+
+
+@query(f"WITH {events_sql()}, p AS (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM se WHERE seq % 2 = 0 OR seq % 3 = 0), c AS (SELECT count(*) AS n FROM p) SELECT id, CASE WHEN seq % 3 = 0 THEN 'r2' ELSE 'r1' END AS rule_name FROM p, c WHERE i > n - 3000")
+def dismissal_versions(spark, d):
+    """A table of at most 3000 that batches change, one of which fails before it counts and one of which comes twice; the oldest give way."""
+    schema = "id string, place bigint, rule_name string"
+    rows, table = SE(spark, d), versions.Versions(spark, folder(spark, "versions"), schema)
+    made = lambda where, rule: rows.where(where).select("id", F.col("seq").alias("place"), F.lit(rule).alias("rule_name"))
+    first, second = made("seq % 2 = 0", "r1"), made("seq % 3 = 0", "r2")
+    table.change("1", lambda was: versions.put(was, first, "id", "place"))
+    try:
+        table.change("2", lambda was: versions.put(was, second, "id", "place").withColumn("place", F.raise_error(F.lit("fails")).cast("bigint")))
+    except Exception as e:
+        if "fails" not in str(e):
+            raise
+    for _ in range(2):
+        table.change("2", lambda was: versions.put(was, second, "id", "place", 3000))
+    return table.read().select("id", "rule_name")
+
+
+@query(
+    f"""WITH {calls_sql(1440)}, l AS (SELECT seq, 'hot' AS session_id, ts_ms - (seq % 2) * 55000 AS ts_ms FROM calls), k AS (SELECT *, max(ts_ms) OVER (ORDER BY seq) AS clock FROM l),
+    n AS (SELECT k.seq, k.session_id AS session_key, count(*) AS calls_in_window FROM k JOIN l e ON e.seq <= k.seq AND e.ts_ms >= k.clock - 60000 GROUP BY 1, 2) SELECT * FROM n WHERE calls_in_window > 60"""
+)
+def rate_limit_hot_late(spark, d):
+    """One session with all calls, half of them late."""
+    late = V.calls(spark, d, 1440).withColumns({"session_id": F.lit("hot"), "ts_ms": F.expr("ts_ms - (seq % 2) * 55000")})
+    return stateful.rate_limited(late, 60).select("seq", "session_key", "calls_in_window")
+
+
+@query(f"""WITH {events_sql()} SELECT id, '{{"id":"' || id || '","timestamp":' || ts_ms || ',"severity":"' || severity || '","category":"' || category || '","title":"' || title || '","action":"' || action || '"' || CASE WHEN rule_name IS NOT NULL THEN ',"ruleName":"' || rule_name || '"' ELSE '' END || ',"toolName":"' || tool_name || '"}}' AS message FROM se""")
+def event_feed(spark, d):
+    return versions.fed(SE(spark, d))

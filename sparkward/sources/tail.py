@@ -195,3 +195,36 @@ def tailed(spark: SparkSession, path: str, stream: bool = True) -> DataFrame:
     spark.dataSource.register(JsonlTail)
     reader = spark.readStream if stream else spark.read
     return reader.format("jsonl_tail").option("path", path).load()
+
+
+def caught_up(lines: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Writes the lines that there are by now to files in `out`, and goes on from the checkpoint when called again."""
+    lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return lines.sparkSession.read.schema(SCHEMA).parquet(out)
+
+
+def written(lines: DataFrame, path: str, whole: bool = True) -> None:
+    """Writes logs (file, place, line) below path, each file anew by one task, in order of place; unless whole, each without its last few bytes."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = Folder(path, "").opened()
+        at, f, last = None, None, b""
+
+        def close() -> None:
+            if f is not None:
+                f.write(last if whole else last[: len(last) // 2])
+                f.close()
+
+        for batch in batches:
+            for file, line in zip(batch.column("file").to_pylist(), batch.column("line").to_pylist()):
+                if file != at:
+                    close()
+                    system.create_dir(f"{top}/{file}".rsplit("/", 1)[0], recursive=True)
+                    at, f, last = file, system.open_output_stream(f"{top}/{file}"), b""
+                f.write(last)
+                last = line.encode() + b"\n"
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([0])], ["n"])
+
+    rows = lines.repartition("file").sortWithinPartitions("file", "place").select("file", "line").mapInArrow(write, "n long")
+    rows.write.format("noop").mode("overwrite").save()

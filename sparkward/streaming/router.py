@@ -109,10 +109,12 @@ def routed(events: DataFrame, dismissals: DataFrame, now_ms: int | Column | None
     return out.withColumn("summary", F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("title")))
 
 
-def caught_up(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Writes what a stream has by now to files in `out`, in one batch, and goes on from the checkpoint when called again.
+def caught_up(stream: DataFrame, out: str, checkpoint: str, once: bool = True) -> DataFrame:
+    """Writes what a stream has by now to files in `out`, and goes on from the checkpoint when called again.
 
-    Not by the trigger that takes all there is in several batches: with state that can expire it never ends.
+    once: all in one batch. Otherwise by the trigger that also moves the watermark on; where state lives by the
+    machine's time that one never ends.
     """
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(once=True).start().awaitTermination()
+    trigger = {"once": True} if once else {"availableNow": True}
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)

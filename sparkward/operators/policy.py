@@ -89,6 +89,36 @@ def applied_by_leaf(events: DataFrame, policies: DataFrame) -> DataFrame:
     return rows.withColumn("action", F.when(F.col("should_block"), "blocked").otherwise("alert")).drop("disabled", "force_block")
 
 
+def imported(exports: DataFrame, known: DataFrame) -> DataFrame:
+    """Policies of exports (source, text): source, place, name, extends, reason; null where it holds up, else what is wrong.
+
+    Reasons: format (no list of policies), name, config, overrides, parent (none of its name is known or holds up; those
+    that extend it fall too). Of one source's policies of the same name the last counts, if it holds up.
+    """
+    get = lambda p: F.try_variant_get("p", p, "variant")
+    kind = lambda p: F.coalesce(F.schema_of_variant(get(p)), F.lit(""))
+    absent = lambda p: ~F.array_contains(F.coalesce(F.json_object_keys(F.to_json(F.col("p"))), F.array()), p)
+    strings = lambda p: kind(p).isin("", "ARRAY<STRING>", "ARRAY<VOID>") & ((kind(p) != "ARRAY<VOID>") | (F.to_json(get(p)) == "[]"))
+    list_ = F.try_variant_get(F.try_parse_json("text"), "$.policies", "array<variant>")
+    rows = exports.select("source", F.posexplode_outer(list_).alias("place", "p"))
+    name = F.when(kind("$.name") == "STRING", F.try_variant_get("p", "$.name", "string"))
+    config = (absent("config") | F.startswith(kind("$.config"), F.lit("OBJECT"))) & strings("$.config.trustedSkills") & kind("$.config.blockOnCritical").isin("", "BOOLEAN")
+    over = strings("$.overrides.forceBlock") & strings("$.overrides.disabledRules") & strings("$.overrides.additionalTrustedSkills")
+    reason = F.when(F.col("place").isNull(), "format").when(~F.coalesce(name.rlike(rf"^{NAME}\z"), F.lit(False)), "name").when(~config, "config").when(~over, "overrides")
+    rows = saved(rows.select("source", "place", name.alias("name"), F.try_variant_get("p", "$.extends", "string").alias("extends"), reason.alias("reason")), "imports")
+    good = rows.where("reason is null and extends is not null and extends <> ''").join(known.select(F.col("name").alias("extends")), "extends", "left_anti")
+    fallen = None  # (source, name) of those whose parents are nowhere, in rounds until there are no more
+    while True:
+        there = rows.where("reason is null").select("source", F.col("name").alias("extends"))
+        there = there if fallen is None else there.join(fallen.withColumnRenamed("name", "extends"), ["source", "extends"], "left_anti")
+        now = saved(good.join(there, ["source", "extends"], "left_anti").select("source", "name").distinct(), "fallen")
+        if fallen is not None and now.count() == fallen.count():
+            break
+        fallen = now
+    marks = fallen.withColumn("lost", F.lit("parent"))
+    return rows.join(marks, ["source", "name"], "left").select("source", "place", "name", "extends", F.coalesce("reason", "lost").alias("reason"))
+
+
 def import_(text: str) -> tuple[dict[str, dict], int]:
     """Policies of an export that hold up, and how many don't. Those whose parent falls away fall too."""
     given, kept, skipped = json.loads(text).get("policies", []), {}, 0

@@ -170,6 +170,9 @@ def first_run(calls: DataFrame, threshold: int = 20) -> DataFrame:
         some(host, 200).alias("domains"),
         some(F.substring(value("command", "cmd"), 1, 1024), 1000).alias("commands"),
         F.count("*").alias("n_calls"),
+        F.min("seq").alias("first_seq"),
+        F.min("ts_ms").alias("started_at"),
+        F.max("ts_ms").alias("ended_at"),
     )
 
 

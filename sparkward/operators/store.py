@@ -61,6 +61,22 @@ def totals(events: DataFrame) -> DataFrame:
     )
 
 
+def status(events: DataFrame) -> DataFrame:
+    """Totals, and which event is the newest: newest_id, newest_at, newest_category; one row, as an aggregate."""
+    newest_ = F.max(F.struct("ts_ms", "seq", "id", "category")).alias("_newest")
+    is_ = lambda a: F.count_if(F.col("action") == a)
+    rows = events.agg(F.count("*").alias("total"), is_("blocked").alias("blocked"), is_("alert").alias("alerts"), newest_)
+    return rows.select("total", "blocked", "alerts", F.col("_newest.id").alias("newest_id"), F.col("_newest.ts_ms").alias("newest_at"), F.col("_newest.category").alias("newest_category"))
+
+
+def check_counters(checks: DataFrame, events: DataFrame) -> DataFrame:
+    """total_checks, total_blocked (checks with an event that blocks), total_alerts (events) of checks (seq)."""
+    per = events.groupBy("seq").agg(F.count("*").alias("n"), F.bool_or("should_block").alias("blocks"))
+    return checks.select("seq").join(per, "seq", "left").agg(
+        F.count("*").alias("total_checks"), F.count_if("blocks").alias("total_blocked"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_alerts")
+    )
+
+
 def by_severity(events: DataFrame) -> DataFrame:
     """Counts of all five severities, zero where there is none."""
     every = events.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "severity string")
@@ -159,6 +175,24 @@ def session_lines(summary: DataFrame) -> DataFrame:
     return summary.select("session_id", line.alias("line"))
 
 
+#: The words of a first run's report; none stands for an empty list.
+REPORT = ("首次运行报告", "会话", "时长", "工具使用", "文件访问", "网络域名", "命令执行", "安全事件")
+NONE = "无"
+
+
+def report_texts(reports: DataFrame, events: DataFrame) -> DataFrame:
+    """skill_name, session_id, n_events, report of first runs (stateful.first_run), with the events of their skill and session after their first call."""
+    here = ["skill_name", "session_id"]
+    found = events.join(reports.select(*here, "first_seq"), here).where(F.col("seq") > F.col("first_seq")).groupBy(*here).agg(F.count("*").alias("n_events"))
+    rows = reports.join(found, here, "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+    some = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(NONE)
+    commands = F.when(F.size("commands") > 0, F.concat(F.lit("\n    "), F.array_join("commands", "\n    "))).otherwise(NONE)
+    seconds = F.concat(F.round((F.col("ended_at") - F.col("started_at")) / 1000).cast("long"), F.lit("s"))
+    values = ("skill_name", "session_id", seconds, some("tools"), some("files"), some("domains"), commands, "n_events")
+    lines = [F.concat(F.lit(("" if k == 0 else "  ") + name + ": "), v) for k, (name, v) in enumerate(zip(REPORT, values))]
+    return rows.select(*here, "n_events", F.concat_ws("\n", *lines).alias("report"))
+
+
 def tool_usage(calls: DataFrame) -> DataFrame:
     """skill_name, tool_name, n, place: tools of a skill by use."""
     n = calls.where("skill_name is not null").groupBy("skill_name", "tool_name").agg(F.count("*").alias("n"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +40,29 @@ def stateful_events(calls: DataFrame, found: DataFrame, rule: str, category: str
     )
 
 
+def isolated(rules_: dict[str, Callable[[], DataFrame]]) -> tuple[list[DataFrame], dict[str, str]]:
+    """(events of rules that can be planned; of the others, what is wrong): one bad rule doesn't stop the rest."""
+    good, wrong = [], {}
+    for name, made in rules_.items():
+        try:
+            rows = made()
+            rows.schema  # noqa: B018  analysed here
+            good.append(rows)
+        except Exception as e:  # whatever a user's rule brings
+            wrong[name] = str(e).split("\n")[0]
+    return good, wrong
+
+
 def events(calls: DataFrame, config: Config, families: tuple[str, ...] = tuple(detect.FAMILIES)) -> DataFrame:
     rows, more = detect.untrusted(calls, config.trusted_skills), []
     if config.enable_rate:
         more.append(stateful_events(rows, stateful.rate_limited(rows, config.max_calls_per_minute), "rate-limiter", "rate_anomaly", "call rate"))
     if config.enable_baseline:
         more.append(stateful_events(rows, stateful.drifted(rows), "baseline-drift", "baseline_drift", "new tool"))
-    more += [rules.declared(rows, r) for r in config.declared]
+    good, wrong = isolated({f"{k} {r.get('name') if isinstance(r, dict) else r}": partial(rules.declared, rows, r) for k, r in enumerate(config.declared)})
+    for name, said in wrong.items():
+        logging.getLogger(__name__).warning("rule %s is left out: %s", name, said)
+    more += good
     found = detect.evaluate(calls, config.trusted_skills, families, tuple(more))
     return policy.applied(found, config.disabled_rules, config.force_block)
 

@@ -7,19 +7,20 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import redact
 from .functions import text as T
 from .functions.regex import re2
-from .operators import detect, policy, routing, rules, sinks, stateful, store, versions
+from .operators import configs, detect, policy, routing, rules, sinks, stateful, store, versions
 from .plans import samples
 from .plans.engine import Config, alerts, events
 from .plans.patterns import exfil, injection, net
 from .plans.patterns import redact as redact_patterns
 from .schema import CATEGORIES, rank, upgraded
 from .shared import shared_dir
-from .sources import tail
+from .sources import frames, tail
 from .sources import views as V
 from .streaming import router, sessions
 
@@ -792,3 +793,68 @@ def rate_limit_hot_late(spark, d):
 @query(f"""WITH {events_sql()} SELECT id, '{{"id":"' || id || '","timestamp":' || ts_ms || ',"severity":"' || severity || '","category":"' || category || '","title":"' || title || '","action":"' || action || '"' || CASE WHEN rule_name IS NOT NULL THEN ',"ruleName":"' || rule_name || '"' ELSE '' END || ',"toolName":"' || tool_name || '"}}' AS message FROM se""")
 def event_feed(spark, d):
     return versions.fed(SE(spark, d))
+
+
+@query("SELECT conv_id AS stream, turn AS nth, CASE turn % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'dropped' ELSE 'blank' END AS kind, CASE turn % 3 WHEN 0 THEN length(text) END AS n FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, text FROM conversations)")
+def stdio_chunks(spark, d):
+    """Each conversation as a stream of lines, cut into chunks of seven characters, so that most lines are many chunks."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1
+    rows = V.table(spark, d, "conversations").select("conv_id", place.alias("turn"), "text")
+    line = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct("text"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("{"), F.regexp_replace("text", r"\s", "_"))).otherwise(" ")
+    whole = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(line, F.lit("\r\n")).alias("line")))), lambda x: x["line"]), "").alias("text"))
+    cut = whole.select(F.col("conv_id").alias("stream"), F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s).{1,7}"), F.lit(0))).alias("seq", "text"))
+    found = frames.lines_of(cut)
+    return found.select("stream", "nth", "kind", F.when(F.col("kind") == "json", F.length(F.get_json_object("line", "$.text")).cast("long")).alias("n"))
+
+
+@query(f"""WITH {events_sql()}, r AS (SELECT seq, CASE seq % 8 WHEN 1 THEN 'name' WHEN 2 THEN 'config' WHEN 3 THEN 'overrides' WHEN 4 THEN 'config' WHEN 5 THEN 'parent' WHEN 6 THEN CASE WHEN (seq - 1) % 8 = 5 THEN 'parent' END END AS reason FROM se) SELECT seq // 1000 AS source, seq % 1000 AS place, reason FROM r""")
+def policy_import(spark, d):
+    """Exports of up to 1000 policies each; of eight, one has no parent and another extends that one."""
+    k = F.col("seq") % 8
+    name = F.concat(F.lit('"p'), F.col("seq"), F.lit('"'))
+    body = F.when(k == 1, '{"name":"no good!"}').when(k == 2, F.concat(F.lit('{"name":'), name, F.lit(',"config":[1]}'))).when(k == 3, F.concat(F.lit('{"name":'), name, F.lit(',"overrides":{"forceBlock":["a",2]}}')))
+    body = body.when(k == 4, F.concat(F.lit('{"name":'), name, F.lit(',"config":{"blockOnCritical":1}}'))).when(k == 5, F.concat(F.lit('{"name":'), name, F.lit(',"extends":"nobody"}')))
+    body = body.when(k == 6, F.concat(F.lit('{"name":'), name, F.lit(',"extends":"p'), F.col("seq") - 1, F.lit('"}'))).when(k == 7, F.concat(F.lit('{"name":'), name, F.lit(',"extends":"base"}'))).otherwise(F.concat(F.lit('{"name":'), name, F.lit(',"config":{"trustedSkills":["a"]}}')))
+    rows = SE(spark, d).select(F.expr("seq div 1000").alias("source"), "seq", body.alias("body"))
+    texts = rows.groupBy("source").agg(F.concat(F.lit('{"policies":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "body"))), lambda x: x["body"]), ","), F.lit("]}")).alias("text"))
+    known = spark.createDataFrame([("base",)], "name string")
+    return policy.imported(texts, known).select("source", F.col("place").cast("long").alias("place"), "reason")
+
+
+@query("""SELECT c_custkey AS installation, CASE WHEN c_custkey % 11 = 0 THEN 'FAILED' WHEN c_custkey % 3 = 0 AND NOT (c_custkey % 5 = 0 AND c_custkey % 7 <> 0) THEN 'WARNING' ELSE 'OK' END AS status,
+    NOT (c_custkey % 3 = 0 AND NOT (c_custkey % 5 = 0 AND c_custkey % 7 <> 0)) AS blocks, CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS trusted FROM customer""")
+def config_audit(spark, d):
+    """An installation for each customer: a layer that sets all, and one over it that may set blocking, and may be broken."""
+    k = F.col("c_custkey")
+    rows = V.table(spark, d, "customer")
+    first = F.concat(F.lit('{"blockOnCritical":'), (k % 3 != 0).cast("string"), F.lit(',"trustedSkills":'), F.when(k % 2 == 0, '["a","b"]').otherwise("[]"), F.lit(',"__proto__":{"blockOnCritical":true}}'))
+    second = F.when(k % 7 == 0, "{broken").when(k % 5 == 0, '{"blockOnCritical":true}').otherwise('{"debug":true}')
+    layers = rows.select(k.alias("installation"), F.posexplode(F.array(first, second)).alias("layer", "text")).withColumn("reachable", F.col("installation") % 11 != 0)
+    return configs.audited(layers)
+
+
+@query(f"WITH {events_sql()} SELECT count(*) AS total, count(*) FILTER (action = 'blocked') AS blocked, count(*) FILTER (action = 'alert') AS alerts, arg_max(id, (ts_ms, seq)) AS newest_id, max(ts_ms) AS newest_at, arg_max(category, (ts_ms, seq)) AS newest_category FROM se")
+def status_view(spark, d):
+    return store.status(SE(spark, d))
+
+
+@query(f"WITH {events_sql()} SELECT count(DISTINCT seq // 2) AS total_checks, count(DISTINCT CASE WHEN action = 'blocked' AND seq % 3 = 0 THEN seq // 2 END) AS total_blocked, CAST(count(*) FILTER (seq % 3 = 0) AS BIGINT) AS total_alerts FROM se")
+def bridge_counters(spark, d):
+    """Checks of which some had one event, some two, and some none."""
+    rows = SE(spark, d).withColumns({"check": F.expr("seq div 2"), "should_block": F.col("action") == "blocked"})
+    found = rows.where("seq % 3 = 0").select(F.col("check").alias("seq"), "should_block")
+    return store.check_counters(rows.select(F.col("check").alias("seq")).distinct(), found)
+
+
+@query(
+    f"""WITH {events_sql(1)}, n AS (SELECT *, row_number() OVER (PARTITION BY skill_name ORDER BY seq) AS n FROM calls),
+    t AS (SELECT skill_name, session_id, tool_name, min(seq) AS f FROM n WHERE n <= 20 GROUP BY 1, 2, 3),
+    r AS (SELECT skill_name, session_id, min(seq) AS first_seq, max(ts_ms) - min(ts_ms) AS ms FROM n WHERE n <= 20 GROUP BY 1, 2),
+    g AS (SELECT skill_name, session_id, string_agg(tool_name, ', ' ORDER BY f) AS tools FROM t GROUP BY 1, 2),
+    e AS (SELECT r.skill_name, r.session_id, count(*) AS k FROM r JOIN se USING (skill_name, session_id) WHERE se.seq > r.first_seq AND se.seq % 4 = 0 GROUP BY 1, 2)
+    SELECT skill_name, session_id, coalesce(k, 0) AS n_events, '首次运行报告: ' || skill_name || chr(10) || '  会话: ' || session_id || chr(10) || '  时长: ' || CAST(round(ms / 1000) AS BIGINT) || 's' || chr(10)
+      || '  工具使用: ' || tools || chr(10) || '  文件访问: 无' || chr(10) || '  网络域名: 无' || chr(10) || '  命令执行: 无' || chr(10) || '  安全事件: ' || coalesce(k, 0) AS report
+    FROM r JOIN g USING (skill_name, session_id) LEFT JOIN e USING (skill_name, session_id)"""
+)
+def first_run_texts(spark, d):
+    return store.report_texts(stateful.first_run(V.calls(spark, d, 1)), SE(spark, d).where("seq % 4 = 0"))

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.candidates import may_match
 from ..functions.redact import redacted_params
-from ..functions.regex import compiled, java, required
+from ..functions.regex import compiled, java
 from ..plans.patterns import exec as exec_patterns
 from ..plans.patterns import exfil, injection, net
 from ..plans.patterns import path as path_patterns
@@ -54,24 +55,16 @@ def is_exec_tool(name: Column) -> Column:
     return names[0].isin(EXEC_TOOLS) | names[1].isin(EXEC_TOOLS) | names[0].rlike(EXEC_TOOL) | names[1].rlike(EXEC_TOOL)
 
 
-def lowered(texts: Column) -> Column:
-    """The texts, each with its chunk in lower case, in which guards look for what a pattern needs."""
-    return F.transform(texts, lambda x: F.struct(x["raw"].alias("raw"), x["chunk"].alias("chunk"), F.lower(x["chunk"]).alias("low")))
-
-
-def matches(x: Column, source: str, flags: str) -> Column:
-    """Whether a chunk matches; the expression is tried where the chunk holds the plain texts that it needs."""
-    out = x["chunk"].rlike(java(source, flags))
-    for texts in reversed(required(source)):
-        out = reduce(or_, [F.contains(x["low"], F.lit(t)) for t in texts]) & out
-    return out
+def matches(x: Column, k: int, source: str, flags: str) -> Column:
+    """Whether a chunk matches expression k; it is tried where the chunk's mask has it."""
+    return may_match(x, k) & x["chunk"].rlike(java(source, flags))
 
 
 def first_hit(texts: Column, patterns) -> Column:
     """struct(-rank, text, pattern) of the most severe match, then the first text, then the first pattern."""
     order = sorted(range(len(patterns)), key=lambda k: (-RANK[patterns[k][1]], k))  # the first that matches is the best of its chunk
     hit = lambda k, i: F.struct(F.lit(-RANK[patterns[k][1]]).alias("rank"), i.alias("text"), F.lit(k).alias("pattern"))
-    best = lambda x, i: F.coalesce(*[F.when(matches(x, patterns[k][5], patterns[k][6]), hit(k, i)) for k in order])
+    best = lambda x, i: F.coalesce(*[F.when(matches(x, k, patterns[k][5], patterns[k][6]), hit(k, i)) for k in order])
     return F.array_min(F.array_compact(F.transform(texts, best)))
 
 
@@ -94,15 +87,16 @@ def detect(calls: DataFrame, name: str, user: list[str] | None = None) -> DataFr
     """Events of one family: at most one a call."""
     family, patterns = FAMILIES[name], with_user_patterns(name, user or [])
     rows = calls.where(is_exec_tool(F.col("tool_name"))) if name == "exec" else calls
-    rows = rows.withColumn("texts", T.reader(family.read)("params")).where(F.size("texts") > 0)
-    rows = rows.withColumn("texts", lowered(F.col("texts"))).withColumn("hit", first_hit(F.col("texts"), patterns))
+    sources = tuple(p[5] for p in patterns) + (exfil.DESTINATIONS if name == "exfil" else ())
+    rows = rows.withColumn("texts", T.reader(family.read, tuple(sources))("params")).where(F.size("texts") > 0)
+    rows = rows.withColumn("hit", first_hit(F.col("texts"), patterns))
     spark = calls.sparkSession
     table = spark.createDataFrame(
         [(k, p[0], p[1], p[2], p[3], p[4], p[5], java(p[5], p[6])) for k, p in enumerate(patterns)],
         "pattern int, pattern_id string, severity string, sub_category string, title string, description string, source string, regex string",
     )
     if name == "exfil":
-        return outgoing_events(rows, table)
+        return outgoing_events(rows, table, len(patterns))
     rows = rows.where("hit is not null").join(F.broadcast(table), F.col("hit.pattern") == F.col("pattern"))  # as many rows as patterns
     found = F.element_at("texts", F.col("hit.text") + 1)
     tool = F.col("tool_name")
@@ -123,11 +117,11 @@ def detect(calls: DataFrame, name: str, user: list[str] | None = None) -> DataFr
     return events(rows, family, F.col("severity"), F.col("title"), description, details, F.col("source"))
 
 
-def outgoing_events(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Patterns of leaks; a known destination beside a sign of sending overrides them."""
+def outgoing_events(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """Patterns of leaks; a known destination beside a sign of sending overrides them. Destinations are the expressions from n on."""
     sends = lambda x: reduce(or_, [x["chunk"].rlike(java(p, f)) for p, f in exfil.CONDITIONS])
     places = lambda x, i: F.coalesce(*[
-        F.when(matches(x, d, "i"), F.struct(i.alias("text"), F.lit(k).alias("place"))) for k, d in enumerate(exfil.DESTINATIONS)
+        F.when(matches(x, n + k, d, "i"), F.struct(i.alias("text"), F.lit(k).alias("place"))) for k, d in enumerate(exfil.DESTINATIONS)
     ])
     near = F.array_compact(F.transform("texts", places))
     rows = rows.withColumn("place", F.array_min(F.filter(near, lambda p: sends(F.element_at("texts", p["text"] + 1)))))

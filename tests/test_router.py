@@ -13,6 +13,15 @@ EVENTS = "seq long, id string, ts_ms long, category string, severity string, tit
 DISMISSALS = "id string, place long, rule_name string, tool_name string, skill_name string, expires_at bigint"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """State of few keys, so that there are few stores to open for each batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def some_events(seed, n):
     draw, ts, rows = random.Random(seed), 0, []
     for k in range(n):

@@ -47,11 +47,44 @@ def recent(rows: DataFrame, keys: list[str], span: int, name: str) -> DataFrame:
     return steps.where("seq >= 0").select("seq", (F.col(name) + F.col("_gone").cast("int")).alias(name))
 
 
-def rate_limited(calls: DataFrame, most: float | None = 60, span: int = 60_000) -> DataFrame:
-    """Calls over the rate of their session: seq, session_key, calls_in_window, severity, should_block, ratio."""
+def evictions(rows: DataFrame, sessions_: int, span: int, every: int = 300_000) -> DataFrame:
+    """session_key, seq: which sessions lose their calls at which call, where state is held of so many.
+
+    State is swept by the first call and then by each that comes `every` ms or more after the sweep before; all but
+    the sessions seen last go, of equal times those whose last call came first. What happens to a session that wasn't
+    seen within `span` before a sweep makes no difference, so a sweep only looks at the calls of that time.
+    """
+    sweeps = deduplicated(rows.withColumn("_one", F.lit(1)), every, ["_one"]).select(F.col("seq").alias("sweep"), F.col("ts_ms").alias("at"))
+    sweeps = saved(sweeps, "sweeps").withColumn("bucket", F.floor(F.col("at") / every))
+    bucket = lambda shift: F.floor((F.col("ts_ms") + shift) / every)
+    near = rows.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(0), bucket(span))))).join(sweeps, "bucket")
+    near = near.where((F.col("seq") <= F.col("sweep")) & (F.col("ts_ms") >= F.col("at") - span))
+    last = saved(near.groupBy("sweep", "session_key").agg(F.max(F.struct("ts_ms", "seq")).alias("last")), "last-seen")
+    nth = F.row_number().over(W.partitionBy("sweep").orderBy(F.desc("last")))
+    least = last.withColumn("nth", nth).where(F.col("nth") <= sessions_).groupBy("sweep").agg(F.count("*").alias("held"), F.min("last").alias("least"))
+    gone = last.join(least.where(F.col("held") == sessions_), "sweep").where(F.col("last") < F.col("least"))
+    return saved(gone.select("session_key", F.col("sweep").alias("seq")), "evictions")
+
+
+def with_lives(rows: DataFrame, evictions_: DataFrame) -> DataFrame:
+    """Adds `life`: how often the row's session had lost its calls before."""
+    calls = rows.select(F.struct("session_key").alias("_key"), "seq", "ts_ms", F.lit(0).alias("gone"))
+    marks = evictions_.select(F.struct("session_key").alias("_key"), "seq", F.lit(None).cast("long").alias("ts_ms"), F.lit(1).alias("gone"))
+    both = running(saved(calls.unionByName(marks), "calls-and-evictions"), F.floor(F.col("seq") / BLOCK), ["seq", "gone"], "gone", F.sum, "life")
+    return both.where("gone = 0").select("seq", "ts_ms", F.col("_key.session_key").alias("session_key"), "life")
+
+
+def rate_limited(calls: DataFrame, most: float | None = 60, span: int = 60_000, sessions_: int | None = None) -> DataFrame:
+    """Calls over the rate of their session: seq, session_key, calls_in_window, severity, should_block, ratio.
+
+    sessions_: of how many sessions state is held; None for all. See evictions.
+    """
     most = int(most) if most is not None and math.isfinite(most) and most >= 1 else 60
     rows = calls.select("seq", "ts_ms", F.coalesce("session_id", "agent_id", F.lit(NO_SESSION)).alias("session_key"))
-    over = recent(rows, ["session_key"], span, "calls_in_window").where(F.col("calls_in_window") > most)
+    keys = ["session_key"]
+    if sessions_ is not None:
+        rows, keys = saved(with_lives(rows, evictions(rows, sessions_, span)), "lives"), ["session_key", "life"]
+    over = recent(rows, keys, span, "calls_in_window").where(F.col("calls_in_window") > most)
     rows = rows.join(over, "seq")
     n = F.col("calls_in_window")
     severity = F.when(n > 2 * most, "critical").when(n > 1.5 * most, "high").otherwise("medium")

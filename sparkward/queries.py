@@ -858,3 +858,17 @@ def bridge_counters(spark, d):
 )
 def first_run_texts(spark, d):
     return store.report_texts(stateful.first_run(V.calls(spark, d, 1)), SE(spark, d).where("seq % 4 = 0"))
+
+
+@query(
+    f"""WITH RECURSIVE {calls_sql(1440)}, sweep AS (SELECT seq, ts_ms FROM (SELECT * FROM calls ORDER BY seq LIMIT 1) UNION ALL
+      SELECT n.seq, n.ts_ms FROM sweep s, LATERAL (SELECT min(seq) AS seq, min_by(ts_ms, seq) AS ts_ms FROM calls c WHERE c.ts_ms >= s.ts_ms + 300000) n WHERE n.seq IS NOT NULL),
+    seen AS (SELECT s.seq AS sweep, c.session_id, max((c.ts_ms, c.seq)) AS last FROM sweep s JOIN calls c ON c.seq <= s.seq AND c.ts_ms >= s.ts_ms - 60000 GROUP BY 1, 2),
+    gone AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY sweep ORDER BY last DESC) > 10),
+    l AS (SELECT c.seq, c.ts_ms, c.session_id, (SELECT count(*) FROM gone g WHERE g.session_id = c.session_id AND g.sweep < c.seq) AS life FROM calls c),
+    n AS (SELECT k.seq, k.session_id AS session_key, count(*) AS calls_in_window FROM l k JOIN l e ON e.session_id = k.session_id AND e.life = k.life AND e.seq <= k.seq AND e.ts_ms >= k.ts_ms - 60000 GROUP BY 1, 2)
+    SELECT * FROM n WHERE calls_in_window > 10"""
+)
+def rate_limit_session_cap(spark, d):
+    """State of ten sessions at most, of 25."""
+    return stateful.rate_limited(V.calls(spark, d, 1440), 10, sessions_=10).select("seq", "session_key", "calls_in_window")

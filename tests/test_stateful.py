@@ -160,3 +160,33 @@ def test_streams_of_events(spark, tmp_path):
     for r in rows:
         want[r[1] // 60_000 * 60_000] = want.get(r[1] // 60_000 * 60_000, 0) + 1
     assert counted and all(want[r.bucket] == r.n == r.blocked for r in counted) and len(counted) >= len(want) - 1
+
+
+def capped(rows, most, sessions, span=60_000, every=300_000):
+    """One by one, with state of so many sessions after each sweep."""
+    held, swept, out, came = {}, None, set(), {}
+    for r in rows:
+        key = r[4] or "__default__"
+        own = held.setdefault(key, [])
+        own[:] = sorted([t for t in own if t >= r[1] - span] + [r[1]])
+        came[key] = r[0]
+        if swept is None or r[1] - swept >= every:
+            swept = r[1]
+            for k in sorted(held, key=lambda k: (held[k][-1], came[k]))[: max(0, len(held) - sessions)]:
+                del held[k]
+        if len(own) > most:
+            out.add((r[0], len(own)))
+    return out
+
+
+@pytest.mark.parametrize("sessions", [2, 5, 40])
+def test_state_of_so_many_sessions(spark, monkeypatch, sessions):
+    monkeypatch.setattr(stateful, "BLOCK", 64)
+    draw, ts, rows = random.Random(sessions), 400_000, []
+    for k in range(1500):
+        ts += draw.choice([0, 500, 1500, 3000])
+        rows.append((k, ts, "t", "{}", draw.choice(["a", "b", *(f"s{j}" for j in range(12)), None]), None, None))
+    got = {(r.seq, r.calls_in_window) for r in stateful.rate_limited(spark.createDataFrame(rows, CALLS).repartition(5), 2, sessions_=sessions).collect()}
+    want = capped(rows, 2, sessions)
+    assert got == want
+    assert (want != capped(rows, 2, 1000)) == (sessions < 15)

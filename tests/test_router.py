@@ -158,11 +158,11 @@ def test_sessions_end_by_timers(spark, tmp_path):
         rows.append((k, ts, draw.choice(["a", None] if ts % 3 else ["b", "c", "a"])))
     schema, idle = "seq long, ts_ms long, session_id string", 60_000
     stream = sessions.ended(spark.readStream.schema(schema).json(source), idle, "0 seconds")
-    for k in range(4):
-        spark.createDataFrame(rows[k * 150 : k * 150 + 150], schema).write.mode("append").json(source)
+    for k in range(3):
+        spark.createDataFrame(rows[k * 200 : k * 200 + 200], schema).write.mode("append").json(source)
         got = router.caught_up(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     batch = stateful.sessions(spark.createDataFrame(rows, schema), idle).collect()
     lives = {(r.session_id, r.started_at, r.ended_at, r.tool_call_count) for r in batch}
     ended = [(r.session_id, r.started_at, r.ended_at, r.tool_call_count) for r in got.collect()]
     assert len(set(ended)) == len(ended) and set(ended) <= lives and len(ended) > 20
-    assert all(r[2] + idle >= max(t for _, t, _ in rows[:450]) for r in lives - set(ended))
+    assert all(r[2] + idle >= max(t for _, t, _ in rows[:400]) for r in lives - set(ended))

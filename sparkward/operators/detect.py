@@ -22,9 +22,11 @@ from ..sources.views import results_as_calls
 RANK = {s: k + 1 for k, s in enumerate(SEVERITIES)}
 #: Tools that run commands.
 EXEC_TOOLS = (
-    "exec eval bash shell run_command execute terminal cmd powershell subprocess system spawn computer run invoke sh zsh ssh cli script evaluate repl"
-    " code_interpreter runner action apply computer_use execute_command execute_code run_code code_execution deno bun".split()
-)
+    "exec", "eval", "bash", "shell", "run_command", "execute", "terminal", "cmd", "powershell", "subprocess", "system",
+    "spawn", "computer", "run", "invoke", "sh", "zsh", "ssh", "cli", "script", "evaluate", "repl", "code_interpreter",
+    "runner", "action", "apply", "computer_use", "execute_command", "execute_code", "run_code", "code_execution",
+    "deno", "bun",
+)
 EXEC_TOOL = r"(?:^|[_\-.])(exec|executor|shell|bash|command|terminal|subprocess|run|runner|cmd|script|ssh)(?:\z|[_\-.])"
 EVENT = ["seq", "id", "ts_ms", "category", "severity", "title", "description", "details", "tool_name", "tool_params", "skill_name", "session_id", "agent_id", "rule_name", "matched_pattern", "action", "should_block"]
 
@@ -52,7 +54,7 @@ FAMILIES = {
 
 def is_exec_tool(name: Column) -> Column:
     names = [F.lower(name), F.lower(F.regexp_replace(name, "([a-z])([A-Z])", "$1_$2"))]
-    return names[0].isin(EXEC_TOOLS) | names[1].isin(EXEC_TOOLS) | names[0].rlike(EXEC_TOOL) | names[1].rlike(EXEC_TOOL)
+    return names[0].isin(*EXEC_TOOLS) | names[1].isin(*EXEC_TOOLS) | names[0].rlike(EXEC_TOOL) | names[1].rlike(EXEC_TOOL)
 
 
 def matches(x: Column, k: int, source: str, flags: str) -> Column:

@@ -54,7 +54,11 @@ def evictions(rows: DataFrame, sessions_: int, span: int, every: int = 300_000)
     the sessions seen last go, of equal times those whose last call came first. What happens to a session that wasn't
     seen within `span` before a sweep makes no difference, so a sweep only looks at the calls of that time.
     """
-    sweeps = deduplicated(rows.withColumn("_one", F.lit(1)), every, ["_one"]).select(F.col("seq").alias("sweep"), F.col("ts_ms").alias("at"))
+    # A sweep is a call later than all before it, so only those are linked.
+    one = saved(rows.select(F.lit(1).alias("_key"), "seq", "ts_ms"), "sweep-calls")
+    clocked = running(one, F.floor(F.col("seq") / BLOCK), ["seq"], "ts_ms", F.max, "_clock").where("ts_ms = _clock")
+    latest = clocked.groupBy("_key", "ts_ms").agg(F.min("seq").alias("seq"))
+    sweeps = deduplicated(latest, every, ["_key"]).select(F.col("seq").alias("sweep"), F.col("ts_ms").alias("at"))
     sweeps = saved(sweeps, "sweeps").withColumn("bucket", F.floor(F.col("at") / every))
     bucket = lambda shift: F.floor((F.col("ts_ms") + shift) / every)
     near = rows.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(0), bucket(span))))).join(sweeps, "bucket")
@@ -150,10 +154,15 @@ def deduplicated(events: DataFrame, span: int = 300_000, keys: list[str] | None
     at = lambda shift: F.floor((F.col("ts_ms") + shift) / width)
     rows = events.select(*keys, "ts_ms", "seq").withColumn("_own", at(0))
     rows = rows.withColumn("_slice", F.explode(F.array_distinct(F.array("_own", at(span), at(-2 * span)))))
-    frame = W.partitionBy(*keys, "_slice").orderBy("ts_ms")
-    upto = F.count("*").over(frame.rangeBetween(1 - span, 0)) - F.count("*").over(W.partitionBy(*keys, "_slice", "ts_ms").orderBy("seq").rowsBetween(0, W.unboundedFollowing))
-    link = F.min(F.struct("ts_ms", "seq")).over(frame.rangeBetween(span, 2 * span - 1))["seq"]
-    links = rows.withColumns({"_start": upto == 0, "_next": link}).where("_own = _slice").select("seq", F.col("_start").alias("start"), F.col("_next").alias("next"))
+    # A row's link is what came last, backwards in time, when its probe comes a span later: each window is one pass.
+    before = F.lag("ts_ms").over(W.partitionBy(*keys, "_slice").orderBy("ts_ms", "seq"))
+    rows = rows.withColumn("_start", F.coalesce(F.col("ts_ms") - before >= span, F.lit(True)))
+    rows = rows.withColumn("_probe", F.explode(F.when(F.col("_own") == F.col("_slice"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    back = W.partitionBy(*keys, "_slice").orderBy(F.desc("_at"), "_probe", F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
+    then = F.last(F.when(F.col("_probe") == 0, F.struct("ts_ms", "seq")), ignorenulls=True).over(back)
+    rows = rows.withColumn("_at", F.col("ts_ms") + F.col("_probe") * span).withColumn("_then", then).where("_probe = 1")
+    link = F.when(F.col("_then.ts_ms") < F.col("ts_ms") + 2 * span, F.col("_then.seq"))
+    links = rows.select("seq", F.col("_start").alias("start"), link.alias("next"))
     links = saved(links, "sent-links")
     sent = links.where("start").select("seq")
     jump = links.where("next is not null").select("seq", "next").join(sent.toDF("next"), "next", "left_anti")  # what starts a run needs no link

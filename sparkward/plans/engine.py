@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect, policy, routing, rules, stateful
 from ..schema import event_id
+from ..shared import saved
 
 
 @dataclass
@@ -68,4 +69,8 @@ def events(calls: DataFrame, config: Config, families: tuple[str, ...] = tuple(d
 
 
 def alerts(found: DataFrame, dismissals: DataFrame, now_ms: int) -> DataFrame:
-    return routing.routed(found, dismissals, now_ms)
+    """Alerts of events(). Found once and saved, as routing reads them several times; a call's events come one after another, by rule."""
+    found = saved(found, "found")
+    rules_ = (found.agg(F.max("rule_order")).first()[0] or 0) + 1
+    own = found.withColumns({"_call": F.col("seq"), "seq": F.col("seq") * rules_ + F.col("rule_order")})
+    return routing.routed(own, dismissals, now_ms).withColumn("seq", F.col("_call")).drop("_call")

@@ -97,10 +97,10 @@ def declared(calls: DataFrame, rule: dict) -> DataFrame:
     hit = F.lit(None).cast("struct<place:string,pattern:string>")
     found = lambda place, pattern: F.struct(place.alias("place"), F.lit(pattern).alias("pattern"))
     if anywhere or named:
-        rows = rows.withColumn("texts", T.reader(T.any_param)("params"))
+        rows = T.once(rows, "texts", T.reader(T.any_param)("params"))
         best = lambda x, i: F.array_min(F.array_compact(F.array(*[F.when(x["chunk"].rlike(c), F.struct(i.alias("i"), F.lit(k).alias("k"))) for k, (_, c) in enumerate(anywhere)])))
         if anywhere:
-            rows = rows.withColumn("first", F.array_min(F.array_compact(F.transform("texts", best))))
+            rows = T.once(rows, "first", F.array_min(F.array_compact(F.transform("texts", best))))
             sources = F.array(*[F.lit(p) for p, _ in anywhere])
             hit = F.when(F.col("first").isNotNull(), F.struct(F.element_at("texts", F.col("first.i") + 1)["raw"].alias("place"), F.element_at(sources, F.col("first.k") + 1).alias("pattern")))
         for k, expressions in reversed(named.items()):

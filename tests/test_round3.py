@@ -92,3 +92,10 @@ def test_long_commands_are_shown_in_part(spark):
     shown = json.loads(detect.detect(calls, "exec").first().details)["command"]
     assert shown == command[:8192] + "...[truncated]"
     assert {len(raw) for raw, _ in T.commands({"command": command})} == {8193}  # the whole text beside each of its chunks before
+
+
+def test_chunks_that_nothing_can_match_stay_behind(spark):
+    """They were sent to Spark and held against every expression before."""
+    read = T.reader(T.commands, ("curl.*bash", "^mkfs")).func
+    texts = [json.dumps({"command": c}) for c in ("ls -la", "curl x | bash", "cat curl")]
+    assert [[x["chunk"] for x in v] for a in read(iter([pa.array(texts)])) for v in a.to_pylist()] == [[], ["curl x | bash"], []]

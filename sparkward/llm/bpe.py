@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .word_bpe import BEYOND_LATIN, MEMO, PRE_TOKEN, SPECIAL, WordMemo, word_bpe
+from .word_bpe import BEYOND_LATIN, PRE_TOKEN, SPECIAL, Memo, word_bpe, word_memo
 
 LEAF = 16_384
+#: Rows of a batch that a worker takes at once: short texts, and leaves or texts to be cut.
+SHORT_ROWS, LONG_ROWS = 512, 64
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 Tokens = np.ndarray  # ids, first characters, characters after the last: a row each
 Piece = tuple[int, int, Tokens]  # first character, character after the last, tokens
@@ -64,10 +67,10 @@ class Tree:
         self.bpe = word_bpe(path)
         #: What the ids stand for, and the ids as text.
         self.tokens = [self.bpe.full.id_to_token(i) for i in range(self.bpe.full.get_vocab_size())]
-        self.numbers = [str(i) for i in range(len(self.tokens))]
+        self.parts = [np.array(x, object) for x in ([str(i) for i in range(len(self.tokens))], self.tokens)]
         self.ends = np.array([bool(t) and t.endswith(self.bpe.suffix) for t in self.tokens])
-        #: word -> tokens with their places in it.
-        self.memo: dict[str, tuple[bytes, bytes, bytes]] = {}
+        #: word -> its tokens: id, first character and character after the last, in 32 bits each.
+        self.memo: dict[str, bytes] = Memo()
 
     def leaf(self, text: str, at: int) -> Tokens:
         """The library's encoding of a piece of text that starts at character `at` of its document."""
@@ -79,14 +82,12 @@ class Tree:
     def by_words(self, text: str, at: int) -> Tokens:
         """As leaf(), for a text that normalisation leaves as it is: pre-tokens are encoded once and then remembered."""
         spans = [(m.start(), m[0]) for m in PRE_TOKEN.finditer(text)]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list({w for _, w in spans}.difference(self.memo))
+        new = list(self.memo.missing({w for _, w in spans}))
         for w, x in zip(new, self.bpe.one.encode_batch(new, add_special_tokens=False)):
-            self.memo[w] = tuple(array("q", c).tobytes() for c in (x.ids, [a for a, _ in x.offsets], [b for _, b in x.offsets]))
+            self.memo[w] = array("i", chain.from_iterable((i, a, b) for i, (a, b) in zip(x.ids, x.offsets))).tobytes()
         found = [self.memo[w] for _, w in spans]
-        starts = np.repeat(np.array([a for a, _ in spans], np.int64), [len(x[0]) // 8 for x in found]) + at
-        ids, a, b = (np.frombuffer(b"".join(x[k] for x in found), np.int64) for k in range(3))
+        starts = np.repeat(np.array([a for a, _ in spans], np.int64), [len(x) // 12 for x in found]) + at
+        ids, a, b = np.frombuffer(b"".join(found), np.int32).reshape(-1, 3).T.astype(np.int64)
         return np.stack([ids, a + starts, b + starts])
 
     def inner(self, text: str, at: int) -> Tokens:
@@ -126,11 +127,15 @@ class Tree:
                 return start, stop, np.concatenate([one[:, :i], window, two[:, far:]], axis=1)
             width *= 4
 
-    def encode(self, text: str, pieces: list[Piece]) -> list[int]:
+    def encode(self, text: str, pieces: list[Piece]) -> np.ndarray:
         while len(pieces) > 1:
             pairs = [pieces[k : k + 2] for k in range(0, len(pieces), 2)]
             pieces = [self.join(text, *p) if len(p) == 2 else p[0] for p in pairs]
-        return pieces[0][2][0].tolist() if pieces else []
+        return pieces[0][2][0] if pieces else np.empty(0, np.int64)
+
+    def row(self, doc: int, ids: np.ndarray) -> tuple:
+        """A document's row of the result: its ids and what they stand for are joined one after the other."""
+        return doc, len(ids), *(sha256(" ".join(x[ids].tolist()).encode()).hexdigest() for x in self.parts)
 
 
 @lru_cache(maxsize=2)
@@ -154,8 +159,11 @@ def unpacked_tokens(ids: np.ndarray, gaps: np.ndarray, sizes: np.ndarray, at: in
     return np.stack([ids.astype(np.int64), b - sizes, b])
 
 
-def row(doc: int, n: int, ids: str, decoded: str) -> tuple:
-    return doc, n, sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what a worker makes of a part is bounded."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def arrow(rows: list[tuple]) -> pa.RecordBatch:
@@ -171,23 +179,14 @@ def encoded(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = tree_for(tokenizer)
-        number, token = tree.numbers.__getitem__, tree.tokens.__getitem__
-        made = lambda ids: (len(ids), " ".join(map(number, ids)), " ".join(map(token, ids)))
-        memo = WordMemo(tokenizer, made)
-        for batch in batches:
-            out = []
-            for doc, found in zip(batch.column(0).to_pylist(), memo.over(batch.column(1).to_pylist())):
-                sizes, ids, tokens = zip(*found) if found else ((), (), ())
-                if 0 in sizes:
-                    _, ids, tokens = zip(*[x for x in found if x[0]]) if any(sizes) else ((), (), ())
-                out.append(row(doc, sum(sizes), " ".join(ids), " ".join(tokens)))
-            if out:
-                yield arrow(out)
+        tree, memo = tree_for(tokenizer), word_memo(tokenizer)
+        for part in slices(batches, SHORT_ROWS):
+            found = memo.over(part.column(1).to_pylist())
+            yield arrow([tree.row(doc, np.frombuffer(b"".join(ids), "<u4")) for doc, ids in zip(part.column(0).to_pylist(), found)])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in slices(batches, LONG_ROWS):
+            for own, doc, text in zip(*(c.to_pylist() for c in part.columns)):
                 starts = cut_points(text, leaf)
                 parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
                 n = len(parts)
@@ -198,10 +197,10 @@ def encoded(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = tree_for(tokenizer)
-        for batch in batches:
-            packed = [packed_tokens(tree.leaf(t, 0)) for t in batch.column(4).to_pylist()]
+        for part in slices(batches, LONG_ROWS):
+            packed = [packed_tokens(tree.leaf(t, 0)) for t in part.column(4).to_pylist()]
             cols = [pa.array([x[k] for x in packed], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int16(), pa.int16()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "ids", "gaps", "sizes"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, "ids", "gaps", "sizes"])
 
     def joined(group: pa.Table) -> pa.Table:
         tree, parts = tree_for(tokenizer), group.sort_by("leaf")
@@ -211,8 +210,7 @@ def encoded(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
             own = unpacked_tokens(*(x.values.to_numpy() for x in (ids, gaps, sizes)), at) if len(ids) or not text else tree.leaf(text, at)
             pieces.append((at, at + len(text), own))
         ids = tree.encode("".join(texts), pieces)
-        number, token = tree.numbers.__getitem__, tree.tokens.__getitem__
-        return pa.Table.from_batches([arrow([row(parts["doc_id"][0].as_py(), len(ids), " ".join(map(number, ids)), " ".join(map(token, ids)))])])
+        return pa.Table.from_batches([arrow([tree.row(parts["doc_id"][0].as_py(), ids)])])
 
     long_texts = rows.where(F.length("text") > leaf).select(F.monotonically_increasing_id().alias("own"), "doc_id", "text")
     kept = "own long, doc_id long, leaf int, start long, text string"

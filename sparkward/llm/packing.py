@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved
-from .word_bpe import WordMemo
+from .word_bpe import word_memo
 
 CAPACITY = 4096
 #: A rest under WHOLE tokens, or one that leaves at most 1/SLACK of its slot empty, isn't cut.
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), dict.fromkeys(counts, 0)
-        memo = WordMemo(tokenizer, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        memo = word_memo(tokenizer)
         end = struct.pack("<I", end_id)
         for batch in batches:
             rows = []

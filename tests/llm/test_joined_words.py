@@ -1,10 +1,13 @@
 """Words that the library merges many at once: the ids that it gives for each alone, in far fewer texts."""
 
+import gc
 import random
+import struct
+import tracemalloc
 
 import public_tokenizers
 
-from sparkward.llm import word_bpe
+from sparkward.llm import bpe, word_bpe
 
 
 class Counted:
@@ -28,3 +31,41 @@ def test_words_are_merged_many_at_once():
     assert got == dict(zip(words, map(tuple, alone(words))))
     mixed = words[:300] + odd + words[300:500]
     assert list(bpe.ids_of(mixed)) == alone(mixed)
+
+
+def held(make):
+    """MB that Python objects hold more after make()."""
+    gc.collect()
+    tracemalloc.start()
+    make()
+    gc.collect()
+    try:
+        return tracemalloc.get_traced_memory()[0] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_leaves_remember_words_in_little_memory():
+    """A worker keeps the memo of leaves beside that of short texts: few bytes a word, and bounded for long words too."""
+    tree, draw = bpe.Tree(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+
+    def leaves(n, length):
+        for _ in range(n):
+            tree.leaf(" ".join("".join(draw.choices("abcdefghij", k=length)) for _ in range(16_000 // (length + 1))), 0)
+
+    mb = held(lambda: leaves(20, 7))
+    assert mb * 2**20 / len(tree.memo) < 200  # 323 before
+    leaves(300, 2600)  # 4.7 million characters in 1,800 words, all kept before
+    assert sum(map(len, tree.memo)) <= word_bpe.MEMO_CHARS
+
+
+def test_what_is_forgotten_is_merged_again(monkeypatch):
+    monkeypatch.setattr(word_bpe, "MEMO", 40)
+    monkeypatch.setattr(word_bpe, "AT_ONCE", 300)
+    path, draw = public_tokenizers.path("word_bpe_49k.json"), random.Random(4)
+    tree, memo = bpe.Tree(path), word_bpe.WordMemo(path)
+    texts = [" ".join("".join(draw.choices("abc,'s", k=draw.randint(1, 4))) for _ in range(draw.choice([0, 3, 30, 200]))) for _ in range(60)]
+    want = [tree.bpe.full.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in map(b"".join, memo.over(texts))]
+    assert got == want == [tree.leaf(t, 0)[0].tolist() for t in texts]
+    assert len(memo.memo) < sum(len(set(t.split())) for t in texts) / 4

@@ -55,7 +55,7 @@ def test_leaves_remember_words_in_little_memory():
 
     mb = held(lambda: leaves(20, 7))
     assert mb * 2**20 / len(tree.memo) < 200  # 323 before
-    leaves(300, 2600)  # 4.7 million characters in 1,800 words, all kept before
+    leaves(400, 2600)  # 6.2 million characters in 2,400 words, all kept before
     assert sum(map(len, tree.memo)) <= word_bpe.MEMO_CHARS
 
 

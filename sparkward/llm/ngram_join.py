@@ -9,8 +9,8 @@ posts those. Sets that are equal are one class throughout, and what is compared
    posts of crowded grams, and too few to link with those that stand for them, are put together by the one
    that they share most with and by size. Zones are cut into cells of about CELL grams, with the zone's smallest set in
    each. Every cell is held against itself. That joins the bulk of any group of near copies.
-2. Cells that share posts are held against each other, if the number of posts that they share, their
-   sets' sizes and their last posts allow a link, and if they aren't one linked component already. In a
+2. Cells that share posts are held against each other, if the number of posts that they share, how much of
+   their sets comes after those, their sizes and their last posts allow a link, and if they aren't one linked component already. In a
    zone of several cells, sets of its largest component are set apart from the rest beforehand.
 
 A cell is a prefix tree of its sets, in an order that all of them have in common, which is walked once for
@@ -215,10 +215,12 @@ def tree_links(ids: np.ndarray, grams: np.ndarray, starts: np.ndarray, probe: np
 def linked_in_cells(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Links (a, b) among the sets of each cell. wanted: id, cell, part, probe (null: all against all)."""
     wanted = saved(wanted, "wanted")
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in in_batches(zip(*(c.to_pylist() for c in batch.columns))):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gram_sets(texts), pa.list_(pa.int64()))], ["id", "grams"])
+            for at, texts in in_batches(enumerate(batch.column("text").to_pylist())):
+                rest = [batch.column(name).take(pa.array(at)) for name in names]
+                yield pa.RecordBatch.from_arrays([pa.array(gram_sets(texts), pa.list_(pa.int64())), *rest], ["grams", *names])
 
     def walk(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
@@ -229,22 +231,25 @@ def linked_in_cells(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         found = tree_links(group["id"].to_numpy(), lists.values.to_numpy()[starts[0] : starts[-1]], starts - starts[0], probe)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    rows = marked(docs, "id", wanted.select("id"), "some").where("some").select("id", "text").mapInArrow(sets, "id long, grams array<long>").join(wanted, "id")
+    names = wanted.columns
+    rows = marked(docs, "id", wanted.select("id"), "some").where("some").select("id", "text").join(wanted, "id")  # texts are smaller than their sets
+    rows = rows.mapInArrow(sets, "grams array<long>, " + ", ".join(f"{name} {kind}" for name, kind in wanted.dtypes))
     links = saved(rows.groupBy("cell", "part").applyInArrow(walk, "a long, b long"), "links")
     forget(wanted)
     return links
 
 
 def shared_posts(classes: DataFrame) -> DataFrame:
-    """gram, id, first, many: posts of grams that several classes post; first is the gram's smallest id."""
-    rows = classes.select("id", "light", F.posexplode("post").alias("pos", "gram"))
-    rows = rows.select("gram", "id", (F.col("pos") >= F.col("light")).alias("frequent"))
+    """gram, id, first, many, rest: posts of grams that several classes post; first is the gram's smallest id, rest how many grams of the set come after it."""
+    rows = classes.select("id", "n", "light", F.posexplode("post").alias("pos", "gram"))
+    rows = rows.select("gram", "id", (F.col("n") - F.col("pos") - 1).alias("rest"), (F.col("pos") >= F.col("light")).alias("frequent"))
     # No gram outside the sketch's frequent ones has more than about 2 ** -SKETCH_BITS of all posts.
     own = W.partitionBy("gram")
     light = rows.where("not frequent").withColumns({"first": F.min("id").over(own), "many": F.count("*").over(own)}).where("many > 1")
     often = rows.where("frequent")
     groups = often.groupBy("gram").agg(F.min("id").alias("first"), F.count("*").alias("many")).where("many > 1")
-    return light.select("gram", "id", "first", "many").unionByName(often.join(groups, "gram").select("gram", "id", "first", "many"))
+    names = ("gram", "id", "first", "many", "rest")
+    return light.select(*names).unionByName(often.join(groups, "gram").select(*names))
 
 
 def needs(n: str) -> Column:
@@ -327,14 +332,15 @@ def linked(docs: DataFrame) -> DataFrame:
     )
     sides = saved(sides, "sides")
     own = saved(own.join(sides.select("home", "apart", "cell", "one", "low", "high"), ["home", "apart"]).select("id", "n", "end", "posted", "cell", "home", "one", "low", "high"), "members")
-    posted = shared.select("gram", "id").join(own, "id").select("gram", "cell", "home", "one", "low", "high").distinct()
-    split = posted.groupBy("gram").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a < b").select("gram")
-    posted = saved(posted.join(split, "gram"), "posted")
+    posted = shared.select("gram", "id", "rest").join(own, "id").groupBy("gram", "cell", "home", "one", "low", "high").agg(F.max("rest").alias("rest"))
+    posted = saved(posted, "posted")
     x, y, c = posted.alias("x"), posted.alias("y"), F.col
     apart = (c("x.cell") < c("y.cell")) & (c("x.home") != c("y.home")) & ~F.coalesce(c("x.one") == c("y.one"), F.lit(False)) & near_sizes("x.", "y.")
-    pairs = x.join(y, (c("x.gram") == c("y.gram")) & apart).groupBy(c("x.cell").alias("a"), c("y.cell").alias("b")).agg(F.count("*").alias("same"))
+    pairs = x.join(y, (c("x.gram") == c("y.gram")) & apart).groupBy(c("x.cell").alias("a"), c("y.cell").alias("b")).agg(F.count("*").alias("same"), F.max(F.least("x.rest", "y.rest")).alias("rest"))
     side = lambda k, name: sides.select(c("cell").alias(k), *[c(v).alias(f"{name}_{v}") for v in ("grams", "low", "high", "first", "final")])
-    pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(can_link("same", "x", "y"))
+    pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    # What two sets have in common is posts that both have and what comes after the last of them in both.
+    pairs = pairs.where(can_link("same", "x", "y") & ((100 + PERCENT) * (c("same") + c("rest")) >= PERCENT * (c("x_low") + c("y_low"))))
     more = c("x_grams") >= c("y_grams")  # the tree is that of the larger cell
     pairs = pairs.select(F.when(more, c("a")).otherwise(c("b")).alias("tree"), F.when(more, c("b")).otherwise(c("a")).alias("probe"), "same")
     pairs = saved(pairs, "cell-pairs")
